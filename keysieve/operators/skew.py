@@ -29,7 +29,7 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     copies = F.when(F.col("hot_"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
         F.array(F.lit(0)))
     dealt = right.join(hot, on, "left").withColumn(
-        "salt_", F.explode(copies).cast("long")).drop("hot_")
+        "salt_", F.explode(copies.cast("array<bigint>"))).drop("hot_")
     return salted.join(dealt, [*on, "salt_"], how).drop("salt_")
 
 

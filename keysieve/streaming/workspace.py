@@ -1,0 +1,22 @@
+"""Where streams keep their state."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session may do without: its executors are on this machine.
+    """
+    conf = spark.sparkContext.getConf()
+    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="run-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
