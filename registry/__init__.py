@@ -1,4 +1,29 @@
 from registry import scans, tables_views  # noqa: F401
-from registry.base import ORACLES, QUERIES
+from registry.base import ORACLES, QUERIES, give_types
+
+# DuckDB counts in wider types than the engine's tables have; the values are the same.
+_LINE, _PLACE = {"line": "INT"}, {"line": "INT", "column": "INT"}
+_FOUND = {**_PLACE, "pos": "INT"}
+_CONTEXT = {"line": "INT", "pos": "INT", "context_line": "INT"}
+give_types({
+    **{name: _FOUND for name in (
+        "scan_documents", "scan_planted_files", "detect_prefix", "detect_key_value",
+        "detect_contains", "detect_endpoint", "scan_rule_subset")},
+    **{name: _LINE for name in ("scan_unredacted", "split_into_lines")},
+    **{name: _PLACE for name in ("scan_branch", "scan_current_tree", "stream_scan")},
+    **{name: _CONTEXT for name in ("scan_context", "scan_context_all_hidden")},
+    "scanner_text": {"column_number": "INT"},
+    "rule_classes": {"specificity": "INT"},
+    "json_documents": {**_PLACE, "context_lines": "INT"},
+    "sarif_documents": {"startLine": "INT", "startColumn": "INT"},
+    "report_documents": {"listed_rules": "INT", "listed": "INT"},
+    "imported_scans": {"total_findings": "INT"},
+    "security_stats": {"total_findings": "BIGINT", "total_findings_joined": "BIGINT"},
+    "corpus_statistics": {"total_findings": "BIGINT"},
+    "scan_durations": {"duration_ms": "BIGINT"},
+    "feed_cursors": {"repos_fetched": "BIGINT"},
+    "batch_summary": {"findings": "BIGINT"},
+    "repos_by_platform": {"findings": "BIGINT"},
+})
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -55,4 +55,11 @@ def query(oracle: str | None = None):
     return add
 
 
-__all__ = ["DERIVED", "GIVEN", "ORACLES", "QUERIES", "Tables", "query"]
+def give_types(types: dict[str, dict[str, str]]) -> None:
+    """Cast columns of the SQL to the types the engine gives them."""
+    for name, columns in types.items():
+        casts = ", ".join(f'CAST("{c}" AS {t}) AS "{c}"' for c, t in columns.items())
+        ORACLES[name] = f"SELECT * REPLACE ({casts}) FROM ({ORACLES[name]})"
+
+
+__all__ = ["DERIVED", "GIVEN", "ORACLES", "QUERIES", "Tables", "give_types", "query"]

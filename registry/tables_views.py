@@ -153,8 +153,8 @@ _PARSED = f"""{w('report_docs')}, {_OK.replace(".json', ''", ".json', ''")},
                                           json_extract(d, '$.report.findings[*]'))) AS f FROM ok)"""
 _IMPORTED = "k % 4 <> 3"
 _SCAN_ID = "CASE WHEN k % 4 = 0 THEN 's' || k ELSE md5(file) END"
-_STATUS = """lower(CASE WHEN f->'$.verification_status' IS NOT NULL
-      THEN f->>'$.verification_status.status' WHEN f->'$.verification' IS NOT NULL
+_STATUS = """lower(CASE WHEN (f->'$.verification_status') IS NOT NULL
+      THEN f->>'$.verification_status.status' WHEN (f->'$.verification') IS NOT NULL
       THEN f->>'$.verification.status' ELSE 'not_verified' END)"""
 
 
@@ -273,14 +273,14 @@ _VALUED = ", ".join(q(r) for r in S.HIGH_VALUE_RULES)
 
 @query(f"""{_PARSED} SELECT count(*) AS high_value_findings,
       count(*) FILTER ({_STATUS} = 'active') AS active_high_value_secrets
-    FROM flat WHERE f->>'$.rule_id' IN ({_VALUED})""")
+    FROM flat WHERE (f->>'$.rule_id') IN ({_VALUED})""")
 def high_value_findings(t: Tables):
     return S.high_value(report_findings(parse_reports(t["report_docs"])))
 
 
 @query(f"""{_PARSED} SELECT file AS report, f->>'$.rule_id' AS rule_id, {_STATUS} AS status,
       cast(coalesce(f->>'$.location.line', f->>'$.line') AS int) AS line_number
-    FROM flat WHERE f->>'$.rule_id' IN ({_VALUED}) ORDER BY 1, 4, 2 LIMIT 10""")
+    FROM flat WHERE (f->>'$.rule_id') IN ({_VALUED}) ORDER BY 1, 4, 2 LIMIT 10""")
 def high_value_sample(t: Tables):
     return S.high_value_sample(
         report_findings(parse_reports(t["report_docs"])), ["report", "line_number", "rule_id"]
@@ -305,7 +305,7 @@ def scan_period(t: Tables):
 
 
 _PROGRAM = "CASE " + " ".join(
-    f"WHEN f->>'$.rule_id' IN ({', '.join(q(r) for r in rules)}) THEN {q(name)}"
+    f"WHEN (f->>'$.rule_id') IN ({', '.join(q(r) for r in rules)}) THEN {q(name)}"
     for name, rules in S.PROGRAM_RULES.items()) + " ELSE 'other' END"
 
 
