@@ -167,22 +167,29 @@ def find_pattern(trigger: dict) -> str | None:
     return None
 
 
+def first_pattern(trigger: dict) -> str | None:
+    """Finds the first raw token; group 1 is the text before the trigger."""
+    if trigger["trig"].startswith("e:"):
+        return rf"(?s)\A(?>(.*?)(?i:{quote(trigger['literal'])})){_SEP}"
+    find = find_pattern(trigger)
+    return None if find is None else rf"(?s)\A(.*?){find}"
+
+
 def place_pattern(trigger: dict) -> list[str] | None:
-    """What stands before the raw token where it was found, and behind a bare one."""
+    """What stands before a raw token, and behind a bare one, to find a certain token."""
     literal = quote(trigger["literal"])
     if trigger["kind"] == PREFIX:
         return [rf"(?s)\A(.*?)(?<![{ALNUM}])", rf"(?![{trigger['charset']}])"]
     if trigger["kind"] == KEY_VALUE:
         return [rf"(?s)\A(.*?)(?<![{ALNUM}_])(?i:{literal})(?![{ALNUM}_]){_SEP}",
                 rf"(?:[{WS},;]|\z)"]
-    if trigger["trig"].startswith("e:"):
-        return [rf"(?s)\A(?>(.*?)(?i:{literal})){_SEP}", ""]
     return None
 
 
 def trigger_rows(rules: RuleSet) -> list[dict]:
     """The trigger table with the patterns of each trigger."""
-    return [dict(t, find=find_pattern(t), place=place_pattern(t)) for t in rules.triggers()]
+    return [dict(t, find=find_pattern(t), first=first_pattern(t), place=place_pattern(t))
+            for t in rules.triggers()]
 
 
 # A raw token passes as a secret of its kind.
@@ -197,8 +204,8 @@ _IS_SECRET = f"""
 
 # The first token that does: what was found, without quotes, without the prefix.
 _TOKEN = f"""
-    get(filter(transform(regexp_extract_all(text, find, 1), raw -> struct(
-        raw,
+    get(filter(transform(regexp_extract_all(text, find, 1), (raw, nth) -> struct(
+        raw, nth,
         left(raw, 1) in ('"', "'") as quoted,
         if(kind = '{PREFIX}', substring(raw, length(literal) + 1),
            regexp_replace(raw, '(?s)\\\\A(["\\'])(.*)\\\\1\\\\z', '$2')) as value
@@ -219,10 +226,11 @@ _AROUND = f"""
                       '\\\\A[^\\\\p{{IsWhite_Space}}"\\',;}}\\\\]]*', 0))
 """
 
-# Where the token is: a quoted literal between what may stand around it.
+# Where the token is.  The first one is found by a pattern of the trigger, which Spark
+# compiles once for all its lines; only a later one takes a pattern of its own.
 _OFFSET = """
-    octet_length(regexp_extract(text, concat(place[0], '\\\\Q',
-      replace(token.raw, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E', if(token.quoted, '', place[1])), 1))
+    octet_length(regexp_extract(text, if(token.nth = 0, first, concat(place[0], '\\\\Q',
+      replace(token.raw, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E', if(token.quoted, '', place[1]))), 1))
 """
 
 _HIT = f"""
@@ -267,7 +275,7 @@ _TRIGGER_SCHEMA = pa.schema([
     ("trig", pa.string()), ("ord", pa.int32()), ("trig_ord", pa.int32()),
     ("rule_id", pa.string()), ("rule_name", pa.string()), ("kind", pa.string()),
     ("literal", pa.string()), ("min_len", pa.int32()), ("specificity", pa.int32()),
-    ("find", pa.string()), ("place", pa.list_(pa.string())),
+    ("find", pa.string()), ("first", pa.string()), ("place", pa.list_(pa.string())),
 ])
 
 
@@ -295,4 +303,5 @@ def detect(lines: DataFrame, rules: RuleSet) -> DataFrame:
     found = lines.withColumn("trig", F.explode_outer("cand")).drop("cand")
     # bounded by MAX_TRIGGERS, so the broadcast never grows with the data
     joined = found.join(F.broadcast(triggers_df(lines.sparkSession, rules)), "trig")
-    return match(joined, kept)
+    # next to each other, lines with the same trigger share its compiled pattern
+    return match(joined.sortWithinPartitions("trig"), kept)

@@ -28,13 +28,20 @@ def scan_tree(versions: DataFrame, branch: str, rules=None, **options) -> DataFr
     return scan_versions(tree(versions, branch), rules, **options)
 
 
-def removed_secrets(history: DataFrame, current: DataFrame) -> DataFrame:
-    """Secrets that some commit holds and the present files do not.
+def lifetimes(history: DataFrame, present: DataFrame) -> DataFrame:
+    """Each secret of the history: when it was seen, how often, and if it is there now.
 
-    Both sides are reduced to distinct secrets before they meet, so that a secret with
-    countless copies is one row.
+    ``present`` lists the file versions (repo, path, commit) of the current tree.  One
+    pass over the findings tells both; a secret with countless copies is reduced in each
+    task before the shuffle.
     """
-    seen = history.groupBy(*KEY).agg(
+    now = present.select("repo", "path", "commit").withColumn("live_", F.lit(True))
+    return history.join(now, ["repo", "path", "commit"], "left").groupBy(*KEY).agg(
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
-        F.count("*").alias("occurrences"))
-    return seen.join(current.select(*KEY).distinct(), KEY, "left_anti")
+        F.count("*").alias("occurrences"),
+        F.coalesce(F.bool_or("live_"), F.lit(False)).alias("present"))
+
+
+def removed_secrets(history: DataFrame, present: DataFrame) -> DataFrame:
+    """Secrets that some commit holds and the present files do not."""
+    return lifetimes(history, present).where(~F.col("present")).drop("present")

@@ -16,15 +16,6 @@ from keysieve.sources.files import scannable, split_lines
 from keysieve.sources.rules import RuleSet, load_rules
 
 
-def balance(files: DataFrame) -> DataFrame:
-    """Spread an input that comes in fewer splits than there are cores.
-
-    A corpus of any size has more splits than that and passes through untouched.
-    """
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    return files.repartition(cores) if files.rdd.getNumPartitions() < cores else files
-
-
 def candidate_lines(files: DataFrame, rules: RuleSet, context_lines: int = 0) -> DataFrame:
     """(…, content) -> (…, line, text, cand, around) for lines worth a closer look.
 
@@ -70,7 +61,7 @@ def scan_files(
     if filter_paths:
         files = files.where(scannable(F.col("path")))
     key = [c for c in files.columns if c != "content"] + ["line"]
-    lines = candidate_lines(balance(files), rules, context_lines)
+    lines = candidate_lines(files, rules, context_lines)
     carry = ["around"] if context_lines > 0 else []
     found = resolve(detect(lines, rules), key, carry)
 

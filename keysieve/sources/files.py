@@ -31,6 +31,16 @@ def read_tree(spark: SparkSession, root: str, path_glob: str | None = None) -> D
     return reader.load(root).select("path", "content")
 
 
+def balance(read: DataFrame) -> DataFrame:
+    """Spread a table that comes in fewer splits than there are cores.
+
+    Meant for a plain read, before any join or aggregation.  A corpus of any size has
+    more splits than that and passes through untouched.
+    """
+    cores = read.sparkSession.sparkContext.defaultParallelism
+    return read.repartition(cores) if read.rdd.getNumPartitions() < cores else read
+
+
 def valid_text(content: Column) -> Column:
     """True for files that are text at all."""
     return F.is_valid_utf8(content.cast("string"))

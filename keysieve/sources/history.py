@@ -20,11 +20,17 @@ def on_branch(versions: DataFrame, branch: str) -> DataFrame:
     return versions.where(F.col("branch") == branch)
 
 
+def heads(versions: DataFrame, branch: str) -> DataFrame:
+    """(repo, path, commit) of the files of a branch as they are now."""
+    seen = on_branch(versions, branch).select("repo", "path", "commit", "ts", "change")
+    last = latest(seen, ["repo", "path"], F.struct("ts", "commit"))
+    return last.where("change <> 'D'").select("repo", "path", "commit")
+
+
 def tree(versions: DataFrame, branch: str) -> DataFrame:
-    """The files of a branch as they are now."""
-    heads = versions.where((F.col("branch") == branch)).select(
-        "repo", "path", "commit", "ts", "change")
-    last = latest(heads, ["repo", "path"], F.struct("ts", "commit")).where("change <> 'D'")
-    # contents are joined to the chosen versions only, not dragged through the choice
-    return versions.where(F.col("branch") == branch).join(
-        last.select("repo", "path", "commit"), ["repo", "path", "commit"], "left_semi")
+    """The files of a branch as they are now.
+
+    Contents are joined to the chosen versions, not dragged through the choice.
+    """
+    return on_branch(versions, branch).join(
+        heads(versions, branch), ["repo", "path", "commit"], "left_semi")

@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keysieve.sources.files import balance
 from registry.tables import DERIVED, NEEDS, spark_sql
 
 GIVEN = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
+# derived tables that take work per row: their source is spread over the cores first
+SPREAD = {"files", "docs", "versions", "report_docs", "outputs"}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -32,7 +36,8 @@ class Tables:
         text = spark_sql(name)
         for g in GIVEN:
             if f"FROM {g}" in text or f"JOIN {g}" in text:
-                self.given(g).createOrReplaceTempView(g)
+                source = self.given(g)
+                (balance(source) if name in SPREAD else source).createOrReplaceTempView(g)
         return self.spark.sql(text)
 
     def sql(self, text: str, *names: str) -> DataFrame:

@@ -195,23 +195,13 @@ def repo_list(t: Tables):
     return feeds.repo_list(t.sql(_LIST, "customer"))
 
 
-_TEXT = """SELECT scan_id AS repo_url, 'Found 2 potential secret(s):' || chr(10) || chr(10)
-    || chr(27) || '[1;31m' || rule_id || chr(27) || '[0m ' || file_path || ':'
-    || cast(line_number as string) || ':' || cast(column_number as string) || chr(10) || '  '
-    || chr(27) || '[1mRule:' || chr(27) || '[0m ' || rule_name || chr(10) || '  ' || chr(27)
-    || '[1mSecret:' || chr(27) || '[0m ' || secret_preview || chr(10)
-    || '  Context:' || chr(10) || '> 12 | x = 1' || chr(10) || chr(10)
-    || 'other-rule dir/b c.py:7:9' || chr(10) || '  Rule: Other' || chr(10)
-    || '  Secret: ' || verification_status || chr(10) AS document FROM findings"""
-
-
 @query(f"""{w('findings')}
     SELECT scan_id AS repo_url, rule_id, file_path, line_number, column_number, rule_name,
            secret_preview, 'x = 1' AS context FROM findings
     UNION ALL SELECT scan_id, 'other-rule', 'dir/b c.py', 7, 9, 'Other', verification_status, ''
     FROM findings""")
 def scanner_text(t: Tables):
-    return parse_scanner_text(t.sql(_TEXT, "findings")).drop("record")
+    return parse_scanner_text(t["outputs"]).drop("record")
 
 
 @query(f"""{w('report_docs')},
@@ -362,7 +352,7 @@ def scan_current_tree(t: Tables):
         AND g.secret_raw = f.secret_raw) GROUP BY ALL""", "live", _TREE + _LIVE))
 def removed_secrets(t: Tables):
     v = t["versions"]
-    gone = H.removed_secrets(H.scan_versions(v), H.scan_tree(v, "main"))
+    gone = H.removed_secrets(H.scan_versions(v), V.heads(v, "main"))
     return gone.withColumn("first_seen", F.date_format("first_seen", "yyyy-MM-dd")).withColumn(
         "last_seen", F.date_format("last_seen", "yyyy-MM-dd"))
 

@@ -177,6 +177,18 @@ DERIVED = {
 }
 
 
+# the text output of a scanner for each line item, with two findings
+DERIVED["outputs"] = f"""
+    SELECT scan_id AS repo_url, 'Found 2 potential secret(s):' || chr(10) || chr(10)
+      || chr(27) || '[1;31m' || rule_id || chr(27) || '[0m ' || file_path || ':'
+      || cast(line_number as string) || ':' || cast(column_number as string) || chr(10) || '  '
+      || chr(27) || '[1mRule:' || chr(27) || '[0m ' || rule_name || chr(10) || '  ' || chr(27)
+      || '[1mSecret:' || chr(27) || '[0m ' || secret_preview || chr(10)
+      || '  Context:' || chr(10) || '> 12 | x = 1' || chr(10) || chr(10)
+      || 'other-rule dir/b c.py:7:9' || chr(10) || '  Rule: Other' || chr(10)
+      || '  Secret: ' || verification_status || chr(10) AS document
+    FROM ({DERIVED["findings"]}) f"""
+
 
 def _report_finding(i: int) -> str:
     """One finding of a planted report as JSON text; its field names go by the shape."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keysieve.operators.dedup import FINDING_KEY, insert_new
+from keysieve.operators.skew import numbered
 from keysieve.plans import queue as Q
 from keysieve.plans import report as R
 from keysieve.plans import statistics as S
@@ -12,7 +13,7 @@ from keysieve.plans import warehouse as W
 from keysieve.plans.scan import scan_files
 from keysieve.sources.reports import parse_reports, report_findings
 from keysieve.streaming import monitor as M
-from keysieve.streaming.workspace import workspace
+from keysieve.workspace import stored, workspace
 from registry import detection_sql as D
 from registry.base import Tables, query
 from registry.detection_sql import q
@@ -58,7 +59,6 @@ _ORDERED = """SELECT verification_status AS scan_id, scan_id || '/' || file_path
       PARTITION BY scan_id ORDER BY substr(md5(path), 1, 2), path, line, pos, rule_id, secret) AS id
     FROM ({_ORDERED})""")
 def report_row_ids(t: Tables):
-    from keysieve.operators.skew import numbered
     return numbered(t.sql(_ORDERED, "findings"), ["scan_id"], order=("pos", "rule_id", "secret")
                     ).select("scan_id", "path", "line", "pos", "id")
 
@@ -73,8 +73,8 @@ def short_listing(t: Tables):
 
 def _documents(t: Tables):
     """Findings of a scan of the planted files, one scan per repository."""
-    found = scan_files(t["files"], context_lines=1, hide="own").withColumnRenamed("repo", "scan_id")
-    return found
+    found = scan_files(t["files"], context_lines=1, hide="own")
+    return stored(found.withColumnRenamed("repo", "scan_id"), "findings")
 
 
 def _flat(docs, schema: str, path: str):
