@@ -14,7 +14,8 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     """Join a table with hot keys to one without.
 
     The rows of a hot key are dealt out over ``SALTS`` join keys, and its rows on the
-    right side are repeated for each.  All other keys join as they are.
+    right side are repeated for each.  All other keys join as they are.  ``left`` is read
+    twice, the first time for its keys only: give a table, not a long computation.
     """
     counts = left.groupBy(*on).agg(F.count("*").alias("n_"))
     total = counts.agg(F.sum("n_").alias("total_"))

@@ -55,6 +55,10 @@ def unscanned(urls: DataFrame, scanned: DataFrame) -> DataFrame:
     return urls.select("url").distinct().join(scanned.select("url"), "url", "left_anti")
 
 
+def distinct_urls(urls: DataFrame) -> DataFrame:
+    return urls.select("url").distinct().orderBy("url")
+
+
 def roll_forward(repos: DataFrame, scan_log: DataFrame) -> DataFrame:
     """Repositories with the state that the scan log leaves them in."""
     done = scan_log.where(F.col("completed_at").isNotNull()).groupBy("repo_url").agg(
@@ -113,6 +117,22 @@ def batch_rows(runs: DataFrame) -> DataFrame:
                        "findings")
 
 
+def batch_documents(runs: DataFrame, at_most: int = 10_000) -> DataFrame:
+    """One JSON summary per batch, of several parts if it lists very many repositories."""
+    parts = F.ceil(F.col("total") / at_most)
+    heads = batch_summary(runs).withColumn("part", F.explode(F.sequence(
+        F.lit(1).cast("bigint"), parts)))
+    sizes = heads.select("batch_id", parts.alias("n_"), "part")
+    rows = skew_join(batch_rows(runs), sizes.where("part = 1").select("batch_id", "n_"),
+                     ["batch_id"])
+    listed = rows.withColumn("part", F.pmod(F.xxhash64("url"), F.col("n_")) + 1).groupBy(
+        "batch_id", "part").agg(F.sort_array(F.collect_list(
+            F.struct("url", "name", "status", "findings"))).alias("repos"))
+    doc = F.struct("batch_id", F.col("repos"), F.struct("total", "success", "failed").alias("summary"))
+    return heads.join(listed, ["batch_id", "part"], "left").select(
+        "batch_id", "part", F.to_json(doc).alias("document"))
+
+
 # --- dashboards ----------------------------------------------------------------------------
 
 

@@ -65,18 +65,26 @@ def numbered_findings(findings: DataFrame, by: list[str]) -> DataFrame:
 # --- documents -----------------------------------------------------------------------
 
 
+SALTS = 64
+
+
 def _parts(rows: DataFrame, by: list[str], at_most: int) -> DataFrame:
     """Deal the rows of each scan over documents of about ``at_most`` rows.
 
     Nearly all scans fit one document.  One that does not would be too large for a
-    single row, so it becomes several, and none of its findings is left out.
+    single row, so it becomes several, and none of its findings is left out.  The table
+    of large scans has one row in ``at_most`` or fewer; repeating it ``SALTS`` times
+    lets the findings of one scan be looked up in as many tasks.
     """
     large = rows.groupBy(*by).agg(F.count("*").alias("n_")).where(F.col("n_") > at_most).select(
-        *by, F.ceil(F.col("n_") / at_most).alias("parts"))
-    place = [c for c in ("path", "line", "pos", "rule_id") if c in rows.columns]
-    return rows.join(large, by, "left").withColumn(
+        *by, F.ceil(F.col("n_") / at_most).alias("parts"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt_"))
+    place = F.xxhash64("path", "line", "pos", "rule_id")
+    salted = rows.withColumn("salt_", F.pmod(place, F.lit(SALTS)))
+    return salted.join(large, [*by, "salt_"], "left").withColumn(
         "parts", F.coalesce("parts", F.lit(1))).withColumn(
-        "part", F.pmod(F.xxhash64(*place), F.col("parts")) + 1)
+        "part", F.pmod(F.xxhash64("rule_id", "path", "line", "pos"), F.col("parts")) + 1
+    ).drop("salt_")
 
 
 def _document(rows: DataFrame, by: list[str], item: Column, at_most: int) -> DataFrame:
@@ -122,6 +130,7 @@ def report_documents(findings: DataFrame, scans: DataFrame, at_most: int = 10_00
 
     ``scans`` has scan_id, timestamp (text), path, type, git_branch, git_commit,
     git_remote and scan_duration_ms; scans without findings get a report as well.
+    ``findings`` is read several times: give a stored table, not a scan to be repeated.
     """
     by = ["scan_id"]
     ids = numbered_findings(findings, by)
@@ -144,7 +153,11 @@ def report_documents(findings: DataFrame, scans: DataFrame, at_most: int = 10_00
         .join(counts(by_rule(findings, by), "rule_id", "by_rule"), by)
         .join(counts(by_category(findings, by), "category", "by_category"), by)
     )
-    full = scans.join(summed, by, "left").join(items, by, "left")
+    # a row per document, so that a scan of many documents is not one key of the join
+    n = F.greatest(F.ceil(F.coalesce("total_findings", F.lit(0)) / at_most), F.lit(1))
+    heads = scans.join(summed, by, "left").withColumn("parts", n).withColumn(
+        "part", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("parts"))))
+    full = heads.join(items.drop("parts"), [*by, "part"], "left")
     none = F.create_map().cast("map<string,bigint>")
     zero = F.lit(0)
     summary = F.struct(
@@ -162,9 +175,7 @@ def report_documents(findings: DataFrame, scans: DataFrame, at_most: int = 10_00
     filled = full.withColumn("items", F.coalesce("items", F.array().cast(
         full.schema["items"].dataType)))
     return filled.select(
-        "scan_id", F.coalesce("part", F.lit(1)).alias("part"),
-        F.coalesce("parts", F.lit(1)).alias("parts"),
-        F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
+        "scan_id", "part", "parts", F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
 
 
 def write_documents(documents: DataFrame, path: str, by: list[str]) -> None:

@@ -76,7 +76,7 @@ def scan_files(
         found = found.withColumn("context", _blot(
             F.col("around"), F.col("secret_raw"), F.col("secret")))
         if redacted and hide == "all":
-            found = _blot_neighbours(found, key, context_lines)
+            found = _blot_neighbours(found, [c for c in key if c != "line"], context_lines)
     out = key + ["column", "pos", "rule_id", "rule_name", "matched", "secret", "secret_id"]
     if context_lines > 0:
         out.append("context")
@@ -92,20 +92,23 @@ def _blot(context: Column, secret: Column, shown: Column) -> Column:
         c["is_match"].alias("is_match")))
 
 
-def _blot_neighbours(found: DataFrame, key: list[str], n: int) -> DataFrame:
+def _blot_neighbours(found: DataFrame, file_key: list[str], n: int) -> DataFrame:
     """Blot out of each context the secrets of the findings within ``n`` lines.
 
-    The secrets are sent to the lines in their reach and joined there, so the work is
-    spread by line even when one file holds most of the findings.
+    Each finding goes to its own line, and its secret to every line in its reach; a line
+    then has what it needs.  The work is spread by line even when one file holds most of
+    the findings, and the scan below is read once.
     """
-    file_key = [c for c in key if c != "line"]
-    reach = found.select(
-        *file_key, F.explode(F.sequence(F.col("line") - n, F.col("line") + n)).alias("line"),
-        F.struct(F.length("secret_raw").alias("n"), "secret_raw", "secret").alias("s"))
+    rest = [c for c in found.columns if c not in file_key]
+    sent = found.select(
+        *file_key, F.struct(*rest).alias("row_"),
+        F.struct(F.length("secret_raw").alias("n"), "secret_raw", "secret").alias("s_"),
+        F.explode(F.sequence(F.lit(-n), F.lit(n))).alias("d_"))
     # longest first, so that a secret inside another one does not spoil it
-    near = reach.groupBy(*key).agg(
-        F.sort_array(F.collect_set("s"), asc=False).alias("_near"))
-    joined = found.join(near, key, "left")
-    return joined.withColumn("context", F.aggregate(
-        "_near", F.col("around"),
-        lambda ctx, s: _blot(ctx, s["secret_raw"], s["secret"])))
+    lines = sent.groupBy(*file_key, (F.col("row_.line") + F.col("d_")).alias("to_")).agg(
+        F.sort_array(F.collect_set("s_"), asc=False).alias("near_"),
+        F.collect_list(F.when(F.col("d_") == 0, F.col("row_"))).alias("rows_"))
+    back = lines.select(*file_key, "near_", F.explode("rows_").alias("row_")).select(
+        *file_key, "near_", "row_.*")
+    return back.withColumn("context", F.aggregate(
+        "near_", F.col("around"), lambda ctx, s: _blot(ctx, s["secret_raw"], s["secret"])))

@@ -78,8 +78,9 @@ def write_scans(scans: DataFrame, path: str) -> None:
 def write_findings(findings: DataFrame, scans: DataFrame, path: str) -> None:
     """Append findings in the partition of their scan's day, clustered by rule."""
     days = scans.select("scan_id", F.to_date("timestamp").alias("scan_date"))
-    (skew_join(findings, days, ["scan_id"]).sortWithinPartitions("scan_date", "rule_id")
-     .write.mode("append").partitionBy("scan_date").parquet(path))
+    # even files whatever the days hold: a day with most of the rows is split
+    (skew_join(findings, days, ["scan_id"]).hint("rebalance", "scan_date")
+     .sortWithinPartitions("scan_date", "rule_id").write.mode("append").partitionBy("scan_date").parquet(path))
 
 
 # --- views -----------------------------------------------------------------------------

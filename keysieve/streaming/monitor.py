@@ -65,7 +65,7 @@ def first_seen_within(urls: DataFrame, memory: str = "90 days", ts: str = "ts")
 
 # --- the monitor: discover, queue, scan -----------------------------------------------------
 
-_DISCOVERED = "url string, found_at timestamp"
+_DISCOVERED = "url string, found_at timestamp, priority int"
 _SCANNED = "url string"
 _CYCLES = "queued long, scanned long"
 
@@ -75,8 +75,8 @@ def monitor(urls: DataFrame, state: str, files: DataFrame | None = None,
             interval: str = INTERVAL) -> StreamingQuery:
     """Queue the new ones of the arriving (url, found_at) and scan some each cycle.
 
-    At most ``per_cycle`` repositories are scanned per cycle, the longest known first;
-    the others stay queued.  A repository is scanned once, whatever comes of it.
+    At most ``per_cycle`` repositories are scanned per cycle, the most urgent first (by
+    ``priority``, if the feed has one), then the longest known; the others stay queued.  A repository is scanned once, whatever comes of it.
     ``files`` (repo, path, content) holds what is scanned, if given.
     """
     spark = urls.sparkSession
@@ -90,11 +90,13 @@ def monitor(urls: DataFrame, state: str, files: DataFrame | None = None,
 
     def each(batch: DataFrame, number: int) -> None:
         known = before(found_table, number)
-        first = latest(batch.select("url", "found_at"), ["url"], F.col("found_at"), last=False)
+        rank = F.col("priority") if "priority" in batch.columns else F.lit(5)
+        first = latest(batch.select("url", "found_at", rank.cast("int").alias("priority")),
+                       ["url"], F.col("found_at"), last=False)
         _write(first.join(known, "url", "left_anti"), found_table, number)
         queue = before(found_table, number + 1).join(
             before(done_table, number), "url", "left_anti")
-        _write(queue.orderBy("found_at", "url").limit(per_cycle).select("url"),
+        _write(queue.orderBy(F.desc("priority"), "found_at", "url").limit(per_cycle).select("url"),
                done_table, number)
         chosen = spark.read.parquet(f"{done_table}/batch={number}")
         if files is not None:

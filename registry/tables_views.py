@@ -377,6 +377,26 @@ def batch_rows(t: Tables):
     return Q.batch_rows(t.sql(_RUNS, "scan_log"))
 
 
+@query(f"""{w('scan_log')} SELECT batch_id, url, name, status, findings, total, success FROM (
+      SELECT batch_id, url, regexp_extract(url, '([^/]*)\\.git$', 1) AS name, status, findings,
+        count(*) OVER (PARTITION BY batch_id) AS total,
+        count(*) FILTER (status = 'success') OVER (PARTITION BY batch_id) AS success
+      FROM ({_RUNS}))""")
+def batch_documents(t: Tables):
+    docs = Q.batch_documents(t.sql(_RUNS, "scan_log"), at_most=40)
+    schema = """struct<batch_id: bigint, summary: struct<total: bigint, success: bigint>, repos:
+        array<struct<url: string, name: string, status: string, findings: bigint>>>"""
+    d = docs.select(F.from_json("document", schema).alias("d")).select(
+        "d.batch_id", "d.summary.*", F.explode("d.repos").alias("r"))
+    return d.select("batch_id", "r.*", "total", "success")
+
+
+@query("""SELECT DISTINCT 'https://github.com/u/r' || user_id || '.git' AS url FROM events""")
+def distinct_urls(t: Tables):
+    return Q.distinct_urls(t.sql(
+        "SELECT 'https://github.com/u/r' || user_id || '.git' AS url FROM events", "events"))
+
+
 @query(f"""{w('repos')} SELECT count(*) AS total, count(*) FILTER (status = 'pending') AS pending,
     count(*) FILTER (status = 'scanned') AS scanned, count(*) FILTER (status = 'error') AS errors,
     count(*) FILTER (findings_count > 0) AS with_findings FROM repos""")
