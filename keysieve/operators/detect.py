@@ -213,7 +213,7 @@ _TOKEN = f"""
 """
 
 # Around a literal: back to the last stop before it, on to the next one behind it.
-_BEFORE = "if(find is null, left(text, instr(text, literal) - 1), null)"
+_BEFORE = "if(find is null and contains(text, literal), left(text, instr(text, literal) - 1), null)"
 _HEAD = f"""
     regexp_replace(before, if(kind = '{CONTAINS}',
       '(?s)\\\\A.*\\\\p{{IsWhite_Space}}', '(?s)\\\\A.*[\\\\p{{IsWhite_Space}}"\\'=:]'), '')
@@ -235,7 +235,7 @@ _OFFSET = """
 
 _HIT = f"""
     case
-      when kind = '{CONTAINS}' then named_struct(
+      when kind = '{CONTAINS}' and before is not null then named_struct(
         'matched', literal, 'secret_raw', around_it, 'col0', octet_length(before))
       when find is null and not {localhost_sql('around_it')}
            and octet_length(around_it) > octet_length(literal) then named_struct(

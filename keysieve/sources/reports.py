@@ -29,8 +29,7 @@ TARGET_SCHEMA = """struct<path: string, type: string, git_branch: string, git_co
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(file, document): whole report files."""
-    return spark.read.option("wholetext", True).option(
-        "pathGlobFilter", "*.json").text(path).select(
+    return spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.col("value").alias("document"))
 
 
