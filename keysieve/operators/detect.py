@@ -2,15 +2,17 @@
 
 Three steps, none of which loops over the catalogue:
 
-1. ``candidates_sql``: patterns compiled from the catalogue list, per line, the
-   trigger literals that could make a rule fire.  Lines without any are gone
-   after this step, which is nearly all of them.
+1. ``gate_sql`` and ``candidates_sql``: plain searches drop the files and lines on
+   which nothing can fire; patterns compiled from the catalogue list, for each line
+   left, the trigger literals that could make a rule fire.
 2. an equi join of the triggers with the broadcast trigger table.
 3. ``match``: the exact test of one trigger on one line, by its kind.
 """
 
 from __future__ import annotations
 
+import os
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +79,47 @@ def assignment_pattern(rules: RuleSet) -> str | None:
     return rf"(?<!{name})({name}++)(?={WS}*+[=:]{WS}*+{value})"
 
 
+def _has(text: str, literal: str) -> str:
+    return f"contains({text}, {sql_string(literal)})"
+
+
+def _dense(text: str, n: int, stops: str = " ") -> str:
+    """There are ``n`` characters in a row without a stop."""
+    run = f"[^{stops}]{{{n}}}"
+    return f"({text} rlike '[{stops}]{run}' or {text} rlike '\\\\A{run}')"
+
+
+def _marks(literals) -> list[str]:
+    """Short searches that find every one of the literals: similar ones share a head."""
+    out: list[str] = []
+    for lit in sorted(literals):
+        head = os.path.commonprefix([out[-1], lit]) if out else ""
+        if len(head) >= 6:
+            out[-1] = head
+        else:
+            out.append(lit)
+    return out
+
+
+def gate_sql(text: str, rules: RuleSet, stops: str = " ") -> str:
+    """A cheap test that holds wherever a rule can fire: on a line, or on a whole file.
+
+    Plain searches come first; source code passes at its first ``=``.  Prose has to go
+    through all of them, and nearly always ends here.
+    """
+    separators = [m for m in "=:" if any(
+        r.kind in (KEY_VALUE, ENDPOINT) or m in "".join(r.triggers) for r in rules.rules)]
+    plain = [x for tag in "cup" for x in rules.literals(tag) if not any(m in x for m in separators)]
+    prefixes = set(rules.literals("p"))
+    tests = [_has(text, m) for m in separators]
+    tests += [_has(text, m) for m in _marks(x for x in plain if x not in prefixes)]
+    lengths = [r.min_len for r in rules.rules if r.kind == PREFIX and r.triggers[0] in plain]
+    if lengths:
+        # a token has no space in it
+        tests.append(_dense(text, min(lengths), stops))
+    return "(" + " or ".join(tests) + ")"
+
+
 def candidates_sql(line: str, rules: RuleSet) -> str:
     """The tagged trigger literals of a line as an array, in SQL text.
 
@@ -88,11 +131,8 @@ def candidates_sql(line: str, rules: RuleSet) -> str:
     def when(test: str, then: str) -> str:
         return f"if({test}, {then}, cast(array() as array<string>))"
 
-    def has(literal: str) -> str:
-        return f"contains({line}, {sql_string(literal)})"
-
     lists = []
-    assigns = f"({has('=')} or {has(':')})"
+    assigns = f"({_has(line, '=')} or {_has(line, ':')})"
 
     pattern = assignment_pattern(rules)
     if pattern:
@@ -105,15 +145,14 @@ def candidates_sql(line: str, rules: RuleSet) -> str:
 
     pattern = prefix_pattern(rules)
     if pattern:
-        # a token has no space and at least this many characters
-        n = min(r.min_len for r in rules.rules if r.kind == PREFIX)
-        dense = f"({line} rlike ' [^ ]{{{n}}}' or {line} rlike '\\\\A[^ ]{{{n}}}')"
+        shortest = min(r.min_len for r in rules.rules if r.kind == PREFIX)
         lists.append(when(
-            dense, f"transform({found(line, pattern)}, p -> concat('p:', p))"))
+            _dense(line, shortest), f"transform({found(line, pattern)}, p -> concat('p:', p))"))
 
     needles = rules.literals("c")
     if needles:
-        flagged = ", ".join(f"if({has(n)}, {sql_string('c:' + n)}, null)" for n in needles)
+        flagged = ", ".join(
+            f"if({_has(line, n)}, {sql_string('c:' + n)}, null)" for n in needles)
         lists.append(f"array_compact(array({flagged}))")
 
     keys = rules.literals("e")
@@ -124,9 +163,11 @@ def candidates_sql(line: str, rules: RuleSet) -> str:
     urls = rules.literals("u")
     if urls:
         # plain searches are much cheaper than the pattern: let them decide
-        marks = " or ".join(has(m) for m in [":"] + [u for u in urls if ":" not in u])
+        marks = [":"] + _marks(u for u in urls if ":" not in u)
         tried = found(line, f"(?=({trie_pattern(urls)}))")
-        lists.append(when(f"({marks})", _with_heads(tried, urls, "u:")))
+        lists.append(when(
+            "(" + " or ".join(_has(line, m) for m in marks) + ")",
+            _with_heads(tried, urls, "u:")))
 
     return f"array_distinct(concat({', '.join(lists)}))"
 

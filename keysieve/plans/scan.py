@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysieve.functions.text import redact
-from keysieve.operators.detect import candidates_sql, detect
+from keysieve.operators.detect import candidates_sql, detect, gate_sql
 from keysieve.operators.resolve import resolve
 from keysieve.sources.files import scannable, split_lines
 from keysieve.sources.rules import RuleSet, load_rules
@@ -23,9 +23,14 @@ def candidate_lines(files: DataFrame, rules: RuleSet, context_lines: int = 0) ->
     hand; later it would take a join with all lines of the corpus.
     """
     kept = [c for c in files.columns if c != "content"]
-    whole = files.select(*kept, split_lines(F.col("content")).alias("lines_"))
-    hits = f"""filter(transform(lines_, (text, i) -> struct(
-        i + 1 as line, text as text, {candidates_sql('text', rules)} as cand)),
+    # most files without a secret are not even split; this is no filter, because one
+    # would be pushed below the projection that yields the content and repeat it
+    gate = F.expr(gate_sql("content", rules, stops=" \\n"))
+    whole = files.select(*kept, F.when(gate, split_lines(F.col("content"))).alias("lines_"))
+    hits = f"""filter(transform(filter(
+        transform(lines_, (text, i) -> struct(i + 1 as line, text as text)),
+        x -> {gate_sql('x.text', rules)}),
+        x -> struct(x.line, x.text, {candidates_sql('x.text', rules)} as cand)),
         x -> size(x.cand) > 0)"""
     if context_lines > 0:
         n = context_lines

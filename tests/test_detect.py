@@ -81,7 +81,7 @@ def test_pathological_lines(scan_lines, long):
 
 def test_candidates_lose_nothing(spark):
     """The full plan finds what trying every trigger on every line finds."""
-    from keysieve.operators.detect import detect, trigger_rows, with_candidates
+    from keysieve.operators.detect import detect, gate_sql, trigger_rows, with_candidates
     from keysieve.sources.rules import load_rules
 
     rules = load_rules()
@@ -102,3 +102,6 @@ def test_candidates_lose_nothing(spark):
     got, want = set(map(tuple, quick.collect())), set(map(tuple, slow.collect()))
     assert len(want) > 800
     assert got == want
+    hit = lines.join(spark.createDataFrame([(n,) for n in {w[0] for w in want}], "line int"), "line")
+    assert hit.where(f"not {gate_sql('text', rules)}").count() == 0
+    assert hit.where("not " + gate_sql("concat('a b\\n', text, '\\nc')", rules, " \\n")).count() == 0
