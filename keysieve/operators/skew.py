@@ -18,11 +18,10 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     twice, the first time for its keys only: give a table, not a long computation.
     """
     counts = left.groupBy(*on).agg(F.count("*").alias("n_"))
-    total = counts.agg(F.sum("n_").alias("total_"))
+    total = counts.agg(F.sum("n_")).scalar()
     # at most HOT_SHARE rows by construction, whatever the size of the data
-    hot = F.broadcast(
-        counts.join(F.broadcast(total)).where(F.col("n_") * HOT_SHARE > F.col("total_"))
-        .where(F.col("n_") > SALTS).select(*on, F.lit(True).alias("hot_")))
+    hot = F.broadcast(counts.where((F.col("n_") > SALTS) & (F.col("n_") * HOT_SHARE > total))
+                      .select(*on, F.lit(True).alias("hot_")))
     rest = [c for c in left.columns if c not in on]
     salt = F.pmod(F.xxhash64(*(rest or on)), F.lit(SALTS))
     salted = left.join(hot, on, "left").withColumn(
@@ -38,10 +37,13 @@ def latest(rows: DataFrame, key: list[str], order: Column, last: bool = True) ->
     """One row per key, the last (or first) in ``order``.
 
     An aggregation, not a window: each task reduces its own rows before the shuffle,
-    so a hot key costs one row per task.
+    so a hot key costs one row per task.  A tie is broken by the rows' contents, so that
+    a task that runs again picks the same row.
     """
     pick = F.max_by if last else F.min_by
     rest = [c for c in rows.columns if c not in key]
+    if rest:
+        order = F.struct(order, F.xxhash64(*rest))
     return rows.groupBy(*key).agg(
         pick(F.struct(*rest), order).alias("row_")).select(*key, "row_.*")
 

@@ -103,8 +103,9 @@ def monitor(urls: DataFrame, state: str, files: DataFrame | None = None,
             todo = files.join(F.broadcast(chosen), files["repo"] == chosen["url"], "left_semi")
             _write(scan_files(todo, rules), f"{state}/findings", number)
         left = queue.join(chosen, "url", "left_anti")
-        _write(left.agg(F.count("*").alias("queued")).join(
-            chosen.agg(F.count("*").alias("scanned"))), f"{state}/cycles", number)
+        both = left.select(F.lit(0).alias("done")).unionByName(chosen.select(F.lit(1).alias("done")))
+        _write(both.agg(F.count_if(F.col("done") == 0).alias("queued"),
+                        F.count_if(F.col("done") == 1).alias("scanned")), f"{state}/cycles", number)
 
     return _start(urls, each, f"{state}/checkpoint", once, interval)
 

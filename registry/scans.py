@@ -168,10 +168,10 @@ def path_filters(t: Tables):
         S.scannable(p).alias("scanned"))
 
 
-@query("""SELECT doc_id, length(text) AS n FROM documents WHERE doc_id % 7 <> 0""")
+@query("""SELECT doc_id, length(text) AS n FROM documents WHERE lang <> 'fr'""")
 def utf8_gate(t: Tables):
     raw = F.col("text").cast("binary")
-    broken = F.when(F.col("doc_id") % 7 == 0, F.concat(raw, F.unhex(F.lit("FF")))).otherwise(raw)
+    broken = F.when(F.col("lang") == "fr", F.concat(raw, F.unhex(F.lit("FF")))).otherwise(raw)
     return S.text_files(t["documents"].withColumn("content", broken)).select(
         "doc_id", F.length("content").cast("long").alias("n"))
 
@@ -255,9 +255,9 @@ def text_urls(t: Tables):
 
 @query("""SELECT DISTINCT event_type AS source,
     'https://github.com/u' || user_id || '/p' || (event_id % 9) || '.git' AS url
-    FROM events WHERE event_id % 3 <> 0""")
+    FROM events WHERE event_type <> 'view'""")
 def event_urls(t: Tables):
-    names = t.sql("""SELECT event_type AS source, CASE WHEN event_id % 3 = 0 THEN 'nobody'
+    names = t.sql("""SELECT event_type AS source, CASE WHEN event_type = 'view' THEN 'nobody'
         ELSE 'u' || user_id || '/p' || (event_id % 9) END AS name FROM events""", "events")
     return feeds.event_urls(names)
 
@@ -273,13 +273,13 @@ def capped_urls(t: Tables):
 
 _NEW = f"""{w('payloads', 'repos')}, incoming AS (SELECT DISTINCT source, url FROM {_PAYLOAD}),
     known AS (SELECT 'https://gitlab.com/g/r' || c_custkey || '.git' AS url FROM customer
-              WHERE c_custkey % 2 = 0)"""
+              WHERE c_mktsegment = 'BUILDING')"""
 
 
 def _incoming(t: Tables):
     urls = feeds.payload_urls(t["payloads"]).distinct()
     known = t.sql("""SELECT 'https://gitlab.com/g/r' || c_custkey || '.git' AS url FROM customer
-        WHERE c_custkey % 2 = 0""", "customer")
+        WHERE c_mktsegment = 'BUILDING'""", "customer")
     return urls, insert_new(urls, known, ["url"], F.col("source"))
 
 
@@ -360,7 +360,7 @@ def removed_secrets(t: Tables):
 _VERDICTS = """SELECT rule_id, secret_preview, CASE n % 5 WHEN 0 THEN 200 WHEN 1 THEN 401
       WHEN 2 THEN 429 WHEN 3 THEN 403 ELSE 500 END AS http_code, at AS checked_at
     FROM (SELECT rule_id, secret_preview, max(line_number) AS n, max(column_number) AS at
-          FROM findings WHERE column_number % 2 = 0 GROUP BY rule_id, secret_preview) v"""
+          FROM findings WHERE verification_status <> 'pending' GROUP BY rule_id, secret_preview) v"""
 _VERIFIABLE = ", ".join(D.q(r) for r in I.VERIFIABLE_RULES)
 
 
