@@ -104,7 +104,8 @@ def scan_id(ts: Column) -> Column:
 
 
 def iso_utc(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    utc = F.to_utc_timestamp(ts, F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def secret_hash(rule_id: Column, path: Column, line: Column, preview: Column) -> Column:

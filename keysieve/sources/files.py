@@ -86,10 +86,15 @@ def tracked_only(files: DataFrame, tracked: DataFrame, on=("repo", "path")) -> D
 
 
 def split_lines(content: Column) -> Column:
-    """Lines as an array: one ending is cut off each, a last empty line is none."""
-    parts = F.split(content, "\r?\n")
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
-                  ).otherwise(parts)
+    """Lines as an array: one ending is cut off each, and the last one starts no line.
+
+    Null for an empty file.
+    """
+    n = F.length(content)
+    body = (F.when(content.endswith("\r\n"), F.substring(content, F.lit(1), n - 2))
+            .when(content.endswith("\n"), F.substring(content, F.lit(1), n - 1))
+            .otherwise(content))
+    return F.when(content != "", F.split(body, "\r?\n"))
 
 
 def explode_lines(files: DataFrame) -> DataFrame:

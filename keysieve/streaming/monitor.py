@@ -112,3 +112,10 @@ def monitor(urls: DataFrame, state: str, files: DataFrame | None = None,
 
 def read_state(spark: SparkSession, state: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{state}/{table}").where(F.col("batch") >= 0)
+
+
+def summary(spark: SparkSession, state: str) -> DataFrame:
+    """Where the monitor stands: repositories queued and scanned, cycles run."""
+    return read_state(spark, state, "cycles").agg(
+        F.max_by("queued", "batch").alias("queued"), F.sum("scanned").alias("scanned"),
+        F.count("*").alias("cycles"))

@@ -74,7 +74,8 @@ def test_split_over_lines(scan_lines):
 
 
 @pytest.mark.parametrize("long", ["-" * 20000 + ":", "a-" * 10000 + "= x", "=" * 20000,
-                                  '"' * 20001, "sk-" * 7000, "token=" * 3000, "." * 20000])
+                                  '"' * 20001, "sk-" * 7000, "token=" * 3000, "." * 20000,
+                                  "var a='b';" * 200_000, "x" * 2_000_000 + "token='"])
 def test_pathological_lines(scan_lines, long):
     assert scan_lines([long, "password = " + A(8)])[-1] == (2, 1, "generic-password", A(8))
 
