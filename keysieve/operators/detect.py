@@ -12,6 +12,7 @@ Three steps, none of which loops over the catalogue:
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +54,7 @@ def trie_pattern(literals, leaf=lambda literal: "") -> str:
 def prefix_pattern(rules: RuleSet) -> str | None:
     """Finds prefix literals at a left boundary with a long enough token behind."""
     need: dict[str, list[str]] = {}
-    for t in rules.triggers():
+    for t in rules.triggers:
         if t["kind"] == PREFIX:
             literal = t["trig"][2:]
             rest = max(0, t["min_len"] - len(literal))
@@ -101,6 +102,7 @@ def _marks(literals) -> list[str]:
     return out
 
 
+@lru_cache(maxsize=64)
 def gate_sql(text: str, rules: RuleSet, stops: str = " ") -> str:
     """A cheap test that holds wherever a rule can fire: on a line, or on a whole file.
 
@@ -120,6 +122,7 @@ def gate_sql(text: str, rules: RuleSet, stops: str = " ") -> str:
     return "(" + " or ".join(tests) + ")"
 
 
+@lru_cache(maxsize=64)
 def candidates_sql(line: str, rules: RuleSet) -> str:
     """The tagged trigger literals of a line as an array, in SQL text.
 
@@ -227,10 +230,11 @@ def place_pattern(trigger: dict) -> list[str] | None:
     return None
 
 
+@lru_cache(maxsize=64)
 def trigger_rows(rules: RuleSet) -> list[dict]:
     """The trigger table with the patterns of each trigger."""
     return [dict(t, find=find_pattern(t), first=first_pattern(t), place=place_pattern(t))
-            for t in rules.triggers()]
+            for t in rules.triggers]
 
 
 # A raw token passes as a secret of its kind.

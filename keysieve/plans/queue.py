@@ -231,10 +231,10 @@ def top_eligible(eligible: DataFrame, n: int = 50) -> DataFrame:
     return eligible.orderBy(F.desc_nulls_last("max_payout"), "finding_id", "program").limit(n)
 
 
-def finding_detail(findings: DataFrame, repos: DataFrame, progs: DataFrame, finding_id
+def finding_detail(findings: DataFrame, repos: DataFrame, progs: DataFrame, which: Column
                    ) -> tuple[DataFrame, DataFrame]:
-    """One finding, and the programs that take it."""
-    one = findings.where(F.col("finding_id") == finding_id)
+    """The chosen finding, and the programs that take it."""
+    one = findings.where(which)
     return with_repos(one, repos), one.select("finding_id", "rule_id").join(
         rule_programs(progs), "rule_id")
 

@@ -125,6 +125,35 @@ def sarif_documents(findings: DataFrame, by: list[str], at_most: int = 10_000) -
         *by, "part", "parts", F.to_json(doc).alias("document"))
 
 
+def summaries(findings: DataFrame, by: list[str]) -> DataFrame:
+    """The whole summary of each scan, out of one list of its counts by rule.
+
+    The list has at most one entry per rule, so the rest is arithmetic inside a row.
+    """
+    pairs = F.sort_array(F.collect_list(F.struct(F.col("findings").alias("n"), "rule_id")),
+                         asc=False)
+    rows = by_rule(findings, by).groupBy(*by).agg(pairs.alias("pairs"))
+
+    def added(test: Column | None = None) -> Column:
+        chosen = F.col("pairs") if test is None else F.filter("pairs", test)
+        return F.aggregate(chosen, F.lit(0).cast("bigint"), lambda total, p: total + p["n"])
+
+    categories = F.array_distinct(F.transform("pairs", lambda p: category(p["rule_id"])))
+    by_category = F.sort_array(F.transform(categories, lambda c: F.struct(
+        added(lambda p: category(p["rule_id"]) == c).alias("n"), c.alias("category"))), asc=False)
+    counted = rows.select(
+        *by, added().alias("total_findings"),
+        F.size("pairs").cast("bigint").alias("unique_rules"),
+        added(lambda p: is_high(p["rule_id"])).alias("high"),
+        added(lambda p: is_medium(p["rule_id"])).alias("medium"),
+        F.map_from_entries(F.transform("pairs", lambda p: F.struct(p["rule_id"], p["n"]))
+                           ).alias("by_rule"),
+        F.map_from_entries(F.transform(by_category, lambda c: F.struct(c["category"], c["n"]))
+                           ).alias("by_category"))
+    return counted.withColumn("low", F.greatest(
+        F.lit(0), F.col("total_findings") - F.col("high") - F.col("medium")))
+
+
 def report_documents(findings: DataFrame, scans: DataFrame, at_most: int = 10_000) -> DataFrame:
     """One version 2.0 report per scan, with its target and summary.
 
@@ -142,20 +171,9 @@ def report_documents(findings: DataFrame, scans: DataFrame, at_most: int = 10_00
                  F.lit(None).cast("boolean").alias("is_active")).alias("verification"))
     items = _document(ids, by, item, at_most)
 
-    def counts(df: DataFrame, key: str, name: str) -> DataFrame:
-        # at most one entry per rule
-        pairs = F.sort_array(F.collect_list(F.struct(F.col("findings").alias("n"), key)), asc=False)
-        return df.groupBy(*by).agg(F.map_from_entries(
-            F.transform(pairs, lambda p: F.struct(p[key], p["n"]))).alias(name))
-
-    summed = (
-        totals(findings, by)
-        .join(counts(by_rule(findings, by), "rule_id", "by_rule"), by)
-        .join(counts(by_category(findings, by), "category", "by_category"), by)
-    )
     # a row per document, so that a scan of many documents is not one key of the join
     n = F.greatest(F.ceil(F.coalesce("total_findings", F.lit(0)) / at_most), F.lit(1))
-    heads = scans.join(summed, by, "left").withColumn("parts", n).withColumn(
+    heads = scans.join(summaries(findings, by), by, "left").withColumn("parts", n).withColumn(
         "part", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("parts"))))
     full = heads.join(items.drop("parts"), [*by, "part"], "left")
     none = F.create_map().cast("map<string,bigint>")

@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import re
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -69,11 +69,14 @@ class RuleSet:
         Both take a list of ids or one comma-separated string.
         """
         only, exclude = _id_list(only), _id_list(exclude)
+        if not only and not exclude:
+            return self
         return RuleSet(tuple(
             r for r in self.rules
             if (not only or r.id in only) and r.id not in exclude
         ))
 
+    @cached_property
     def triggers(self) -> list[dict]:
         """One row per literal that can make a rule fire.
 
@@ -108,7 +111,7 @@ class RuleSet:
 
     def literals(self, tag: str) -> list[str]:
         """Distinct trigger literals of one kind tag, e.g. ``p`` for prefixes."""
-        return sorted({t["trig"][2:] for t in self.triggers() if t["trig"][0] == tag})
+        return sorted({t["trig"][2:] for t in self.triggers if t["trig"][0] == tag})
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         """The catalogue: one row per rule."""

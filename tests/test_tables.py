@@ -82,6 +82,7 @@ def test_report_round_trip(spark, tmp_path):
     docs = R.report_documents(scanned(spark), scans)
     one = {d.scan_id: json.loads(d.document) for d in docs.collect()}
     assert one["s1"]["summary"]["findings_by_rule"] == {"github-pat": 60}
+    assert one["s1"]["summary"]["findings_by_category"] == {"github": 60}
     assert one["s1"]["summary"]["severity_breakdown"] == {"high": 0, "medium": 0, "low": 60}
     assert [f["id"] for f in one["s1"]["findings"]] == list(range(1, 61))
     assert one["s3"]["findings"] == []
@@ -129,3 +130,14 @@ def test_programs(spark):
     assert Q.programs(spark).count() == 13
     assert {r.rule_id for r in progs.where("program = 'GitHub'").collect()} == {
         "github-pat", "github-oauth", "github-fine-grained"}
+
+
+def test_finding_detail(spark):
+    from registry.base import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    f = t["queue_findings"]
+    one = f.where("rule_id = 'github-pat'").agg(F.min("finding_id")).first()[0]
+    detail, programs = Q.finding_detail(f, t["repos"], Q.programs(spark), F.col("finding_id") == one)
+    assert detail.count() == 1 and "platform" in detail.columns
+    assert [r.program for r in programs.collect()] == ["GitHub"]
