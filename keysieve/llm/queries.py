@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keysieve.llm import packing, pfor, warc
+from keysieve.llm import hyperminhash, packing, pfor, warc
 from keysieve.llm.shared import table
 
 QUERIES: dict = {}
@@ -54,3 +54,8 @@ def op2_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages"))).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_copies(table(spark, sf_dir, "documents"))
