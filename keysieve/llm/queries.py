@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keysieve.llm import hyperminhash, packing, pfor, warc
+from keysieve.llm import (
+    decontaminate, embedding_dedup, hmm, hyperminhash, packing, pfor, warc,
+)
 from keysieve.llm.shared import table
 
 QUERIES: dict = {}
@@ -59,3 +61,42 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+@query("""
+    WITH d AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text),
+                      '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM documents),
+    b AS (SELECT item_id AS id, list_filter(string_split_regex(lower(text),
+                 '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM benchmark),
+    ds AS (SELECT DISTINCT id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+                  lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM d WHERE len(w) > 0),
+    bs AS (SELECT DISTINCT id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+                  lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM b WHERE len(w) > 0),
+    n AS (SELECT id, count(*) AS n_item FROM bs GROUP BY id)
+    SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS n_shared, any_value(n_item) AS n_item,
+           count(*) / any_value(n_item) AS containment
+    FROM ds JOIN bs USING (s) JOIN n ON n.id = bs.id
+    GROUP BY ds.id, bs.id HAVING count(*) >= ceil(0.8 * any_value(n_item) - 1e-9)""")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"),
+                                   table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op4_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
+@query("""
+    WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+                         WHERE label IS NOT NULL),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b USING (label)
+          WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+    r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a),
+    c AS (SELECT a, least(a, min(b)) AS component FROM r GROUP BY a)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component, vec_id) AS component_id,
+           coalesce(component, vec_id) = vec_id AS kept
+    FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id""")
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_copies(table(spark, sf_dir, "embeddings"))
