@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keysieve.llm import (
-    decontaminate, embedding_dedup, hmm, hyperminhash, packing, pfor, warc,
+    decontaminate, embedding_dedup, hmm, html_text, hyperminhash, langid, packing, pfor,
+    quality, warc,
 )
 from keysieve.llm.shared import table
 
@@ -100,3 +101,18 @@ def op4_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id""")
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
