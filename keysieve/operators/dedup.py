@@ -14,10 +14,10 @@ FINDING_KEY = ["repo_url", "rule_id", "file_path", "line_number", "secret_hash"]
 def insert_new(incoming: DataFrame, known: DataFrame, key: list[str], order: Column) -> DataFrame:
     """The rows to append: first of each key among the incoming, unknown so far.
 
-    Duplicates are gone before the anti join, so no key is hot in it.
+    Duplicates are gone on both sides before the anti join, so no key is hot in it.
     """
     first = latest(incoming, key, order, last=False)
-    return first.join(known.select(*key), key, "left_anti").select(*incoming.columns)
+    return first.join(known.select(*key).distinct(), key, "left_anti").select(*incoming.columns)
 
 
 def insert_counts(incoming: DataFrame, new: DataFrame, by: str) -> DataFrame:

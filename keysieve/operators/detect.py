@@ -12,6 +12,7 @@ Three steps, none of which loops over the catalogue:
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -90,6 +91,16 @@ def _dense(text: str, n: int, stops: str = " ") -> str:
     return f"({text} rlike '[{stops}]{run}' or {text} rlike '\\\\A{run}')"
 
 
+def _spaced(literal: str) -> bool:
+    """The literal holds white space, so a token with it is no run without a stop."""
+    return bool(re.search(r"\s", literal))
+
+
+def _odd_keys(rules: RuleSet) -> list[str]:
+    """Keys with signs that no name of an assignment has: dots, blanks and others."""
+    return [k for k in rules.literals("k") if not all(c.isalnum() or c in "_-" for c in k)]
+
+
 def _marks(literals) -> list[str]:
     """Short searches that find every one of the literals: similar ones share a head."""
     out: list[str] = []
@@ -115,7 +126,9 @@ def gate_sql(text: str, rules: RuleSet, stops: str = " ") -> str:
     prefixes = set(rules.literals("p"))
     tests = [_has(text, m) for m in separators]
     tests += [_has(text, m) for m in _marks(x for x in plain if x not in prefixes)]
-    lengths = [r.min_len for r in rules.rules if r.kind == PREFIX and r.triggers[0] in plain]
+    tests += [_has(text, m) for m in _marks(x for x in prefixes if x in plain and _spaced(x))]
+    lengths = [r.min_len for r in rules.rules if r.kind == PREFIX and r.triggers[0] in plain
+               and not _spaced(r.triggers[0])]
     if lengths:
         # a token has no space in it
         tests.append(_dense(text, min(lengths), stops))
@@ -146,11 +159,21 @@ def candidates_sql(line: str, rules: RuleSet) -> str:
         lists.append(when(
             assigns, f"flatten(transform({found(line, pattern)}, name -> array({tails})))"))
 
+    odd = _odd_keys(rules)
+    if odd:
+        # such a key is looked for as it stands; the exact test decides
+        flagged = ", ".join(
+            f"if({_has(f'lower({line})', k)}, {sql_string('k:' + k)}, null)" for k in odd)
+        lists.append(when(assigns, f"array_compact(array({flagged}))"))
+
     pattern = prefix_pattern(rules)
     if pattern:
-        shortest = min(r.min_len for r in rules.rules if r.kind == PREFIX)
-        lists.append(when(
-            _dense(line, shortest), f"transform({found(line, pattern)}, p -> concat('p:', p))"))
+        shortest = [r.min_len for r in rules.rules
+                    if r.kind == PREFIX and not _spaced(r.triggers[0])]
+        tests = [_dense(line, min(shortest))] if shortest else []
+        tests += [_has(line, m) for m in _marks(x for x in rules.literals("p") if _spaced(x))]
+        lists.append(when("(" + " or ".join(tests) + ")",
+                          f"transform({found(line, pattern)}, p -> concat('p:', p))"))
 
     needles = rules.literals("c")
     if needles:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keysieve.workspace import stored
+
 SALTS = 64
 HOT_SHARE = 1000  # a key with more than 1/1000 of the rows is hot, so at most 1000 are
 
@@ -49,25 +51,20 @@ def latest(rows: DataFrame, key: list[str], order: Column, last: bool = True) ->
 
 
 def numbered(rows: DataFrame, by: list[str], path: str = "path", line: str = "line",
-             order: tuple = ("pos",), block: int = 4096, name: str = "id") -> DataFrame:
-    """Number the rows of each ``by`` group 1..n, file by file and line by line.
+             order: tuple = ("pos",), name: str = "id") -> DataFrame:
+    """Number the rows of each ``by`` group 1..n in the order of path, line and ``order``.
 
-    Files come in the order of a digest of their path, which cuts a large group into
-    256 even slices; a large file is cut into blocks of lines.  Counts of the blocks,
-    added up, give every block its first number, so that no task sorts a whole group.
+    Rows are dealt by ranges of that order, so a large group is cut into even ranges.
+    Counts of the ranges, added up, give each its first number: one row per range and
+    group, and no task sorts a whole group.
     """
-    cut = rows.withColumn("slice_", F.substring(F.md5(F.col(path)), 1, 2)).withColumn(
-        "block_", F.floor(F.col(line) / block))
-    part = [*by, "slice_", path, "block_"]
-    blocks = cut.groupBy(*part).agg(F.count("*").alias("n_"))
-    slices = blocks.groupBy(*by, "slice_").agg(F.sum("n_").alias("n_"))
-    in_group = W.partitionBy(*by).orderBy("slice_").rowsBetween(W.unboundedPreceding, -1)
-    in_slice = W.partitionBy(*by, "slice_").orderBy(path, "block_").rowsBetween(
-        W.unboundedPreceding, -1)
-    first = blocks.withColumn("o1_", F.coalesce(F.sum("n_").over(in_slice), F.lit(0))).join(
-        slices.withColumn("o2_", F.coalesce(F.sum("n_").over(in_group), F.lit(0))).drop("n_"),
-        [*by, "slice_"])
-    first = first.withColumn("base_", F.col("o1_") + F.col("o2_")).select(*part, "base_")
-    rank = F.row_number().over(W.partitionBy(*part).orderBy(line, *order))
-    return (cut.join(first, part).withColumn(name, F.col("base_") + rank)
-            .drop("slice_", "block_", "base_"))
+    place = [*by, path, line, *order]
+    ranged = stored(rows.repartitionByRange(*place).withColumn(
+        "range_", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(*by, "range_").agg(F.count("*").alias("n_"))
+    first = counts.withColumn("base_", F.coalesce(F.sum("n_").over(
+        W.partitionBy(*by).orderBy("range_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        ).drop("n_")
+    rank = F.row_number().over(W.partitionBy(*by, "range_").orderBy(path, line, *order))
+    return (ranged.withColumn("rank_", rank).join(first, [*by, "range_"])
+            .withColumn(name, F.col("base_") + F.col("rank_")).drop("range_", "rank_", "base_"))

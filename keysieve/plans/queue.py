@@ -52,7 +52,8 @@ def next_repos(repos: DataFrame, n: int = 50, min_priority: int = 0) -> DataFram
 
 def unscanned(urls: DataFrame, scanned: DataFrame) -> DataFrame:
     """Distinct URLs that were never scanned."""
-    return urls.select("url").distinct().join(scanned.select("url"), "url", "left_anti")
+    return urls.select("url").distinct().join(
+        scanned.select("url").distinct(), "url", "left_anti")
 
 
 def distinct_urls(urls: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def scan_durations(scan_log: DataFrame) -> DataFrame:
 def feed_cursors(fetches: DataFrame) -> DataFrame:
     """Per feed: last cursor, last fetch and the repositories fetched so far."""
     return fetches.groupBy("name").agg(
-        F.max_by("cursor", "fetched_at").alias("last_cursor"),
+        F.max_by("cursor", F.struct("fetched_at", "cursor")).alias("last_cursor"),
         F.max("fetched_at").alias("last_fetched_at"), F.sum("new").alias("repos_fetched"))
 
 
@@ -189,17 +190,19 @@ def with_repos(findings: DataFrame, repos: DataFrame) -> DataFrame:
 
 
 def recent_findings(findings: DataFrame, repos: DataFrame, n: int = 5) -> DataFrame:
-    # the newest are chosen first: the join adds nothing to their order
-    newest = findings.join(repos.select(F.col("url").alias("repo_url")), "repo_url", "left_semi"
-                           ).orderBy(F.desc("found_at"), "finding_id").limit(n)
-    return newest.select("finding_id", "rule_id", "secret_preview", "repo_url", "found_at")
+    """The newest findings of known repositories; a repository with most of them is salted."""
+    known = skew_join(findings, repos.select(F.col("url").alias("repo_url")), ["repo_url"])
+    return known.orderBy(F.desc("found_at"), "finding_id").limit(n).select(
+        "finding_id", "rule_id", "secret_preview", "repo_url", "found_at")
 
 
 def list_findings(findings: DataFrame, repos: DataFrame, where: Column | None = None,
                   n: int = 100) -> DataFrame:
     chosen = findings if where is None else findings.where(where)
-    newest = chosen.orderBy(F.desc("found_at"), "finding_id").limit(n)
-    return newest.join(repos.select(F.col("url").alias("repo_url"), "platform"), "repo_url").select(
+    # joined first: findings of unknown repositories take no place in the listing
+    known = skew_join(chosen, repos.select(F.col("url").alias("repo_url"), "platform"),
+                      ["repo_url"])
+    return known.orderBy(F.desc("found_at"), "finding_id").limit(n).select(
         "finding_id", "rule_id", "secret_preview", "file_path", "line_number", "platform",
         F.substring("repo_url", 1, 50).alias("repo_url"), "found_at")
 

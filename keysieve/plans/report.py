@@ -95,18 +95,31 @@ def _document(rows: DataFrame, by: list[str], item: Column, at_most: int) -> Dat
         F.transform(F.array_sort(F.collect_list("e")), lambda e: e["item"]).alias("items"))
 
 
-def json_documents(findings: DataFrame, by: list[str], at_most: int = 10_000) -> DataFrame:
-    """One JSON document of findings per scan."""
+def _with_clean(items: DataFrame, scans: DataFrame | None, by: list[str]) -> DataFrame:
+    """Also an empty document for each of ``scans`` that has no finding."""
+    if scans is None:
+        return items
+    clean = scans.select(*by).distinct().join(items.select(*by).distinct(), by, "left_anti")
+    one = F.lit(1).cast("bigint")
+    return items.unionByName(clean.select(
+        *by, one.alias("part"), one.alias("parts"),
+        F.array().cast(items.schema["items"].dataType).alias("items")))
+
+
+def json_documents(findings: DataFrame, by: list[str], at_most: int = 10_000,
+                   scans: DataFrame | None = None) -> DataFrame:
+    """One JSON document of findings per scan; of all ``scans``, if given."""
     item = F.struct("rule_id", "rule_name", F.col("path").alias("file"), "line", "column",
                     "secret", "context")
     doc = F.struct(F.lit("1.0").alias("version"), F.lit(SCANNER).alias("scanner"),
                    F.col("items").alias("findings"))
-    return _document(findings, by, item, at_most).select(
+    return _with_clean(_document(findings, by, item, at_most), scans, by).select(
         *by, "part", "parts", F.to_json(doc).alias("document"))
 
 
-def sarif_documents(findings: DataFrame, by: list[str], at_most: int = 10_000) -> DataFrame:
-    """One SARIF 2.1.0 log per scan."""
+def sarif_documents(findings: DataFrame, by: list[str], at_most: int = 10_000,
+                    scans: DataFrame | None = None) -> DataFrame:
+    """One SARIF 2.1.0 log per scan; of all ``scans``, if given."""
     place = F.struct(
         F.struct(F.col("path").alias("uri")).alias("artifactLocation"),
         F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn")
@@ -121,7 +134,7 @@ def sarif_documents(findings: DataFrame, by: list[str], at_most: int = 10_000) -
     run = F.struct(F.struct(driver.alias("driver")).alias("tool"), F.col("items").alias("results"))
     doc = F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"),
                    F.array(run).alias("runs"))
-    return _document(findings, by, item, at_most).select(
+    return _with_clean(_document(findings, by, item, at_most), scans, by).select(
         *by, "part", "parts", F.to_json(doc).alias("document"))
 
 

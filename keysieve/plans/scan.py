@@ -6,6 +6,8 @@ no line is shuffled.  Only matches are: once, by file and line, to be resolved.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from keysieve.sources.files import scannable, split_lines
 from keysieve.sources.rules import RuleSet, load_rules
 
 
+ID_KEY = "keysieve"
+
+
 def candidate_lines(files: DataFrame, rules: RuleSet, context_lines: int = 0) -> DataFrame:
     """(…, content) -> (…, line, text, cand, around) for lines worth a closer look.
 
@@ -54,13 +59,16 @@ def scan_files(
     exclude=None,
     filter_paths: bool = True,
     keep_raw: bool = False,
+    id_key: str = ID_KEY,
 ) -> DataFrame:
     """Findings of a table of files.
 
     ``files`` has ``path``, ``content`` and any columns that come with the file, such
     as ``repo``; together they identify the file.  ``hide`` says which secrets are
     blotted out of the context lines: "own" (of the finding itself) or "all" (of every
-    finding in view).  The raw secret is dropped unless ``keep_raw`` asks for it.
+    finding in the file).  The raw secret is dropped unless ``keep_raw`` asks for it.
+    ``secret_id`` is a digest keyed with ``id_key``: set one of your own, or short secrets
+    can be looked up.
     """
     rules = (rules or load_rules()).subset(only, exclude)
     if filter_paths:
@@ -75,13 +83,13 @@ def scan_files(
         found.withColumn("column", F.col("col0") + 1)
         .withColumn("matched", redact(F.col("matched")) if redacted else F.col("matched"))
         .withColumn("secret", shown)
-        .withColumn("secret_id", F.sha2("secret_raw", 256))
+        .withColumn("secret_id", F.sha2(F.concat(F.lit(id_key + ":"), "secret_raw"), 256))
     )
     if context_lines > 0:
         found = found.withColumn("context", _blot(
             F.col("around"), F.col("secret_raw"), F.col("secret")))
         if redacted and hide == "all":
-            found = _blot_neighbours(found, [c for c in key if c != "line"], context_lines)
+            found = _blot_all(found, [c for c in key if c != "line"])
     out = key + ["column", "pos", "rule_id", "rule_name", "matched", "secret", "secret_id"]
     if context_lines > 0:
         out.append("context")
@@ -97,23 +105,17 @@ def _blot(context: Column, secret: Column, shown: Column) -> Column:
         c["is_match"].alias("is_match")))
 
 
-def _blot_neighbours(found: DataFrame, file_key: list[str], n: int) -> DataFrame:
-    """Blot out of each context the secrets of the findings within ``n`` lines.
+def _blot_all(found: DataFrame, file_key: list[str]) -> DataFrame:
+    """Blot out of each context all secrets found anywhere in the file.
 
-    Each finding goes to its own line, and its secret to every line in its reach; a line
-    then has what it needs.  The work is spread by line even when one file holds most of
-    the findings, and the scan below is read once.
+    A file's secrets are reduced in each task before they are sent; the join is one that
+    Spark splits when a file holds most findings.
     """
-    rest = [c for c in found.columns if c not in file_key]
-    sent = found.select(
-        *file_key, F.struct(*rest).alias("row_"),
-        F.struct(F.length("secret_raw").alias("n"), "secret_raw", "secret").alias("s_"),
-        F.explode(F.sequence(F.lit(-n), F.lit(n))).alias("d_"))
+    secrets = found.groupBy(*file_key).agg(F.sort_array(F.collect_set(F.struct(
+        F.length("secret_raw").alias("n"), "secret_raw", "secret")), asc=False).alias("all_"))
+    same = [found[c].eqNullSafe(secrets[c]) for c in file_key]
+    both = found.join(secrets, reduce(lambda a, b: a & b, same)).select(found["*"], "all_")
     # longest first, so that a secret inside another one does not spoil it
-    lines = sent.groupBy(*file_key, (F.col("row_.line") + F.col("d_")).alias("to_")).agg(
-        F.sort_array(F.collect_set("s_"), asc=False).alias("near_"),
-        F.collect_list(F.when(F.col("d_") == 0, F.col("row_"))).alias("rows_"))
-    back = lines.select(*file_key, "near_", F.explode("rows_").alias("row_")).select(
-        *file_key, "near_", "row_.*")
-    return back.withColumn("context", F.aggregate(
-        "near_", F.col("around"), lambda ctx, s: _blot(ctx, s["secret_raw"], s["secret"])))
+    return both.withColumn("context", F.aggregate(
+        "all_", F.col("around"), lambda ctx, s: _blot(ctx, s["secret_raw"], s["secret"]))
+    ).drop("all_")

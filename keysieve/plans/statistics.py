@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keysieve.functions.identity import known_host, url_host
@@ -43,9 +42,8 @@ def corpus_statistics(reports: DataFrame) -> DataFrame:
 
 
 def with_share(counts: DataFrame, n: str = "findings") -> DataFrame:
-    """Adds each row's percentage to a table of counts, a few hundred rows at most."""
-    total = F.sum(n).over(W.partitionBy())
-    return counts.withColumn("percent", share(F.col(n), total))
+    """Adds each row's percentage to a table of counts of any size."""
+    return counts.withColumn("percent", share(F.col(n), counts.agg(F.sum(n)).scalar()))
 
 
 def by_rule(findings: DataFrame) -> DataFrame:

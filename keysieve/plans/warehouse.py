@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keysieve.operators.dedup import upsert
-from keysieve.operators.skew import skew_join
+from keysieve.operators.skew import latest, skew_join
 
 SCAN_COLUMNS = [
     "scan_id", "scanner_version", "timestamp", "target_path", "target_type", "git_remote",
@@ -66,8 +65,15 @@ def import_reports(reports: DataFrame, imported_at: Column | None = None
 
 
 def upsert_scans(current: DataFrame, incoming: DataFrame, order: Column) -> DataFrame:
-    """Scans by ``scan_id``; a scan imported again takes the place of the old row."""
-    return upsert(current, incoming, ["scan_id"], order)
+    """Scans by ``scan_id``; of a scan imported again only ``total_findings`` is taken."""
+    newest = latest(incoming, ["scan_id"], order)
+    counts = newest.select("scan_id", F.col("total_findings").alias("again_"),
+                           F.lit(True).alias("known_"))
+    kept = current.join(counts, "scan_id", "left").withColumn(
+        "total_findings", F.when(F.col("known_"), F.col("again_")).otherwise(
+            F.col("total_findings"))).select(*current.columns)
+    new = newest.join(current.select("scan_id").distinct(), "scan_id", "left_anti")
+    return kept.unionByName(new.select(*current.columns))
 
 
 def write_scans(scans: DataFrame, path: str) -> None:

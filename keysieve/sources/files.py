@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +26,18 @@ LOCK_FILES = [
 
 
 def read_tree(spark: SparkSession, root: str, path_glob: str | None = None) -> DataFrame:
-    """All files below ``root`` as (path, content), content still binary."""
+    """The scannable files below ``root`` as (path, content), content still binary.
+
+    Paths are tested below the root, so a hidden root hides nothing, and before a file is
+    opened, so a skipped file may be of any length.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if path_glob:
         reader = reader.option("pathGlobFilter", path_glob)
-    return reader.load(root).select("path", "content")
+    below = F.regexp_replace(
+        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))),
+        "(?s)\\A.*?" + re.escape(re.sub(r"\A\w+:/*", "/", root.rstrip("/"))) + "/", "")
+    return reader.load(root).where(scannable(below)).select("path", "content")
 
 
 def balance(read: DataFrame) -> DataFrame:

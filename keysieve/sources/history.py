@@ -1,6 +1,7 @@
 """Commit history as a table of file versions.
 
-Columns: repo, commit, ts, branch, path, change (A, M, D or R), content.
+Columns: repo, commit, ts, branch, path, change (A, M, D or R), content, and for renames
+old_path.
 """
 
 from __future__ import annotations
@@ -22,8 +23,13 @@ def on_branch(versions: DataFrame, branch: str) -> DataFrame:
 
 def heads(versions: DataFrame, branch: str) -> DataFrame:
     """(repo, path, commit) of the files of a branch as they are now."""
-    seen = on_branch(versions, branch).select("repo", "path", "commit", "ts", "change")
-    last = latest(seen, ["repo", "path"], F.struct("ts", "commit"))
+    on = on_branch(versions, branch)
+    seen = on.select("repo", "path", "commit", "ts", "change")
+    if "old_path" in versions.columns:  # a rename ends the file's old path
+        seen = seen.union(on.where("change = 'R' and old_path <> path").select(
+            "repo", "old_path", "commit", "ts", F.lit("D")))
+    # a commit that renames one file away and writes another to its path keeps the path
+    last = latest(seen, ["repo", "path"], F.struct("ts", "commit", F.col("change") != "D"))
     return last.where("change <> 'D'").select("repo", "path", "commit")
 
 

@@ -8,7 +8,7 @@ _CONTEXT = {"line": "INT", "pos": "INT", "context_line": "INT"}
 give_types({
     **{name: _FOUND for name in (
         "scan_documents", "scan_planted_files", "detect_prefix", "detect_key_value",
-        "detect_contains", "detect_endpoint", "scan_rule_subset")},
+        "detect_contains", "detect_endpoint", "scan_rule_subset", "scan_custom_rules")},
     **{name: _LINE for name in ("scan_unredacted", "split_into_lines")},
     **{name: _PLACE for name in ("scan_branch", "scan_current_tree", "stream_scan")},
     **{name: _CONTEXT for name in ("scan_context", "scan_context_all_hidden")},

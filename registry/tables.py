@@ -35,6 +35,15 @@ LINES = [
     """'secret: your_' || substr(h,1,30)""",
     """'AWS_SECRET_ACCESS_KEY=' || substr(h,1,40) || ' DATABASE_URL=mysql://u:' || substr(h,40,12) || '@h/db'""",
 ]
+ODD_LINES = [
+    """'spring.datasource.password=' || substr(h,1,16)""",
+    """'client secret: "' || substr(h,1,20) || '"'""",
+    """'Authorization Bearer ' || substr(h,1,32)""",
+    """'xclient secret: ' || substr(h,1,20)""",
+    """'plain_key = ' || substr(h,1,20)""",
+    """'app/token@prod := ' || substr(h,1,20)""",
+    """'spring.datasource.password=short'""",
+]
 PATHS = [
     """'src/app' || cast(k as string) || '.py'""",
     """'.env'""",
@@ -82,6 +91,13 @@ DERIVED = {
                || {_T2} || chr(10) AS content
         FROM (SELECT o_orderkey AS k, o_custkey AS c,
                      {{sha}}(cast(o_orderkey as string)) AS h FROM orders) t""",
+    # lines for rules whose keys and prefixes hold dots, blanks and other signs
+    "odd_files": f"""
+        SELECT 'repo' || cast(c as string) AS repo, 'conf/f' || cast(k as string) || '.txt' AS path,
+               'a = 1' || chr(10) || {_case('k', ODD_LINES)} || chr(10) || {_case('k', ODD_LINES, '2')}
+               AS content
+        FROM (SELECT o_orderkey AS k, o_custkey AS c,
+                     {{sha}}(cast(o_orderkey as string)) AS h FROM orders) t""",
     "docs": """
         SELECT source AS repo, cast(doc_id as string) AS path, text AS content FROM documents""",
     "scans": """

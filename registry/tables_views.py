@@ -56,7 +56,7 @@ _ORDERED = """SELECT verification_status AS scan_id, scan_id || '/' || file_path
 
 
 @query(f"""{w('findings')} SELECT scan_id, path, line, pos, row_number() OVER (
-      PARTITION BY scan_id ORDER BY substr(md5(path), 1, 2), path, line, pos, rule_id, secret) AS id
+      PARTITION BY scan_id ORDER BY path, line, pos, rule_id, secret) AS id
     FROM ({_ORDERED})""")
 def report_row_ids(t: Tables):
     return numbered(t.sql(_ORDERED, "findings"), ["scan_id"], order=("pos", "rule_id", "secret")
@@ -183,16 +183,19 @@ def imported_findings(t: Tables):
     return findings.drop("context")
 
 
-@query(f"""{w('scans')}, newer AS (SELECT scan_id, max(scan_duration_ms) AS d FROM (
-      SELECT 'scan-' || (o_orderkey * 2 % 20000) AS scan_id, o_orderkey % 5000 AS scan_duration_ms
+@query(f"""{w('scans')}, newer AS (SELECT scan_id, max(n) AS n FROM (
+      SELECT 'scan-' || (o_orderkey * 2 % 20000) AS scan_id, o_orderkey % 50 AS n
       FROM orders) GROUP BY scan_id)
-    SELECT scan_id, scan_duration_ms FROM scans WHERE scan_id NOT IN (SELECT scan_id FROM newer)
-    UNION ALL SELECT scan_id, d FROM newer""")
+    SELECT s.scan_id, scan_duration_ms, coalesce(n, total_findings) AS total_findings
+    FROM scans s LEFT JOIN newer USING (scan_id)
+    UNION ALL SELECT scan_id, -1, n FROM newer WHERE scan_id NOT IN (SELECT scan_id FROM scans)""")
 def upserted_scans(t: Tables):
-    current = t["scans"].select("scan_id", "scan_duration_ms")
+    """Only the number of findings of a known scan changes, as on a second import."""
+    current = t["scans"].select("scan_id", "scan_duration_ms", "total_findings")
     incoming = t.sql("""SELECT 'scan-' || cast(o_orderkey * 2 % 20000 as string) AS scan_id,
-        o_orderkey % 5000 AS scan_duration_ms FROM orders""", "orders")
-    return W.upsert_scans(current, incoming, F.col("scan_duration_ms"))
+        cast(-1 as bigint) AS scan_duration_ms, o_orderkey % 50 AS total_findings FROM orders""",
+                     "orders")
+    return W.upsert_scans(current, incoming, F.col("total_findings"))
 
 
 @query(f"""{w('scans', 'findings')} SELECT s.scan_id, s.total_findings,
@@ -352,7 +355,7 @@ def scan_durations(t: Tables):
     return Q.scan_durations(t["scan_log"]).select("scan_id", "duration_ms")
 
 
-@query("""SELECT event_type AS name, arg_max('c' || event_id, ts) AS last_cursor,
+@query("""SELECT event_type AS name, arg_max('c' || event_id, row(ts, 'c' || event_id)) AS last_cursor,
     max(ts) AS last_fetched_at, sum(user_id % 7) AS repos_fetched FROM events GROUP BY 1""")
 def feed_cursors(t: Tables):
     fetches = t.sql("""SELECT event_type AS name, 'c' || cast(event_id as string) AS cursor,
@@ -438,17 +441,24 @@ def repo_listing(t: Tables):
     return Q.list_repos(r, F.col("findings_count") > 0).select("url", "repo", "priority", "status")
 
 
-@query(f"""{w('queue_findings')} SELECT finding_id, rule_id, secret_preview, repo_url, found_at
-    FROM queue_findings ORDER BY found_at DESC, finding_id LIMIT 5""")
+@query(f"""{w('repos', 'queue_findings')} SELECT finding_id, rule_id, secret_preview, repo_url,
+      found_at FROM queue_findings f JOIN repos r ON f.repo_url = r.url WHERE r.priority > 5
+    ORDER BY found_at DESC, finding_id LIMIT 5""")
 def recent_findings(t: Tables):
-    return Q.recent_findings(t["queue_findings"], t["repos"])
+    """Of known repositories only; the others' findings may be newer."""
+    return Q.recent_findings(t["queue_findings"], t["repos"].where("priority > 5"))
 
 
-@query(f"""{w('queue_findings')} SELECT finding_id, rule_id, left(repo_url, 50) AS repo_url, found_at
-    FROM queue_findings WHERE rule_id = 'github-pat' ORDER BY found_at DESC, finding_id LIMIT 100""")
+@query(f"""{w('repos', 'queue_findings')} SELECT finding_id, rule_id,
+      left(repo_url, 50) AS repo_url, found_at, r.platform
+    FROM queue_findings f JOIN repos r ON f.repo_url = r.url
+    WHERE rule_id = 'github-pat' AND r.priority > 5
+    ORDER BY found_at DESC, finding_id LIMIT 100""")
 def finding_listing(t: Tables):
-    return Q.list_findings(t["queue_findings"], t["repos"], F.col("rule_id") == "github-pat").select(
-        "finding_id", "rule_id", "repo_url", "found_at")
+    """Joined, then cut off: findings of unknown repositories take no place."""
+    known = t["repos"].where("priority > 5")
+    return Q.list_findings(t["queue_findings"], known, F.col("rule_id") == "github-pat").select(
+        "finding_id", "rule_id", "repo_url", "found_at", "platform")
 
 
 @query(f"""{w('repos', 'queue_findings')} SELECT finding_id, rule_id, file_path, line_number,
