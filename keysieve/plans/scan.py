@@ -6,9 +6,8 @@ no line is shuffled.  Only matches are: once, by file and line, to be resolved.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keysieve.functions.text import redact
@@ -108,14 +107,12 @@ def _blot(context: Column, secret: Column, shown: Column) -> Column:
 def _blot_all(found: DataFrame, file_key: list[str]) -> DataFrame:
     """Blot out of each context all secrets found anywhere in the file.
 
-    A file's secrets are reduced in each task before they are sent; the join is one that
-    Spark splits when a file holds most findings.
+    One pass: the findings of a file meet once, shuffled by file.  A file is a row of the
+    scan, so its findings are no more than a task has held before; Spark spills them.
     """
-    secrets = found.groupBy(*file_key).agg(F.sort_array(F.collect_set(F.struct(
-        F.length("secret_raw").alias("n"), "secret_raw", "secret")), asc=False).alias("all_"))
-    same = [found[c].eqNullSafe(secrets[c]) for c in file_key]
-    both = found.join(secrets, reduce(lambda a, b: a & b, same)).select(found["*"], "all_")
+    secret = F.struct(F.length("secret_raw").alias("n"), "secret_raw", "secret")
     # longest first, so that a secret inside another one does not spoil it
-    return both.withColumn("context", F.aggregate(
+    everywhere = F.sort_array(F.collect_set(secret).over(W.partitionBy(*file_key)), asc=False)
+    return found.withColumn("all_", everywhere).withColumn("context", F.aggregate(
         "all_", F.col("around"), lambda ctx, s: _blot(ctx, s["secret_raw"], s["secret"]))
     ).drop("all_")
