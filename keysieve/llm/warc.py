@@ -77,12 +77,14 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFr
     folder = folder or workspace(pages.sparkSession, "warc")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"),
                         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    keyed = rows.withColumn("sha_", F.sha1(F.encode("html", "utf-8")))
-    first = rows.where(F.octet_length("html") >= least).groupBy(
-        F.sha1(F.encode("html", "utf-8")).alias("sha_")).agg(
+    sha = F.unhex(F.sha1(F.encode("html", "utf-8")))
+    keyed = rows.withColumn("sha_", sha)
+    first = rows.where(F.octet_length("html") >= least).groupBy(sha.alias("sha_")).agg(
         F.min("page_id").alias("first_"), F.count("*").alias("n_"))
-    # Payloads that occur once need no partner: this side is the repeated ones only.
-    first = first.where("n_ > 1").drop("n_")
+    # Payloads that occur once need no partner: this side is the repeated ones only.  It is
+    # stored, so Spark knows its size and sends it to the pages rather than shuffle them,
+    # as long as it is small enough for that.
+    first = stored(first.where("n_ > 1").drop("n_"), "repeated")
     decided = keyed.join(first, "sha_", "left").select(
         "page_id", "url", "html", "first_",
         F.coalesce(~F.col("page_id").eqNullSafe(F.col("first_")) & F.col("first_").isNotNull(),
