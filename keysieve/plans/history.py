@@ -23,9 +23,10 @@ def scan_branch(versions: DataFrame, branch: str, rules=None, **options) -> Data
     return scan_versions(on_branch(versions, branch), rules, **options)
 
 
-def scan_tree(versions: DataFrame, branch: str, rules=None, **options) -> DataFrame:
-    """Findings of a branch as it is now."""
-    return scan_versions(tree(versions, branch), rules, **options)
+def scan_tree(versions: DataFrame, branch: str, rules=None, base: str | None = None, **options
+              ) -> DataFrame:
+    """Findings of a branch as it is now, in files inherited from ``base`` as well."""
+    return scan_versions(tree(versions, branch, base), rules, **options)
 
 
 def lifetimes(history: DataFrame, present: DataFrame) -> DataFrame:

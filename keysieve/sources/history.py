@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keysieve.operators.skew import latest
+from keysieve.operators.skew import latest, skew_join
 
 
 def added_paths(versions: DataFrame) -> DataFrame:
@@ -17,13 +17,19 @@ def added_paths(versions: DataFrame) -> DataFrame:
     return versions.where(F.col("change") == "A").select("repo", "path").distinct()
 
 
-def on_branch(versions: DataFrame, branch: str) -> DataFrame:
-    return versions.where(F.col("branch") == branch)
+def on_branch(versions: DataFrame, branch: str, base: str | None = None) -> DataFrame:
+    """The versions a branch is made of: its own, and those of ``base`` before its first one."""
+    own = versions.where(F.col("branch") == branch)
+    if base is None:
+        return own
+    fork = own.groupBy("repo").agg(F.min("ts").alias("fork_"))
+    inherited = skew_join(versions.where(F.col("branch") == base), fork, ["repo"])
+    return own.unionByName(inherited.where("ts < fork_").select(*versions.columns))
 
 
-def heads(versions: DataFrame, branch: str) -> DataFrame:
+def heads(versions: DataFrame, branch: str, base: str | None = None) -> DataFrame:
     """(repo, path, commit) of the files of a branch as they are now."""
-    on = on_branch(versions, branch)
+    on = on_branch(versions, branch, base)
     seen = on.select("repo", "path", "commit", "ts", "change")
     if "old_path" in versions.columns:  # a rename ends the file's old path
         seen = seen.union(on.where("change = 'R' and old_path <> path").select(
@@ -33,10 +39,10 @@ def heads(versions: DataFrame, branch: str) -> DataFrame:
     return last.where("change <> 'D'").select("repo", "path", "commit")
 
 
-def tree(versions: DataFrame, branch: str) -> DataFrame:
-    """The files of a branch as they are now.
+def tree(versions: DataFrame, branch: str, base: str | None = None) -> DataFrame:
+    """The files of a branch as they are now, with those it still has from ``base``.
 
     Contents are joined to the chosen versions, not dragged through the choice.
     """
-    return on_branch(versions, branch).join(
-        heads(versions, branch), ["repo", "path", "commit"], "left_semi")
+    return on_branch(versions, branch, base).join(
+        heads(versions, branch, base), ["repo", "path", "commit"], "left_semi")

@@ -67,7 +67,7 @@ def first_seen_within(urls: DataFrame, memory: str = "90 days", ts: str = "ts")
 
 _DISCOVERED = "url string, found_at timestamp, priority int"
 _SCANNED = "url string"
-_CYCLES = "queued long, scanned long"
+_CYCLES = "queued long, scanned long, reports long"
 
 
 def monitor(urls: DataFrame, state: str, files: DataFrame | None = None,
@@ -77,7 +77,8 @@ def monitor(urls: DataFrame, state: str, files: DataFrame | None = None,
 
     At most ``per_cycle`` repositories are scanned per cycle, the most urgent first (by
     ``priority``, if the feed has one), then the longest known; the others stay queued.  A repository is scanned once, whatever comes of it.
-    ``files`` (repo, path, content) holds what is scanned, if given.
+    ``files`` (repo, path, content) holds what is scanned, if given.  ``cycles`` counts the
+    repositories still queued, those scanned, and those of them with a report of findings.
     """
     spark = urls.sparkSession
     found_table, done_table = f"{state}/discovered", f"{state}/scanned"
@@ -99,13 +100,19 @@ def monitor(urls: DataFrame, state: str, files: DataFrame | None = None,
         _write(queue.orderBy(F.desc("priority"), "found_at", "url").limit(per_cycle).select("url"),
                done_table, number)
         chosen = spark.read.parquet(f"{done_table}/batch={number}")
+        reports = chosen.limit(0)
         if files is not None:
             todo = files.join(F.broadcast(chosen), files["repo"] == chosen["url"], "left_semi")
             _write(scan_files(todo, rules), f"{state}/findings", number)
+            reports = spark.read.parquet(f"{state}/findings/batch={number}").select(
+                "repo").distinct()
         left = queue.join(chosen, "url", "left_anti")
-        both = left.select(F.lit(0).alias("done")).unionByName(chosen.select(F.lit(1).alias("done")))
+        both = left.select(F.lit(0).alias("done")).unionByName(
+            chosen.select(F.lit(1).alias("done"))).unionByName(
+            reports.select(F.lit(2).alias("done")))
         _write(both.agg(F.count_if(F.col("done") == 0).alias("queued"),
-                        F.count_if(F.col("done") == 1).alias("scanned")), f"{state}/cycles", number)
+                        F.count_if(F.col("done") == 1).alias("scanned"),
+                        F.count_if(F.col("done") == 2).alias("reports")), f"{state}/cycles", number)
 
     return _start(urls, each, f"{state}/checkpoint", once, interval)
 
@@ -115,7 +122,7 @@ def read_state(spark: SparkSession, state: str, table: str) -> DataFrame:
 
 
 def summary(spark: SparkSession, state: str) -> DataFrame:
-    """Where the monitor stands: repositories queued and scanned, cycles run."""
+    """Where the monitor stands: repositories queued, scanned and reported, cycles run."""
     return read_state(spark, state, "cycles").agg(
         F.max_by("queued", "batch").alias("queued"), F.sum("scanned").alias("scanned"),
-        F.count("*").alias("cycles"))
+        F.count("*").alias("cycles"), F.sum("reports").alias("reports"))

@@ -8,14 +8,16 @@ _CONTEXT = {"line": "INT", "pos": "INT", "context_line": "INT"}
 give_types({
     **{name: _FOUND for name in (
         "scan_documents", "scan_planted_files", "detect_prefix", "detect_key_value",
-        "detect_contains", "detect_endpoint", "scan_rule_subset", "scan_custom_rules")},
+        "detect_contains", "detect_endpoint", "scan_rule_subset", "scan_custom_rules",
+        "scan_planted_triggers")},
     **{name: _LINE for name in ("scan_unredacted", "split_into_lines")},
-    **{name: _PLACE for name in ("scan_branch", "scan_current_tree", "stream_scan")},
+    **{name: _PLACE for name in ("scan_branch", "scan_current_tree", "scan_feature_tree", "stream_scan")},
     **{name: _CONTEXT for name in ("scan_context", "scan_context_all_hidden")},
     "scanner_text": {"column_number": "INT"},
     "rule_classes": {"specificity": "INT"},
     "json_documents": {**_PLACE, "context_lines": "INT"},
     "sarif_documents": {"startLine": "INT", "startColumn": "INT"},
+    "report_document_findings": {"line": "INT", "column": "INT"},
     "report_documents": {"listed_rules": "INT", "listed": "INT"},
     "imported_scans": {"total_findings": "INT"},
     "security_stats": {"total_findings": "BIGINT", "total_findings_joined": "BIGINT"},

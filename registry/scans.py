@@ -72,6 +72,23 @@ def scan_planted_files(t: Tables):
     return scan_files(t["files"], context_lines=0).select(*OUT)
 
 
+@query(found("trigger_files"))
+def scan_planted_triggers(t: Tables):
+    """Every key and prefix of the catalogue, and near misses of each."""
+    return scan_files(t["trigger_files"], context_lines=0).select(*OUT)
+
+
+@query(f"""{w('trigger_files')}, {D.findings_ctes('trigger_files')}
+    SELECT r.rule_id, count(f.rule_id) AS lines_hit
+    FROM (SELECT DISTINCT rule_id FROM rules) r LEFT JOIN found f ON r.rule_id = f.rule_id
+    GROUP BY ALL""")
+def trigger_usage(t: Tables):
+    hits = scan_files(t["trigger_files"], context_lines=0).groupBy("rule_id").agg(
+        F.count("*").alias("lines_hit"))
+    return load_rules().to_df(t.spark).select("rule_id").join(
+        hits, "rule_id", "left").fillna(0, ["lines_hit"])
+
+
 @query(found("files", of_kind("prefix")))
 def detect_prefix(t: Tables):
     return scan_files(t["files"], of_kind("prefix"), context_lines=0).select(*OUT)
@@ -331,11 +348,19 @@ def _history(select: str, table: str = "versions", more: str = "") -> str:
     return (f"{w('versions')}, {more} {D.findings_ctes(table, key)} {select}")
 
 
-_TREE = """heads AS (SELECT repo, path, commit FROM (SELECT *, row_number() OVER (
-      PARTITION BY repo, path ORDER BY ts DESC, commit DESC) AS r FROM versions
-      WHERE branch = 'main') WHERE r = 1 AND change <> 'D'),
-    tree AS (SELECT v.* FROM versions v JOIN heads h ON v.repo = h.repo AND v.path = h.path
-             AND v.commit = h.commit WHERE v.branch = 'main'),"""
+_HEADS = """seen AS (SELECT repo, path, commit, ts, change FROM onb UNION ALL
+      SELECT repo, old_path, commit, ts, 'D' FROM onb WHERE change = 'R' AND old_path <> path),
+    heads AS (SELECT repo, path, commit FROM (SELECT *, row_number() OVER (
+      PARTITION BY repo, path ORDER BY ts DESC, commit DESC, change <> 'D' DESC) AS r FROM seen)
+      WHERE r = 1 AND change <> 'D'),
+    tree AS (SELECT v.* FROM onb v JOIN heads h ON v.repo = h.repo AND v.path = h.path
+             AND v.commit = h.commit),"""
+_TREE = f"onb AS (SELECT * FROM versions WHERE branch = 'main'), {_HEADS}"
+_FEATURE = f"""fork AS (SELECT repo, min(ts) AS since FROM versions WHERE branch = 'feature'
+      GROUP BY repo),
+    onb AS (SELECT * FROM versions WHERE branch = 'feature' UNION ALL
+      SELECT v.* FROM versions v JOIN fork f ON v.repo = f.repo
+      WHERE v.branch = 'main' AND v.ts < f.since), {_HEADS}"""
 _LIVE = "live AS (SELECT * FROM versions WHERE change <> 'D'),"
 _BRANCH = "live AS (SELECT * FROM versions WHERE change <> 'D' AND branch = 'feature'),"
 
@@ -359,6 +384,14 @@ def scan_current_tree(t: Tables):
         "repo", "commit", "path", "line", "column", "rule_id")
 
 
+@query(_history('SELECT repo, commit, path, line, col0 + 1 AS "column", rule_id FROM found',
+                "tree", _FEATURE))
+def scan_feature_tree(t: Tables):
+    """A branch as it is now: its own files and those it has from the branch it left."""
+    return H.scan_tree(t["versions"], "feature", base="main").select(
+        "repo", "commit", "path", "line", "column", "rule_id")
+
+
 @query(_history("""SELECT f.repo, rule_id, sha256('keysieve:' || secret_raw) AS secret_id,
         strftime(min(v.ts), '%Y-%m-%d') AS first_seen, strftime(max(v.ts), '%Y-%m-%d') AS last_seen,
         count(*) AS occurrences

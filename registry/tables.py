@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from keysieve.sources.rules import load_rules
+
 # The lines a planted file may contain; {k} is its order key, {h} a digest of it.
 LINES = [
     """'github_token = "ghp_' || substr(h,1,36) || '"'""",
@@ -166,7 +168,9 @@ DERIVED = {
         SELECT 'repo' || cast(c % 50 as string) AS repo, substr(g, 1, 40) AS commit, d AS ts,
                CASE WHEN k % 4 = 3 THEN 'feature' ELSE 'main' END AS branch,
                'src/f' || cast(cast(floor(k / 40) as bigint) % 9 as string) || '.txt' AS path,
-               CASE WHEN k % 5 = 4 THEN 'D' WHEN k % 5 = 0 THEN 'A' ELSE 'M' END AS change,
+               CASE k % 5 WHEN 4 THEN 'D' WHEN 0 THEN 'A' WHEN 3 THEN 'R' ELSE 'M' END AS change,
+               CASE WHEN k % 5 = 3 THEN 'src/f' || cast((cast(floor(k / 40) as bigint) + 1) % 9
+                    as string) || '.txt' END AS old_path,
                'x = 1' || chr(10) || {_case('s', LINES).replace('cast(k ', 'cast(s ')} || chr(10)
                     AS content
         FROM (SELECT k, s, c, d, {{sha}}(cast(k as string)) AS g, {{sha}}(cast(s as string)) AS h
@@ -242,6 +246,37 @@ DERIVED["report_docs"] = f"""
           FROM (SELECT o_orderkey AS k, substr(cast(o_orderdate as string), 1, 10)
                        || 'T00:00:00Z' AS t FROM orders) a) b"""
 
+
+
+def _trigger_rows() -> str:
+    """(i, trig, kind, need): every key and prefix of the catalogue, ``need`` characters to go."""
+    rows = []
+    for r in load_rules().rules:
+        for t in r.triggers:
+            need = max(r.min_len, 12) if r.kind == "keyvalue" else max(0, r.min_len - len(t))
+            rows.append(f"({len(rows)}, '{t}', '{r.kind}', {need})")
+    return ", ".join(rows)
+
+
+TRIGGERS = sum(len(r.triggers) for r in load_rules().rules)
+
+# a file per order with a line for one trigger of the catalogue: as its rule wants it, a
+# character short, behind another letter, and with a placeholder for a value
+DERIVED["trigger_files"] = f"""
+    SELECT 'repo' || cast(c as string) AS repo, 'trig/f' || cast(k as string) || '.txt' AS path,
+           'a = 1' || chr(10) || (CASE WHEN v = 2 THEN 'z' ELSE '' END) || (CASE kind
+             WHEN 'keyvalue' THEN trig || ' = "' || body || '"'
+             WHEN 'endpoint' THEN trig || '=http://10.0.3.' || cast(k % 250 as string) || ':11434'
+             ELSE trig || body END) || chr(10) AS content
+    FROM (SELECT k, c, v, trig, kind, CASE v
+            WHEN 1 THEN substr(repeat(h, 4), 1, greatest(0, need - 1))
+            WHEN 3 THEN substr('your_' || repeat('x', need), 1, need)
+            ELSE substr(repeat(h, 4), 1, need) END AS body
+          FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % {TRIGGERS} AS i,
+                       cast(floor(o_orderkey / {TRIGGERS}) as bigint) % 4 AS v,
+                       {{sha}}(cast(o_orderkey as string)) AS h FROM orders) o
+          JOIN (VALUES {_trigger_rows()}) AS t(j, trig, kind, need) ON i = j) b"""
+
 # what each derived table is built from
 NEEDS = {"queue_findings": ["repos"], "scan_log": ["repos"]}
 

@@ -124,12 +124,7 @@ def sarif_documents(t: Tables):
       coalesce(total_findings, 0) AS last_id
     FROM (SELECT DISTINCT repo FROM files) r LEFT JOIN s ON r.repo = s.scan_id""")
 def report_documents(t: Tables):
-    scans = t["files"].select("repo").distinct().select(
-        F.col("repo").alias("scan_id"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"),
-        F.concat(F.lit("/data/"), "repo").alias("path"), F.lit("directory").alias("type"),
-        *[F.lit(None).cast("string").alias(c) for c in ("git_branch", "git_commit", "git_remote")],
-        F.lit(0).cast("bigint").alias("scan_duration_ms"))
-    docs = R.report_documents(_documents(t), scans)
+    docs = _reports(t)
     schema = """struct<summary: struct<total_findings: bigint, unique_rules_triggered: bigint,
         findings_by_rule: map<string,bigint>,
         severity_breakdown: struct<high: bigint, medium: bigint, low: bigint>>,
@@ -143,6 +138,57 @@ def report_documents(t: Tables):
         F.coalesce(F.array_max("d.findings.id"), F.lit(0)).alias("last_id"))
 
 
+def _reports(t: Tables):
+    scans = t["files"].select("repo").distinct().select(
+        F.col("repo").alias("scan_id"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"),
+        F.concat(F.lit("/data/"), "repo").alias("path"), F.lit("directory").alias("type"),
+        *[F.lit(None).cast("string").alias(c) for c in ("git_branch", "git_commit", "git_remote")],
+        F.lit(0).cast("bigint").alias("scan_duration_ms"))
+    return R.report_documents(_documents(t), scans)
+
+
+@query(f"""{w('files')}, {D.findings_ctes('files')}
+    SELECT repo AS scan_id, '/data/' || repo AS target, row_number() OVER (
+      PARTITION BY repo ORDER BY path, line, pos) AS id, rule_id, path AS file, line,
+      col0 + 1 AS "column" FROM found""")
+def report_document_findings(t: Tables):
+    """Every finding of the report documents with its id and target."""
+    schema = """struct<target: struct<path: string>, findings: array<struct<id: bigint,
+        rule_id: string, location: struct<file: string, line: int, column: int>>>>"""
+    d = _reports(t).select("scan_id", F.from_json("document", schema).alias("d")).select(
+        "scan_id", F.col("d.target.path").alias("target"), F.explode("d.findings").alias("f"))
+    return d.select("scan_id", "target", "f.id", "f.rule_id", "f.location.*")
+
+
+@query(f"""{w('files')}, {D.findings_ctes('files')}
+    SELECT repo AS scan_id, 'rule' AS kind, rule_id AS name, count(*) AS n FROM found GROUP BY ALL
+    UNION ALL SELECT repo, 'category', split_part(rule_id, '-', 1), count(*) FROM found
+    GROUP BY ALL""")
+def report_document_counts(t: Tables):
+    """Both maps of the report documents, entry by entry."""
+    schema = """struct<summary: struct<findings_by_rule: map<string,bigint>,
+        findings_by_category: map<string,bigint>>>"""
+    d = _reports(t).select("scan_id", F.from_json("document", schema)["summary"].alias("s"))
+
+    def entries(kind: str):
+        return d.select("scan_id", F.lit(kind).alias("kind"),
+                        F.explode(f"s.findings_by_{kind}").alias("name", "n"))
+
+    return entries("rule").unionByName(entries("category"))
+
+
+@query(f"""{w('files')}, {D.findings_ctes('files')}
+    SELECT r.repo AS scan_id, count(f.rule_id) AS findings
+    FROM (SELECT DISTINCT repo FROM files) r LEFT JOIN found f ON r.repo = f.repo GROUP BY r.repo""")
+def json_documents_of_all_scans(t: Tables):
+    """A scan without findings has a document, too."""
+    scans = t["files"].select(F.col("repo").alias("scan_id"))
+    docs = R.json_documents(_documents(t), ["scan_id"], scans=scans)
+    listed = F.from_json("document", "struct<findings: array<struct<rule_id: string>>>")
+    return docs.groupBy("scan_id").agg(
+        F.sum(F.size(listed["findings"]).cast("bigint")).alias("findings"))
+
+
 # --- warehouse -----------------------------------------------------------------------------
 
 
@@ -505,6 +551,17 @@ def finding_programs(t: Tables):
         "finding_id", "rule_id", "program", "max_payout")
 
 
+@query(f"""{w('repos', 'queue_findings')} SELECT finding_id, rule_id, file_path, line_number, repo_url,
+      platform, owner, name AS repo_name FROM queue_findings f JOIN repos r ON f.repo_url = r.url
+    WHERE f.finding_id = (SELECT max(finding_id) FROM queue_findings WHERE rule_id = 'github-pat')""")
+def finding_detail(t: Tables):
+    f = t["queue_findings"]
+    last = f.where("rule_id = 'github-pat'").agg(F.max("finding_id")).scalar()
+    one, _ = Q.finding_detail(f, t["repos"], Q.programs(t.spark), F.col("finding_id") == last)
+    return one.select("finding_id", "rule_id", "file_path", "line_number", "repo_url", "platform",
+                      "owner", "repo_name")
+
+
 @query(f"""{w('repos', 'queue_findings')} SELECT finding_id, rule_id, rule_name, file_path,
       line_number, secret_preview, verified, verification_status, reported, reported_to, found_at,
       repo_url, platform, owner, name AS repo_name
@@ -611,3 +668,52 @@ def stream_monitor(t: Tables):
         "url", F.coalesce("scanned", F.lit(False)).alias("scanned"))
 
 
+@query("""SELECT 'https://github.com/u/r' || user_id || '.git' AS url, CAST(2 AS BIGINT) AS times
+    FROM events GROUP BY user_id""")
+def stream_seen_again(t: Tables):
+    """State that forgets: the same feed again, long after, is new again."""
+    home = workspace(t.spark, "seen-again")
+    urls = t.sql("""SELECT 'https://github.com/u/r' || user_id || '.git' AS url,
+        cast(ts as timestamp) AS ts FROM events""", "events")
+    one = urls.agg(F.lit("later").alias("url"), F.max("ts").alias("ts"))
+    # two rows in between move the watermark past the memory of the first feed
+    for day, rows in ((0, urls), (4000, one), (4001, one), (8000, urls)):
+        rows.withColumn("ts", F.col("ts") + F.make_dt_interval(F.lit(day))).write.parquet(
+            f"{home}/feed/{day}")
+        feed = t.spark.readStream.schema(urls.schema).parquet(f"{home}/feed/*")
+        (M.first_seen_within(feed, "90 days").writeStream.format("parquet")
+         .option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True)
+         .start(f"{home}/out").awaitTermination())
+    return t.spark.read.parquet(f"{home}/out").where("url <> 'later'").groupBy("url").agg(
+        F.count("*").alias("times"))
+
+
+@query(f"""{w('files')}, {D.findings_ctes('files')},
+    e AS (SELECT 'https://github.com/u/r' || user_id || '.git' AS url, ts, user_id % 10 AS priority,
+          event_id % 2 AS half FROM events),
+    d AS (SELECT url, priority, min(half) AS since,
+          coalesce(min(ts) FILTER (half = 0), min(ts)) AS first FROM e GROUP BY url, priority),
+    a AS (SELECT url, 0 AS cycle FROM d WHERE since = 0
+          ORDER BY priority DESC, first, url LIMIT 10),
+    b AS (SELECT url, 1 AS cycle FROM d WHERE url NOT IN (SELECT url FROM a)
+          ORDER BY priority DESC, first, url LIMIT 10)
+    SELECT s.url, s.cycle, count(f.rule_id) AS findings
+    FROM (SELECT * FROM a UNION ALL SELECT * FROM b) s
+    LEFT JOIN found f ON s.url = 'https://github.com/u/r' || substr(f.repo, 5) || '.git'
+    GROUP BY ALL""")
+def stream_monitor_cycles(t: Tables):
+    """Two cycles: what the first leaves queued is scanned by priority in the second."""
+    home = workspace(t.spark, "monitor-cycles")
+    urls = t.sql("""SELECT 'https://github.com/u/r' || user_id || '.git' AS url,
+        cast(ts as timestamp) AS found_at, cast(user_id % 10 as int) AS priority,
+        event_id % 2 AS half FROM events""", "events")
+    files = t["files"].withColumn("repo", F.concat(
+        F.lit("https://github.com/u/r"), F.expr("substr(repo, 5)"), F.lit(".git")))
+    for half in (0, 1):
+        urls.where(F.col("half") == half).drop("half").write.parquet(f"{home}/feed/{half}")
+        feed = t.spark.readStream.schema(urls.drop("half").schema).parquet(f"{home}/feed/*")
+        M.monitor(feed, home, files=files, per_cycle=10).awaitTermination()
+    found = t.spark.read.parquet(f"{home}/findings").groupBy(F.col("repo").alias("url")).agg(
+        F.count("*").alias("findings"))
+    return M.read_state(t.spark, home, "scanned").select(
+        "url", F.col("batch").alias("cycle")).join(found, "url", "left").fillna(0, ["findings"])

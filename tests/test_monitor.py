@@ -26,9 +26,9 @@ def test_cycles_carry_over_and_scan_once(spark, tmp_path):
     scanned = [r.url for r in M.read_state(spark, state, "scanned").orderBy("batch", "url").collect()]
     assert len(scanned) == len(set(scanned)) == 6
     assert set(scanned[:3]) == {"u0", "u1", "u2"}
-    cycles = [(r.queued, r.scanned) for r in M.read_state(spark, state, "cycles").orderBy("batch").collect()]
-    assert cycles == [(2, 3), (1, 3)]
-    assert tuple(M.summary(spark, state).first()) == (1, 6, 2)
+    cycles = [(r.queued, r.scanned, r.reports) for r in M.read_state(spark, state, "cycles").orderBy("batch").collect()]
+    assert cycles == [(2, 3, 3), (1, 3, 3)]
+    assert tuple(M.summary(spark, state).first()) == (1, 6, 2, 6)
     assert M.read_state(spark, state, "findings").select("repo").distinct().count() == 6
     assert M.read_state(spark, state, "discovered").count() == 7
 
