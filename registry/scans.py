@@ -15,6 +15,7 @@ from keysieve.sources import feeds, files as S
 from keysieve.sources import history as V
 from keysieve.sources.reports import parse_scanner_json, parse_scanner_text
 from keysieve.sources.rules import Rule, RuleSet, load_rules
+from keysieve.workspace import workspace
 from registry import detection_sql as D
 from registry.base import Tables, query
 from registry.tables import with_clause as w
@@ -180,6 +181,24 @@ def leak_gate_by_repo(t: Tables):
 # --- sources and path filters --------------------------------------------------------------
 
 
+@query("""SELECT coalesce(source, 'none') AS repo,
+      cast(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS bigint) AS n_lines,
+      cast(sum(length(text) + 1) AS bigint) AS n_chars
+    FROM (SELECT source, coalesce(text, '') AS text FROM documents) GROUP BY 1""")
+def file_tree(t: Tables):
+    """The documents as a tree of files, read back; what lies in skipped folders stays unread."""
+    root = workspace(t.spark, "tree")
+    docs = t["documents"].select(F.coalesce("source", F.lit("none")).alias("repo"),
+                                 F.coalesce("text", F.lit("")).alias("text"))
+    for folder in ("src", "node_modules", "src/.cache"):
+        docs.write.partitionBy("repo").text(f"{root}/{folder}")
+    files = S.text_files(S.read_tree(t.spark, root)).select(
+        F.regexp_extract("path", "/repo=([^/]*)/", 1).alias("repo"), "content")
+    return files.groupBy("repo").agg(
+        F.sum(F.length(F.regexp_replace("content", "[^\n]+", "")).cast("bigint")).alias("n_lines"),
+        F.sum(F.length("content").cast("bigint")).alias("n_chars"))
+
+
 @query(f"""{w('docs')}, {D.lines_ctes('docs', filtered=False)}
     SELECT repo, path, line, text FROM all_lines""")
 def split_into_lines(t: Tables):
