@@ -19,11 +19,6 @@ def spark():
     session.stop()
 
 
-def token(n: int) -> str:
-    """n characters, letter and digit in turn."""
-    return ("a1b2c3d4e5f6g7h8i9j0" * (n // 20 + 1))[:n]
-
-
 @pytest.fixture(scope="session")
 def scan_lines(spark):
     """Findings of one text: a list of (line, column, rule_id, secret)."""

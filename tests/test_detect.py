@@ -1,5 +1,5 @@
 import pytest
-from conftest import token as A
+from samples import token as A
 from pyspark.sql import functions as F
 
 CASES = [

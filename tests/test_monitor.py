@@ -1,4 +1,4 @@
-from conftest import token as A
+from samples import token as A
 from pyspark.sql import functions as F
 
 from keysieve.streaming import monitor as M

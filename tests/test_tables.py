@@ -1,6 +1,6 @@
 import json
 
-from conftest import token as A
+from samples import token as A
 from pyspark.sql import functions as F
 
 from keysieve.operators.skew import latest, numbered, skew_join
