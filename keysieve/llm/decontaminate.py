@@ -8,8 +8,7 @@ at least ``threshold`` of the item's distinct shingles.
    k = u - ceil(threshold * u) + 1 for the largest n = u of its class.  A document that
    contains the item lacks at most n - ceil(threshold * n) < k of its shingles, so it has one
    of the sketch: the search loses no pair, however long the document is.
-2. Documents with fewer shingle positions than the items of a class need are no candidates
-   there.
+2. The sketches meet the shingles of all documents; pairs that share a digest are candidates.
 3. Candidates are verified with the shingles' words themselves, not with digests.
 
 A text with fewer words than a shingle has is one shingle.  Null and empty texts have none
@@ -65,19 +64,16 @@ def contained(docs: DataFrame, items: DataFrame, width: int = 5, threshold: floa
     upper = F.pow(F.lit(2), size + 1) - 1
     sketches = sketched.withColumn(
         "size_class", F.floor(F.log2(F.size("all_").cast("double")))).withColumn(
-        "k", (upper - F.ceil(upper * threshold) + 1).cast("int")).withColumn(
-        "needs", F.ceil(F.pow(F.lit(2), size) * threshold)).select(
-        "item_id", "needs", F.explode(F.slice("all_", F.lit(1), F.col("k"))).alias("h"))
+        "k", (upper - F.ceil(upper * threshold - 1e-9) + 1).cast("int")).select(
+        "item_id", F.explode(F.slice("all_", F.lit(1), F.col("k"))).alias("h"))
     sketches = stored(sketches, "sketches")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.col("text").cast("string").alias("text"))
+    # Not cut by a row's size: the rows of one doc_id may hold an item together.
     found = texts.where("doc_id is not null").select(
-        "doc_id", word_list("text").alias("words_")).select(
-        "doc_id", digests.alias("hs_")).select(
-        "doc_id", F.size("hs_").alias("size_"), F.explode("hs_").alias("h"))
-    candidates = found.join(sketches, "h").where("size_ >= needs").select(
-        "doc_id", "item_id").distinct()
-    candidates = stored(candidates, "candidates")
+        "doc_id", word_list("text").alias("words_")).select("doc_id", F.explode(digests).alias("h"))
+    candidates = stored(found.join(sketches, "h").select("doc_id", "item_id").distinct(),
+                        "candidates")
     asked = candidates.join(listed, "item_id")
     own = shingle_texts("words_", width)
     # Rows of one doc_id are judged together: their shared shingles are united.

@@ -122,14 +122,15 @@ def test_decontamination(spark, rows):
     words = item.split()
     texts = [(1, "before " + item.upper() + " after"), (2, " ".join(words[:27])),
              (3, " ".join(words[:15])), (4, None), (5, ""), (None, item), (6, "a b"),
-             (1, "x"), (7, "long " * 5000 + item)]
+             (1, "x"), (7, "long " * 5000 + item),
+             (8, " ".join(words[:14])), (8, " ".join(words[10:24])), (8, " ".join(words[20:]))]
     docs = spark.createDataFrame([(*t, "q") for t in texts], "doc_id long, text string, h string")
     items = spark.createDataFrame([(10, item), (11, "a b"), (12, None), (13, ""), (10, item)],
                                   "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.n_shared for r in decontaminate.contained(docs, items).collect()}
     n = len({tuple(words[i:i + 5]) for i in range(26)})
     assert got == {(1, 10): n, (2, 10): len({tuple(words[i:i + 5]) for i in range(23)}),
-                   (7, 10): n, (6, 11): 1}
+                   (7, 10): n, (8, 10): n, (6, 11): 1}
     assert decontaminate.contained(docs.limit(0), items).count() == 0
     assert decontaminate.contained(docs, items.limit(0)).count() == 0
 
@@ -190,6 +191,16 @@ def test_embeddings(spark):
     assert embedding_dedup.near_copies(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_size(spark):
+    """Double-precision vectors whose squares overflow or vanish."""
+    rows = [(1, [1e200, 1e200]), (2, [1e-200, 1.01e-200]), (3, [3.0, 3.0]), (4, [1e200, -1e200]),
+            (5, [float("inf"), 1.0])]
+    df = spark.createDataFrame([(*r, "k") for r in rows],
+                               "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_copies(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [
