@@ -7,9 +7,11 @@ threshold, so no pair at or above it is lost, and every link rests on a double-p
 cosine.
 
 Vectors with the same label and equal components are one class from the start, counted with
-its copies.  The classes of a label are dealt into blocks of about ``TILE``; each pair of
-blocks is one tile of one task, so a label that holds most vectors is many even tiles.  A
-tile returns the number of links per vector and a spanning forest of them, never the pairs.
+its copies.  The classes of a label are dealt into even blocks: of about ``TILE``, and in a
+label of very many into about ``BLOCKS`` until they hold ``TILE_MOST``, because each vector is
+sent once per block.  Each pair of blocks is one tile of one task, so a label that holds most
+vectors is many even tiles.  Vectors travel in the precision they came in.  A tile returns the
+number of links per vector and a spanning forest of them, never the pairs.
 
 Null, zero and non-finite vectors and rows without label link with nothing.  Rows repeated
 under one vec_id with the same label and vector count as one vector.  Vectors of different
@@ -25,11 +27,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from keysieve.llm.components import components
 from keysieve.llm.shared import chunks, stored
 
-TILE = 1024
+TILE, TILE_MOST, BLOCKS = 1024, 8192, 24
 SLACK = 1e-9  # rounding of the double-precision bounds themselves
 
 _ROWS = ("vec_id long, label string, digest string, vector binary, quantised binary, "
@@ -44,7 +47,7 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return q, scale, np.linalg.norm(unit - back, axis=1), np.linalg.norm(back, axis=1)
 
 
-def _prepared(vectors: DataFrame) -> DataFrame:
+def _prepared(vectors: DataFrame, kind: type) -> DataFrame:
     """Rows as numbers; digest is null for vectors that link with nothing."""
     names = [x.split()[0] for x in _ROWS.split(", ")]
     types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(),
@@ -54,15 +57,17 @@ def _prepared(vectors: DataFrame) -> DataFrame:
         for batch in chunks(batches, 4000):
             out = []
             for vec_id, label, v in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                x = np.array([np.nan if a is None else a for a in v or [0.0]], float)
-                length = np.sqrt(x @ x) if len(x) else 0.0
+                x = np.array([np.nan if a is None else a for a in v or [0.0]], float) + 0.0
+                digest = xxhash.xxh3_128_hexdigest(x.tobytes())  # + 0.0: -0.0 becomes 0.0
+                if kind is float:  # by a power of two, so that no square overflows or vanishes
+                    x = np.ldexp(x, -np.frexp(np.abs(x).max())[1])
+                length = np.sqrt(x @ x)
                 if label is None or vec_id is None or not np.isfinite(length) or length == 0:
                     out.append((vec_id, label, None, None, None, None, None, None))
                     continue
                 q, s, e, r = quantise(x[None] / length)
-                data = (x + 0.0).tobytes()  # -0.0 becomes 0.0
-                out.append((vec_id, label, xxhash.xxh3_128_hexdigest(data), data,
-                            q.tobytes(), s[0], e[0], r[0]))
+                out.append((vec_id, label, digest, x.astype(kind).tobytes(), q.tobytes(), s[0],
+                            e[0], r[0]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 
@@ -73,14 +78,18 @@ def _prepared(vectors: DataFrame) -> DataFrame:
 
 def near_copies(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept: vectors linked at a cosine of ``threshold``."""
-    rows = stored(_prepared(vectors), "vectors")
-    single = rows.where("digest is not null").groupBy("vec_id", "label", "digest").agg(
+    single = isinstance(vectors.schema["embedding"].dataType.elementType, FloatType)
+    kind = np.float32 if single else float
+    rows = stored(_prepared(vectors, kind), "vectors")
+    once = rows.where("digest is not null").groupBy("vec_id", "label", "digest").agg(
         F.any_value(F.struct("vector", "quantised", "scale", "error", "reach")).alias("r"))
-    classes = stored(single.groupBy("label", "digest").agg(
+    classes = stored(once.groupBy("label", "digest").agg(
         F.min("vec_id").alias("rep"), F.count("*").alias("copies"),
         F.any_value("r").alias("r")).select("label", "digest", "rep", "copies", "r.*"),
         "classes")
-    blocks = classes.groupBy("label").agg(F.ceil(F.count("*") / tile).cast("int").alias("n_"))
+    n = F.count("*")
+    side = F.greatest(F.lit(tile), F.least(F.lit(max(tile, TILE_MOST)), n / BLOCKS))
+    blocks = classes.groupBy("label").agg(F.ceil(n / side).cast("int").alias("n_"))
     dealt = classes.join(blocks, "label").withColumn(
         "at_", F.pmod(F.xxhash64("rep"), F.col("n_")).cast("int"))
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_") - 1))).select(
@@ -89,7 +98,7 @@ def near_copies(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE) -
         "quantised", "scale", "error", "reach")
 
     def compare(t: pa.Table) -> pa.Table:
-        return _tile(t, threshold)
+        return _tile(t, threshold, kind)
 
     found = stored(tiles.groupBy("label", "i", "j").applyInArrow(
         compare, "a long, b long, n long"), "links")
@@ -107,7 +116,7 @@ def near_copies(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE) -
         "kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _tile(t: pa.Table, threshold: float) -> pa.Table:
+def _tile(t: pa.Table, threshold: float, kind: type) -> pa.Table:
     """Rows (vector, null, links) and (a, b, null) of a forest of a tile's links."""
     on_first = t["first"].to_numpy(zero_copy_only=False)
     same = t["i"][0].as_py() == t["j"][0].as_py()
@@ -133,7 +142,7 @@ def _tile(t: pa.Table, threshold: float) -> pa.Table:
                                 np.int8).reshape(-1, d)
         x = np.zeros((len(rep), d))
         x[mine] = np.frombuffer(b"".join(t["vector"].take(pa.array(mine)).to_pylist()),
-                                float).reshape(-1, d)
+                                kind).reshape(-1, d)
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
         for k in range(0, len(rows), 256):
             r = rows[k:k + 256]
