@@ -18,6 +18,7 @@ from keysieve.sources.rules import RuleSet, load_rules
 
 
 ID_KEY = "keysieve"
+PIECE = 10_000  # lines of a file that are searched together
 
 
 def candidate_lines(files: DataFrame, rules: RuleSet, context_lines: int = 0) -> DataFrame:
@@ -31,20 +32,27 @@ def candidate_lines(files: DataFrame, rules: RuleSet, context_lines: int = 0) ->
     # would be pushed below the projection that yields the content and repeat it
     gate = F.expr(gate_sql("content", rules, stops=" \\n"))
     whole = files.select(*kept, F.when(gate, split_lines(F.col("content"))).alias("lines_"))
+    # Each piece with the lines before and behind it that contexts may show, so that the hits
+    # of a long file never stand in one row together.
+    n = context_lines
+    pieces = f"""if(lines_ is null, null, transform(sequence(0, size(lines_) - 1, {PIECE}),
+        at -> struct(at, greatest(at - {n}, 0) as skip,
+                     slice(lines_, greatest(at - {n}, 0) + 1, {PIECE + n} + least(at, {n})) as lines)))"""
     hits = f"""filter(transform(filter(
-        transform(lines_, (text, i) -> struct(i + 1 as line, text as text)),
-        x -> {gate_sql('x.text', rules)}),
+        transform(piece_.lines, (text, i) -> struct(piece_.skip + i + 1 as line, text as text)),
+        x -> x.line > piece_.at and x.line <= piece_.at + {PIECE} and {gate_sql('x.text', rules)}),
         x -> struct(x.line, x.text, {candidates_sql('x.text', rules)} as cand)),
         x -> size(x.cand) > 0)"""
-    if context_lines > 0:
-        n = context_lines
+    if n > 0:
         hits = f"""transform({hits}, x -> struct(x.line, x.text, x.cand, transform(
-            slice(lines_, greatest(x.line - {n}, 1), {n + 1} + least({n}, x.line - 1)),
+            slice(piece_.lines, greatest(x.line - {n}, 1) - piece_.skip,
+                  {n + 1} + least({n}, x.line - 1)),
             (c, i) -> struct(greatest(x.line - {n}, 1) + i as line, c as content,
                              greatest(x.line - {n}, 1) + i = x.line as is_match)) as around))"""
     # outer, so that the optimizer does not search every file twice to test for hits
     names = [f"`{c}`" for c in kept]
-    return (whole.selectExpr(*names, f"explode_outer({hits}) as hit_")
+    return (whole.selectExpr(*names, f"explode_outer({pieces}) as piece_")
+            .selectExpr(*names, f"explode_outer({hits}) as hit_")
             .selectExpr(*names, "hit_.*").where("line is not null"))
 
 

@@ -79,3 +79,21 @@ def test_plan_reads_the_corpus_once(spark):
     assert plan.count("FileScan") == 1
     assert plan.count("Exchange hashpartitioning") == 2
     assert "ReadSchema: struct<doc_id:bigint,text:string,source:string>" in plan
+
+
+def test_pieces_change_nothing(spark, monkeypatch):
+    """Lines and contexts of a file searched in pieces are those of the whole file."""
+    from keysieve.plans import scan
+
+    lines = [f"password = '{A(12)}{i}'" if i % 3 else f"line {i}" for i in range(23)]
+    files = table(spark, ("r", "f", "\n".join(lines)), ("r", "g", lines[1]), ("r", "h", ""))
+
+    def found(context_lines):
+        rows = scan_files(files, context_lines=context_lines, keep_raw=True)
+        return sorted(map(str, rows.collect()))
+
+    whole = [found(n) for n in (0, 1, 3)]
+    assert len(whole[0]) == 16
+    for piece in (1, 2, 5, 23):
+        monkeypatch.setattr(scan, "PIECE", piece)
+        assert [found(n) for n in (0, 1, 3)] == whole
