@@ -10,10 +10,10 @@ with P(word) = (c + 0.1) / (N + 0.1 (V + 1)) from counts over the whole training
 class also holds one unknown word.  Words that are not among the frequent ones get their
 counts by a join, so no task and no broadcast grows with the vocabulary.
 
-Training starts from a bounded sample (``SAMPLE`` documents of at most ``SAMPLE_TOKENS``
-tokens, the smallest digests of doc_id) and then runs ``PASSES`` passes of Baum-Welch over all
-training documents: each task sends its expected counts, which Spark adds up.  The scaled
-forward recursion gives the exact likelihood of a sequence of classes.
+Training starts from states that differ from the class shares at random and runs ``PASSES``
+rounds of Baum-Welch, each over all training documents: each task sends its expected counts,
+which Spark adds up.  The scaled forward recursion gives the exact likelihood of a sequence of
+classes.
 
 A null text is empty: its only token is the end.  Rows with a null doc_id are training text.
 Repeated rows count as often as they stand there.  Without training rows all tokens are
@@ -38,8 +38,7 @@ OWN = 4_096          # of them, words that are a class of their own
 SUFFIXES = 4_096     # classes of all other words
 END = OWN + SUFFIXES
 CLASSES = END + 1
-STATES, PASSES = 8, 2
-SAMPLE, SAMPLE_TOKENS, SAMPLE_ROUNDS = 1500, 2048, 12
+STATES, PASSES = 8, 4
 GROUP = 400_000      # tokens whose recursions run side by side
 
 
@@ -153,18 +152,13 @@ def _estimate(start, moves, emits, share: np.ndarray) -> Model:
     return Model(start, moves, emits)
 
 
-def _first_model(sample: list[np.ndarray], share: np.ndarray, states: int, rounds: int
-                 ) -> Model:
+def _first_model(share: np.ndarray, states: int) -> Model:
     rng = np.random.default_rng(7)
     emits = share * np.exp(rng.normal(0, 0.5, (states, CLASSES)))
     moves = np.full((states, states), 0.05 / max(1, states - 1))
     np.fill_diagonal(moves, 0.95)
-    model = Model(np.full(states, 1 / states), moves / moves.sum(1, keepdims=True),
-                  emits / emits.sum(1, keepdims=True))
-    for _ in range(rounds if sample else 0):
-        parts = [model.expected(s) for _, s in _groups(sample)]
-        model = _estimate(*(sum(p[i] for p in parts) for i in range(3)), share)
-    return model
+    return Model(np.full(states, 1 / states), moves / moves.sum(1, keepdims=True),
+                 emits / emits.sum(1, keepdims=True))
 
 
 def _arrays(column: pa.Array) -> list[np.ndarray]:
@@ -220,10 +214,7 @@ def score(docs: DataFrame, held_out_of: int = 10, states: int = STATES, passes:
     tail = tail.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / z)).alias("tail_score"),
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"))
-    sample = coded.where((F.col("n_tokens") <= SAMPLE_TOKENS) & ~F.col("held_out")).orderBy(
-        F.xxhash64("doc_id", "row")).limit(SAMPLE).select("classes").collect()
-    model = _first_model([np.frombuffer(r.classes, "<u2") for r in sample], share, states,
-                         SAMPLE_ROUNDS)
+    model = _first_model(share, states)
     for _ in range(passes):
         model = _trained(coded, model, share)
     shared = spark.sparkContext.broadcast((model, np.log10(mass)))

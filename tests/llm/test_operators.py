@@ -154,6 +154,34 @@ def test_hmm(spark, docs, rows):
     assert hmm.score(empty(spark), states=2).count() == 0
 
 
+def test_hmm_trains_on_all_rows(spark):
+    """Every round is Baum-Welch over all training texts, of more than 2048 tokens too."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefgh" if i % 3 else "stuvwxyz") for _ in range(
+        rng.choice([5, 200, 2500]))) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in hmm.score(df, states=2, passes=3).collect()}
+    train = [t.split() for i, t in enumerate(texts) if not got[i].held_out]
+    counts = collections.Counter(w for t in train for w in t)
+    rank = {w: k for k, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w)))}
+    mass = np.full(hmm.CLASSES, 0.1)
+    for w, k in rank.items():
+        mass[k] += counts[w]
+    mass[hmm.END] += len(train)
+    z = sum(counts.values()) + len(train) + 0.1 * (len(counts) + 2)
+    share = mass / mass.sum()
+    model = hmm._first_model(share, 2)
+    sequences = [np.array([*(rank[w] for w in t), hmm.END]) for t in train]
+    for _ in range(3):
+        start, moves, emits, _ = model.expected(hmm.Sequences(sequences))
+        model = hmm._estimate(start, moves, emits, share)
+    for i, t in enumerate(texts):
+        found = np.array([*(rank[w] for w in t.split()), hmm.END])
+        gain = model.forward(hmm.Sequences([found]))[0] / np.log(10) - np.log10(
+            mass / z)[found].sum()
+        assert abs(got[i].score - got[i].base_score - gain) < 1e-3 * max(1, abs(gain))
+
+
 def test_hmm_forward_is_a_probability():
     """All continuations of a sequence have the probability of the sequence."""
     rng = np.random.default_rng(0)
