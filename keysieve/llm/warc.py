@@ -5,9 +5,10 @@ a ``revisit`` without payload for each later page with the same one.
 
 ``read`` cuts the files into byte ranges.  Each task looks for the magic ``WARC/1.0`` in its
 range and emits every candidate with the offset of its successor, also those inside
-payloads.  Then pointers jump: each candidate knows the first candidate of a later range that
+payloads; a header may be of any length.  Then pointers jump: each candidate knows the first candidate of a later range that
 its chain leads to, pointers are doubled round by round, and what the file's start reaches
-is kept.  Magic inside a payload is on no such chain.
+is kept.  Magic inside a payload is on no such chain.  A file with another number of records
+than its table of files says is an error.
 
 A null html is an empty payload, a null url leaves out the header, a null page_id is written
 as a record without a page and read back as null; it refers to others but is only referred
@@ -32,7 +33,7 @@ from keysieve.llm.shared import new_file, open_file, raw, stored, workspace
 
 MAGIC = b"WARC/1.0\r\n"
 RANGE = 8 << 20  # bytes of a file that one task searches
-_HEADER_MOST = 1 << 16
+_AHEAD = 1 << 16  # bytes read behind a range; more, if a header is longer
 _RECORDS = ("path string, offset long, next long, page_id long, payload_bytes long, "
             "payload_digest string, record_type string, refers_to long")
 
@@ -115,7 +116,7 @@ def parse(data: bytes, at: int) -> tuple | None:
 
     ``next`` may lie beyond ``data``.
     """
-    end = data.find(b"\r\n\r\n", at, at + _HEADER_MOST)
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         return None
     fields = _fields(data[at:end])
@@ -134,9 +135,17 @@ def _candidates(path: str, start: int, end: int) -> list[tuple]:
     found = []
     with open_file(path) as file:
         size = file.size()
-        data = file.read_at(min(size, end + _HEADER_MOST) - start, start)
-        at = data.find(MAGIC)
+        # Records begin a file or follow an empty line, so no two headers overlap.
+        back = min(4, start)
+        start -= back
+        data = file.read_at(min(size, end + _AHEAD) - start, start)
+        at = data.find(MAGIC, back)
         while 0 <= at < end - start:
+            if start + at > 0 and data[at - 4:at] != b"\r\n\r\n":
+                at = data.find(MAGIC, at + 1)
+                continue
+            while data.find(b"\r\n\r\n", at) < 0 and start + len(data) < size:
+                data += file.read_at(min(len(data), size - start - len(data)), start + len(data))
             got = parse(data, at)
             if got and start + got[0] <= size:
                 nxt, fields, body = got
@@ -243,6 +252,11 @@ def read(files: DataFrame, size: int = RANGE) -> DataFrame:
     page_id, payload_bytes, payload_digest, record_type, refers_to, path, offset.
     """
     found = stored(candidates(files, size), "candidates")
-    return found.join(reachable(found, size), ["path", "offset"], "left_semi").select(
+    chain = stored(reachable(found, size), "chain")
+    lost = files.join(chain.groupBy("path").agg(F.count("*").alias("n_")), "path", "left").where(
+        F.coalesce("n_", F.lit(0)) != F.col("n_records")).first()
+    if lost:
+        raise ValueError(f"{lost.path}: {lost.n_ or 0} of {lost.n_records} records can be read")
+    return found.join(chain, ["path", "offset"], "left_semi").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "path",
         "offset")

@@ -274,6 +274,19 @@ def test_warc(spark):
     assert warc.read(warc.write(df.limit(0))).count() == 0
 
 
+def test_warc_headers_of_any_length(spark):
+    long = "http://h/" + "x" * 200_000
+    pages = [(0, long, "<p>0</p>"), (1, " " * 70_000, "<p>1</p>" * 99)] + [
+        (i, long if i % 5 == 0 else "http://h/", f"<p>{i % 9}</p>") for i in range(2, 30)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    files = warc.write(df)
+    for size in (150_000, 1 << 20):
+        assert sorted(r.page_id for r in warc.read(files, size).collect()) == list(range(30))
+    more = files.selectExpr("path", "n_bytes", "n_records + 1 AS n_records")
+    with pytest.raises(ValueError, match="30 of 31 records"):
+        warc.read(more)
+
+
 PAGE = """<!DOCTYPE html><head><title>T</title><style>p{}</style><script>var a="</p>";</script>
 <body><header class="page-header"><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>
 <div class="cookie-notice">We use the cookies of the site and of others for you and for us, with
