@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags.  The first pass looks at each block alone:
 
 * blocks inside menus, headers of the page, footers, sidebars, notices, adverts, forms and
-  reader comments (told by tag, role, or a word of class or id) are bad;
+  reader comments (told by tag or role, or by a class or id that is or ends in such a word,
+  unless it tells a category or a layout or stands on an article) are bad;
 * blocks mostly made of links are bad;
 * long blocks with enough stop words are good; long ones with hardly any are bad, unless
   they stand inside an article;
@@ -71,6 +72,9 @@ HINTS = frozenset((
     "copyright", "disclaimer", "skip", "search"))
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "dialog",
                    "alert", "alertdialog", "form", "menu", "menubar", "toolbar"))
+# Words that make a compound a category of the text or a layout: "tag-cookies", "no-sidebar".
+CATEGORIES = frozenset(("category", "cat", "tag", "topic", "type", "format"))
+LAYOUTS = frozenset(("no", "not", "without", "has", "with", "layout", "content"))
 OPEN_TO_HINTS = frozenset(("div", "section", "ul", "ol", "dl", "p", "span", "table", "li",
                            "article", "figure", "details", "td", "header", "blockquote"))
 
@@ -91,6 +95,13 @@ class Block:
     section: int  # which article, 0 outside
 
 
+def _names(token: str) -> bool:
+    """Whether a class or id names an unwanted element: as a whole or by its last word."""
+    parts = [x for x in re.split(r"[-_]+", token) if x]
+    return bool(parts) and parts[-1] in HINTS and parts[0] not in CATEGORIES and not (
+        LAYOUTS & set(parts[:-1]))
+
+
 def _unwanted(name: str, more: str, in_article: bool) -> bool:
     """Whether an element holds no main text, by its tag and attributes."""
     if name in BOILERPLATE or (name == "header" and not in_article):
@@ -104,12 +115,7 @@ def _unwanted(name: str, more: str, in_article: bool) -> bool:
             return True
         if kind == "role" and value in ROLES:
             return True
-        # An element is named by the last word of a compound: "page-header", not "no-sidebar"
-        # taken as a whole; a negation before it means the contrary.
-        if kind in ("class", "id") and any(
-                part in HINTS and not (k and parts[k - 1] in ("no", "not", "without", "has"))
-                for token in value.split()
-                for parts in [re.split(r"[-_]+", token)] for k, part in enumerate(parts)):
+        if kind in ("class", "id") and name != "article" and any(map(_names, value.split())):
             return True
     return False
 

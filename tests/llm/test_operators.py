@@ -310,6 +310,20 @@ def test_main_text(spark):
     assert len(got) == len(odd) and all(r.n_chars == len(r.text) for r in got)
 
 
+@pytest.mark.parametrize("open_tag", [
+    '<article class="post category-social">', '<article class="hentry tag-cookies">',
+    '<article class="comment-open sponsored">', '<div class="main with-sidebar">',
+    '<div id="search-engines-explained">', '<div class="header-large post">',
+    '<div class="hentry category-breaking-notice">', '<section class="content-sidebar">',
+    '<div class="cookie-banner">', '<div id="comments">', '<div class="left_sidebar">'])
+def test_hints_count_only_where_they_name_the_element(open_tag):
+    text = ("It is the best of all that was and has been for the people of this town. " * 3).strip()
+    dropped = any(x in open_tag for x in ("cookie-banner", '"comments"', "left_sidebar"))
+    close = "</" + open_tag[1:].split()[0] + ">"
+    page = f"<body>{open_tag}<p>{text}</p>{close}</body>"
+    assert html_text.main_text(page) == ("" if dropped else text)
+
+
 def test_quality(spark):
     rng = random.Random(3)
     texts, marks = [], []
