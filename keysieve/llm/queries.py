@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keysieve.llm import (
-    decontaminate, embedding_dedup, hmm, html_text, hyperminhash, langid, packing, pfor,
-    quality, warc,
+    decontaminate, divergence, embedding_dedup, filter_audit, hmm, html_text, hyperminhash, langid, packing, pfor,
+    quality, suffix_dedup, warc,
 )
 from keysieve.llm.shared import table
 
@@ -116,3 +117,92 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
+
+
+@query("""
+    WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang,
+                      coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+    t AS (SELECT id, lang, source, translate(unnest(regexp_extract_all(text,
+                 '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+    k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+    v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS size FROM k GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term)
+          GROUP BY ALL),
+    s AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS size FROM g
+          LEFT JOIN c USING (lang, source) GROUP BY ALL),
+    p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                 1 + (1000000000 * (coalesce(c.n, 0) + 2)::HUGEINT) // (s.size + 2 * v.v) AS p,
+                 1 + (1000000000 * (k.n + 2)::HUGEINT) // (v.size + 2 * v.v) AS q
+          FROM g JOIN k USING (lang) JOIN v USING (lang) JOIN s USING (lang, source)
+          LEFT JOIN c ON (c.lang, c.source, c.term) = (g.lang, g.source, k.term)),
+    pv AS (SELECT a.lang, a.source, b.source AS item,
+                  sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+           FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+           GROUP BY ALL),
+    pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+                    coalesce(value, 0)::BIGINT AS value
+             FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+             LEFT JOIN pv ON (pv.lang, pv.source, pv.item) = (a.lang, a.source, b.source)),
+    term AS (SELECT lang, source, 'term' AS part, term AS item,
+                    ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part
+                                      ORDER BY value DESC, encode(item)) AS INT) AS rank
+    FROM (FROM pair UNION ALL FROM term)
+    QUALIFY part = 'pair' OR rank <= 10""")
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+@query("""
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                      list_filter(string_split_regex(coalesce(text, ''),
+                                  '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w
+               FROM documents),
+    l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+                 max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                 (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+                 + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g'))
+                        > 10 * length(text))::INT
+                 + 8 * regexp_matches(text, '[#$%&*|]')::INT
+                 + 16 * coalesce(min(doc_id) OVER (PARTITION BY text) < d.doc_id, false)::INT
+                 AS mask
+          FROM d LEFT JOIN l USING (doc_id)),
+    n AS (SELECT part, mask, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+    f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+    o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+          FROM f a, f b, f c, f d, f e
+          WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+    s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS f,
+                 list_sum(list_transform(string_split(substr(filter_order, 1, step), ''),
+                                         lambda x: 1 << (ascii(x) - 65)))::INT AS upto
+          FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+    b AS (SELECT *, 1 << (ascii(f) - 65) AS own, upto - (1 << (ascii(f) - 65)) AS earlier
+          FROM s),
+    r AS (SELECT part, filter_order, step, f,
+                 sum(CASE WHEN mask & upto = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                 sum(CASE WHEN mask & own <> 0 AND mask & earlier = 0 THEN n ELSE 0 END)::BIGINT
+                 AS removed,
+                 sum(CASE WHEN mask & own <> 0 AND mask & earlier <> 0 THEN n ELSE 0 END)::BIGINT
+                 AS redundant,
+                 sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                 sum(CASE WHEN mask & own <> 0 AND mask & earlier = 0 THEN n * good
+                     ELSE 0 END)::BIGINT AS good_lost,
+                 sum(CASE WHEN mask & own <> 0 AND mask & earlier = 0 THEN n * toxic
+                     ELSE 0 END)::BIGINT AS toxic_lost
+          FROM n, b GROUP BY ALL)
+    SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails,
+           good_lost, toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+    FROM r""")
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+@query()
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
