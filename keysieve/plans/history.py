@@ -5,17 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keysieve.operators.detect import gate_sql
+from keysieve.operators.skew import skew_join
 from keysieve.plans.scan import scan_files
-from keysieve.sources.history import on_branch, tree
+from keysieve.sources.files import scannable
+from keysieve.sources.history import graph_tree, on_branch, reachable, tree
+from keysieve.sources.rules import load_rules
+from keysieve.workspace import stored
 
 KEY = ["repo", "rule_id", "secret_id"]
 
 
-def scan_versions(versions: DataFrame, rules=None, **options) -> DataFrame:
-    """Findings of every version of every file."""
-    kept = versions.where(F.col("change") != "D").select(
-        "repo", "commit", "ts", "branch", "path", "content")
-    return scan_files(kept, rules, context_lines=0, **options)
+def scan_versions(versions: DataFrame, rules=None, only=None, exclude=None,
+                  filter_paths: bool = True, **options) -> DataFrame:
+    """Findings of every version of every file.
+
+    Histories repeat contents far more often than they bring new ones: each distinct content
+    is scanned once, under its digest, and its findings are given to all its versions.
+    """
+    rules = (rules or load_rules()).subset(only, exclude)
+    kept = versions.where(F.col("change") != "D")
+    if filter_paths:
+        kept = kept.where(scannable(F.col("path")))
+    kept = kept.where(F.expr(gate_sql("content", rules, stops=" \\n"))).withColumn(
+        "digest", F.sha2("content", 256))
+    found = stored(scan_files(contents(kept), rules, context_lines=0, filter_paths=False,
+                              **options), "content-findings")
+    places = stored(kept.select("repo", "commit", "ts", "branch", "path", "digest"), "places")
+    return skew_join(places, found.withColumnRenamed("path", "digest"), ["digest"]).drop("digest")
+
+
+def contents(versions: DataFrame) -> DataFrame:
+    """(path, content): every distinct content once, its ``digest`` for a path."""
+    return versions.groupBy("digest").agg(F.first("content").alias("content")).select(
+        F.col("digest").alias("path"), "content")
 
 
 def scan_branch(versions: DataFrame, branch: str, rules=None, **options) -> DataFrame:
@@ -29,6 +52,19 @@ def scan_tree(versions: DataFrame, branch: str, rules=None, base: str | None = N
     return scan_versions(tree(versions, branch, base), rules, **options)
 
 
+def scan_graph_branch(versions: DataFrame, commits: DataFrame, tips: DataFrame, rules=None,
+                      **options) -> DataFrame:
+    """Findings of all versions in the history of each repository's tip, merges included."""
+    inside = reachable(commits, tips).select("repo", "commit")
+    return scan_versions(versions.join(inside, ["repo", "commit"], "left_semi"), rules, **options)
+
+
+def scan_graph_tree(versions: DataFrame, commits: DataFrame, tips: DataFrame, rules=None,
+                    **options) -> DataFrame:
+    """Findings of the files as they are at each repository's tip, merges included."""
+    return scan_versions(graph_tree(versions, commits, tips), rules, **options)
+
+
 def lifetimes(history: DataFrame, present: DataFrame) -> DataFrame:
     """Each secret of the history: when it was seen, how often, and if it is there now.
 

@@ -6,15 +6,18 @@ no line is shuffled.  Only matches are: once, by file and line, to be resolved.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keysieve.functions.text import redact
 from keysieve.operators.detect import candidates_sql, detect, gate_sql
 from keysieve.operators.resolve import resolve
-from keysieve.sources.files import scannable, split_lines
+from keysieve.sources.files import (
+    WHOLE, line_ranges, line_text, read_lines, read_tree, scannable, split_lines, text_files,
+)
 from keysieve.sources.rules import RuleSet, load_rules
+from keysieve.workspace import stored
 
 
 ID_KEY = "keysieve"
@@ -85,6 +88,12 @@ def scan_files(
     carry = ["around"] if context_lines > 0 else []
     found = resolve(detect(lines, rules), key, carry)
 
+    return _shown(found, key, context_lines, redacted, hide, keep_raw, id_key)
+
+
+def _shown(found: DataFrame, key: list[str], context_lines: int, redacted: bool = True,
+           hide: str = "all", keep_raw: bool = False, id_key: str = ID_KEY) -> DataFrame:
+    """Findings as they are reported: secrets redacted and hidden in the context."""
     shown = redact(F.col("secret_raw")) if redacted else F.col("secret_raw")
     found = (
         found.withColumn("column", F.col("col0") + 1)
@@ -112,15 +121,137 @@ def _blot(context: Column, secret: Column, shown: Column) -> Column:
         c["is_match"].alias("is_match")))
 
 
+MANY = 1000  # findings of a file that may meet in one group
+GRAM = 8  # characters of a secret by which it is looked up in a line
+
+
 def _blot_all(found: DataFrame, file_key: list[str]) -> DataFrame:
-    """Blot out of each context all secrets found anywhere in the file.
+    """Blot out of each context all secrets found anywhere in the file, the longest first.
 
-    One pass: the findings of a file meet once, shuffled by file.  A file is a row of the
-    scan, so its findings are no more than a task has held before; Spark spills them.
+    The findings of a file meet in one group while they are ``MANY`` at most.  In files with
+    more, secrets and context lines meet by substrings instead, so no group grows with a file.
     """
+    found = stored(found, "found")
+    crowded = stored(found.groupBy(*file_key).agg(F.count("*").alias("n_")).where(
+        F.col("n_") > MANY).select(*file_key), "crowded")
     secret = F.struct(F.length("secret_raw").alias("n"), "secret_raw", "secret")
-    # longest first, so that a secret inside another one does not spoil it
     everywhere = F.sort_array(F.collect_set(secret).over(W.partitionBy(*file_key)), asc=False)
-    return found.withColumn("all_", everywhere).withColumn("context", F.aggregate(
-        "all_", F.col("around"), lambda ctx, s: _blot(ctx, s["secret_raw"], s["secret"]))
-    ).drop("all_")
+    few, none = found, crowded.isEmpty()
+    if not none:
+        few = found.join(crowded, file_key, "left_anti")
+    few = few.withColumn("all_", everywhere).withColumn("context", F.transform(
+        "around", lambda c: F.struct(
+            c["line"].alias("line"), _without(c["content"], F.col("all_")).alias("content"),
+            c["is_match"].alias("is_match")))).drop("all_")
+    if none:
+        return few
+    return few.unionByName(_blot_crowded(
+        found.join(crowded, file_key, "left_semi"), file_key))
+
+
+def _without(content: Column, secrets: Column) -> Column:
+    """The line with those of the secrets it holds replaced, in their order."""
+    return F.aggregate(F.filter(secrets, lambda s: F.contains(content, s["secret_raw"])), content,
+                       lambda text, s: F.replace(text, s["secret_raw"], s["secret"]))
+
+
+def _blot_crowded(found: DataFrame, file_key: list[str]) -> DataFrame:
+    """The same for files with any number of findings.
+
+    Each secret is looked up by its ``GRAM`` characters that the fewest secrets of the file
+    have (all of a shorter one), among those of the context lines.
+    """
+    secrets = found.select(*file_key, "secret_raw", "secret").distinct().withColumn(
+        "size", F.least(F.length("secret_raw"), F.lit(GRAM)))
+    grams = secrets.select("*", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length("secret_raw") - F.col("size") + 1),
+        lambda i: F.substring(F.col("secret_raw"), i, F.col("size"))))).alias("gram"))
+    shared = grams.groupBy(*file_key, "gram").agg(F.count("*").alias("n_"))
+    names = stored(grams.join(shared, [*file_key, "gram"]).groupBy(
+        *file_key, "secret_raw", "secret", "size").agg(
+        F.min_by("gram", F.struct("n_", "gram")).alias("gram")), "secrets")
+    sizes = stored(names.select(*file_key, "size").distinct(), "sizes")  # eight a file at most
+
+    spots = found.select(*file_key, "line", "pos", F.explode("around").alias("c")).select(
+        *file_key, "line", "pos", F.col("c.line").alias("at"), "c.content", "c.is_match")
+    # an equal line is the same line, whichever finding shows it
+    lines = stored(spots.groupBy(*file_key, "at").agg(F.first("content").alias("content")), "lines")
+    parts = lines.join(sizes, file_key).select(*file_key, "at", "content", F.explode(
+        F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length("content") - F.col("size") + 1, F.lit(1))),
+            lambda i: F.substring(F.col("content"), i, F.col("size"))))).alias("gram"))
+    hits = parts.join(names, [*file_key, "gram"]).where(F.contains("content", "secret_raw"))
+    held = hits.groupBy(*file_key, "at").agg(F.sort_array(F.collect_set(F.struct(
+        F.length("secret_raw").alias("n"), "secret_raw", "secret")), asc=False).alias("all_"))
+    clean = lines.join(held, [*file_key, "at"], "left").select(
+        *file_key, "at", F.coalesce(_without(F.col("content"), F.col("all_")), "content").alias(
+            "content"))
+    contexts = spots.drop("content").join(clean, [*file_key, "at"]).groupBy(
+        *file_key, "line", "pos").agg(F.sort_array(F.collect_list(F.struct(
+            F.col("at").alias("line"), "content", "is_match"))).alias("context"))
+    return found.drop("context").join(contexts, [*file_key, "line", "pos"])
+
+
+# --- files of any length ------------------------------------------------------------------
+
+CELL = 4096  # lines; a wanted line and the range that holds it meet by cells
+
+
+def scan_large(spark: SparkSession, root: str, rules: RuleSet | None = None,
+               context_lines: int = 3, over: int = -1, path_glob: str | None = None,
+               only=None, exclude=None, **shown) -> DataFrame:
+    """Findings of the files below ``root`` that have more than ``over`` bytes.
+
+    A file is read in byte ranges by many tasks, and no row holds more than a line.  Line
+    numbers are restored from the counts of the ranges.  The context is fetched afterwards:
+    only lines next to a finding are looked up again.
+    """
+    rules = (rules or load_rules()).subset(only, exclude)
+    # read once: a range's ids must stay as they are
+    lines = stored(read_lines(spark, root, path_glob, over), "lines")
+    ranges = stored(line_ranges(lines), "line-ranges").where("text").drop("text")
+
+    near = lines.where(F.expr(gate_sql("text", rules))).join(ranges, ["path", "start"])
+    line = F.col("base") + F.col("id") - F.col("first") + 1
+    clean = line_text(F.col("text"), line, F.col("total"), F.col("marked"), F.col("open"))
+    # exploded, so that the candidates are not computed from the text's expression, many times
+    numbered = near.select("path", F.explode(F.array(F.struct(
+        line.alias("line"), clean.alias("text")))).alias("l")).select("path", "l.*")
+    cands = numbered.withColumn("cand", F.expr(candidates_sql("text", rules)))
+    found = resolve(detect(cands, rules), ["path", "line"])
+    if context_lines > 0:
+        found = stored(found, "found")
+        found = found.join(_around(found, lines, ranges, context_lines), ["path", "line"])
+    return _shown(found, ["path", "line"], context_lines, **shown)
+
+
+def _around(found: DataFrame, lines: DataFrame, ranges: DataFrame, n: int) -> DataFrame:
+    """path, line, around: the lines around each line with a finding."""
+    spots = found.select("path", "line").distinct().select("path", "line", F.explode(
+        F.sequence(F.greatest(F.col("line") - n, F.lit(1)), F.col("line") + n)).alias("at"))
+    wanted = spots.select("path", "at").distinct().withColumn(
+        "cell", F.floor(F.col("at") / CELL))
+    cells = ranges.where("n > 0").withColumn("cell", F.explode(F.sequence(
+        F.floor((F.col("base") + 1) / CELL), F.floor((F.col("base") + F.col("n")) / CELL))))
+    places = wanted.join(cells, ["path", "cell"]).where("at > base and at <= base + n").select(
+        "path", "start", (F.col("first") + F.col("at") - F.col("base") - 1).alias("id"),
+        "at", "total", "marked", "open")
+    places = stored(places, "places")  # Spark sees how few they are
+    texts = lines.select("path", "start", "id", "text").join(
+        places, ["path", "start", "id"]).select(
+        "path", "at", line_text(F.col("text"), F.col("at"), F.col("total"), F.col("marked"),
+                                F.col("open")).alias("content"))
+    return spots.join(texts, ["path", "at"]).groupBy("path", "line").agg(F.sort_array(
+        F.collect_list(F.struct(F.col("at").cast("int").alias("line"), "content",
+                                (F.col("at") == F.col("line")).alias("is_match")))
+        ).alias("around"))
+
+
+def scan_tree(spark: SparkSession, root: str, rules: RuleSet | None = None, whole: int = WHOLE,
+              path_glob: str | None = None, **options) -> DataFrame:
+    """Findings of all files below ``root``: those of up to ``whole`` bytes in one row each,
+    larger ones in byte ranges.  Both give the same findings for the same file."""
+    small = scan_files(text_files(read_tree(spark, root, path_glob, up_to=whole)), rules,
+                       filter_paths=False, **options)
+    return small.withColumn("line", F.col("line").cast("long")).unionByName(
+        scan_large(spark, root, rules, over=whole, path_glob=path_glob, **options))

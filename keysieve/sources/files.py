@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # What is never scanned.
@@ -25,19 +26,81 @@ LOCK_FILES = [
 ]
 
 
-def read_tree(spark: SparkSession, root: str, path_glob: str | None = None) -> DataFrame:
+WHOLE = 64 << 20  # bytes up to which a file is one row
+
+
+def _own_path() -> Column:
+    """The path of a row's file, as it is written: not as a URL."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def _below(root: str) -> Column:
+    return F.regexp_replace(
+        _own_path(), "(?s)\\A.*?" + re.escape(re.sub(r"\A\w+:/*", "/", root.rstrip("/"))) + "/", "")
+
+
+def read_tree(spark: SparkSession, root: str, path_glob: str | None = None,
+              up_to: int | None = None) -> DataFrame:
     """The scannable files below ``root`` as (path, content), content still binary.
 
     Paths are tested below the root, so a hidden root hides nothing, and before a file is
-    opened, so a skipped file may be of any length.
+    opened, so a skipped file may be of any length.  So may files of more than ``up_to``
+    bytes, which are left to ``read_lines``.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if path_glob:
         reader = reader.option("pathGlobFilter", path_glob)
-    below = F.regexp_replace(
-        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))),
-        "(?s)\\A.*?" + re.escape(re.sub(r"\A\w+:/*", "/", root.rstrip("/"))) + "/", "")
-    return reader.load(root).where(scannable(below)).select("path", "content")
+    files = reader.load(root).where(scannable(_below(root)))
+    if up_to is not None:
+        files = files.where(F.col("length") <= up_to)
+    return files.select("path", "content")
+
+
+def read_lines(spark: SparkSession, root: str, path_glob: str | None = None,
+               over: int = -1) -> DataFrame:
+    """The lines of the scannable files of more than ``over`` bytes: path, size, start, id, text.
+
+    Spark cuts a file into byte ranges (``spark.sql.files.maxPartitionBytes``) and each task
+    reads the lines that begin in its range.  ``start`` is the range; ``id`` grows with the
+    lines of a range without gaps.  A carriage return before the line feed is left on.
+    """
+    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True)
+    if path_glob:
+        reader = reader.option("pathGlobFilter", path_glob)
+    lines = reader.text(root).where((F.col("_metadata.file_size") > over) & scannable(_below(root)))
+    return lines.select(
+        F.regexp_replace(_own_path(), "\\Afile:/+", "file:/").alias("path"),
+        F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
+
+
+def line_ranges(lines: DataFrame) -> DataFrame:
+    """The ranges of ``read_lines``: path, start, first (id), n, base (lines of the file before
+    it), total (lines of the file), and of the file: text (valid UTF-8), marked (it begins with
+    a byte order mark, which Spark leaves out), open (its last line has no line feed).
+
+    One row per range, so a file of any length is a short list here.
+    """
+    of_range = lines.groupBy("path", "start").agg(
+        F.min("id").alias("first"), F.count("*").alias("n"), F.first("size").alias("size"),
+        F.sum(F.octet_length("text") + 1).alias("bytes"),
+        F.bool_and(F.is_valid_utf8("text")).alias("valid"))
+    file = W.partitionBy("path")
+    missing = F.col("size") - F.sum("bytes").over(file)
+    return of_range.select(
+        "path", "start", "first", "n",
+        F.coalesce(F.sum("n").over(file.orderBy("start").rowsBetween(
+            W.unboundedPreceding, -1)), F.lit(0)).alias("base"),
+        F.sum("n").over(file).alias("total"), F.bool_and("valid").over(file).alias("text"),
+        (missing >= 2).alias("marked"), missing.isin(-1, 2).alias("open"))
+
+
+def line_text(text: Column, line: Column, total: Column, marked: Column, open_: Column) -> Column:
+    """A line as ``split_lines`` gives it: without its ending, with the byte order mark."""
+    body = F.when(text.endswith("\r") & ~((line == total) & open_),
+                  F.left(text, F.length(text) - 1)).otherwise(text)
+    return F.when((line == 1) & marked, F.concat(F.lit("\ufeff"), body)).otherwise(body)
 
 
 def balance(read: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Commit history as a table of file versions.
 
 Columns: repo, commit, ts, branch, path, change (A, M, D or R), content, and for renames
-old_path.
+old_path.  The commit graph is a table of its own: repo, commit, parents (an array, the first
+parent first), so that merges need neither branch labels nor time stamps.
 """
 
 from __future__ import annotations
@@ -9,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keysieve.operators.lineage import lineage
 from keysieve.operators.skew import latest, skew_join
+from keysieve.workspace import stored
 
 
 def added_paths(versions: DataFrame) -> DataFrame:
@@ -46,3 +49,36 @@ def tree(versions: DataFrame, branch: str, base: str | None = None) -> DataFrame
     """
     return on_branch(versions, branch, base).join(
         heads(versions, branch, base), ["repo", "path", "commit"], "left_semi")
+
+
+# --- by the commit graph ----------------------------------------------------------------------
+
+
+def reachable(commits: DataFrame, tips: DataFrame) -> DataFrame:
+    """repo, commit, place: the history of each tip (repo, commit), and the order of its commits.
+
+    ``place`` is an array that grows from parent to child.  What a merge brought in stands right
+    before the merge.
+    """
+    return lineage(commits, tips)
+
+
+def graph_heads(versions: DataFrame, commits: DataFrame, tips: DataFrame) -> DataFrame:
+    """(repo, path, commit) of the files as they are at each repository's tip.
+
+    A path is as the last commit left it that changed it.  Where two sides of a merge changed
+    it and the merge did not, the merged branch counts.
+    """
+    placed = versions.join(reachable(commits, tips), ["repo", "commit"])
+    seen = placed.select("repo", "path", "commit", "place", "change")
+    if "old_path" in versions.columns:
+        seen = seen.union(placed.where("change = 'R' and old_path <> path").select(
+            "repo", "old_path", "commit", "place", F.lit("D")))
+    last = latest(seen, ["repo", "path"], F.struct("place", F.col("change") != "D"))
+    return last.where("change <> 'D'").select("repo", "path", "commit")
+
+
+def graph_tree(versions: DataFrame, commits: DataFrame, tips: DataFrame) -> DataFrame:
+    """The versions that are the files at each repository's tip."""
+    chosen = stored(graph_heads(versions, commits, tips), "heads")
+    return versions.join(chosen, ["repo", "path", "commit"], "left_semi")

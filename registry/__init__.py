@@ -1,4 +1,4 @@
-from registry import scans, tables_views  # noqa: F401
+from registry import lineage, scans, tables_views  # noqa: F401
 from registry.base import ORACLES, QUERIES, give_types
 
 # DuckDB counts in wider types than the engine's tables have; the values are the same.
@@ -13,6 +13,10 @@ give_types({
     **{name: _LINE for name in ("scan_unredacted", "split_into_lines")},
     **{name: _PLACE for name in ("scan_branch", "scan_current_tree", "scan_feature_tree", "stream_scan")},
     **{name: _CONTEXT for name in ("scan_context", "scan_context_all_hidden")},
+    "scan_large_files": {"column": "INT", "pos": "INT", "line": "BIGINT"},
+    **{name: _PLACE for name in ("scan_graph_tree", "scan_graph_topic_tree")},
+    "scan_large_context": {"line": "BIGINT", "pos": "INT", "at": "INT"},
+    "scan_crowded_context": {"line": "INT", "pos": "INT", "nr": "INT"},
     "scanner_text": {"column_number": "INT"},
     "rule_classes": {"specificity": "INT"},
     "json_documents": {**_PLACE, "context_lines": "INT"},

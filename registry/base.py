@@ -13,7 +13,7 @@ GIVEN = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem
          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 # derived tables that take work per row: their source is spread over the cores first
-SPREAD = {"files", "trigger_files", "docs", "versions", "report_docs", "outputs", "findings", "queue_findings"}
+SPREAD = {"files", "trigger_files", "docs", "versions", "graph_versions", "report_docs", "outputs", "findings", "queue_findings"}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

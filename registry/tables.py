@@ -277,21 +277,67 @@ DERIVED["trigger_files"] = f"""
                        {{sha}}(cast(o_orderkey as string)) AS h FROM orders) o
           JOIN (VALUES {_trigger_rows()}) AS t(j, trig, kind, need) ON i = j) b"""
 
+# A commit graph of ten commits a round and repository: 0 to 2 on main, 3 to 5 on a branch that
+# leaves there, 6 and 7 on main, 8 merges the branch (two rounds of three), 9 again on main.
+# Every fourth branch has a branch of its own, which 5 merges.  Time stamps tell nothing.
+_STEP = "((n - 1) % 10)"
+_ROUND = "cast(floor((n - 1) / 10) as bigint)"
+DERIVED["graph"] = f"""
+    SELECT r, n, {_STEP} AS step, {_ROUND} AS round, k, d FROM (
+      SELECT o_custkey % 150 AS r, o_orderkey AS k, o_orderdate AS d,
+             row_number() OVER (PARTITION BY o_custkey % 150 ORDER BY o_orderkey) AS n
+      FROM orders) o"""
+
+
+def _commit(n: str) -> str:
+    return f"'c' || cast(r as string) || '-' || cast({n} as string)"
+
+
+DERIVED["commits"] = f"""
+    SELECT 'repo' || cast(r as string) AS repo, {_commit('n')} AS commit,
+           CASE WHEN n = 1 THEN {{none}}
+                WHEN step = 5 AND round % 4 = 1 THEN {{list}}({_commit('n - 2')}, {_commit('n - 1')})
+                WHEN step = 6 THEN {{list}}({_commit('n - 4')})
+                WHEN step = 8 AND round % 3 <> 0
+                THEN {{list}}({_commit('n - 1')}, {_commit('n - 3')})
+                ELSE {{list}}({_commit('n - 1')}) END AS parents
+    FROM graph"""
+DERIVED["tips"] = f"""
+    SELECT 'repo' || cast(r as string) AS repo, {_commit('n')} AS commit, branch FROM (
+      SELECT r, max(n) AS n, 'main' AS branch FROM graph WHERE step NOT IN (3, 4, 5) GROUP BY r
+      UNION ALL
+      SELECT r, max(n) AS n, 'topic' AS branch FROM graph WHERE step = 5 GROUP BY r) t"""
+DERIVED["graph_versions"] = f"""
+    SELECT 'repo' || cast(r as string) AS repo, {_commit('n')} AS commit, d AS ts,
+           'any' AS branch,
+           CASE WHEN step IN (3, 4, 5) OR step = 9 AND round % 2 = 0
+                THEN 'src/g' || cast(n % 5 as string) || '.txt'
+                ELSE 'src/f' || cast(n % 7 as string) || '.txt' END AS path,
+           CASE WHEN n % 11 = 0 THEN 'D' WHEN n % 13 = 5 AND step IN (0, 1, 2, 6, 7) THEN 'R'
+                WHEN n % 3 = 0 THEN 'A' ELSE 'M' END AS change,
+           CASE WHEN n % 13 = 5 AND step IN (0, 1, 2, 6, 7)
+                THEN 'src/f' || cast((n + 1) % 7 as string) || '.txt' END AS old_path,
+           'x = 1' || chr(10) || {_case('s', LINES).replace('cast(k ', 'cast(s ')} || chr(10)
+               AS content
+    FROM (SELECT r, n, step, round, d, s, {{sha}}(cast(s as string)) AS h
+          FROM (SELECT r, n, step, round, d, k % 500 AS s FROM graph) a) b"""
+
 # what each derived table is built from
-NEEDS = {"queue_findings": ["repos"], "scan_log": ["repos"]}
+NEEDS = {"queue_findings": ["repos"], "scan_log": ["repos"], "commits": ["graph"],
+         "tips": ["graph"], "graph_versions": ["graph"]}
 
 
 def spark_sql(name: str) -> str:
-    return _named(name, "sha2({0}, 256)")
+    return _named(name, "sha2({0}, 256)", "array", "cast(array() as array<string>)")
 
 
 def duck_sql(name: str) -> str:
-    return _named(name, "sha256({0})")
+    return _named(name, "sha256({0})", "list_value", "CAST([] AS VARCHAR[])")
 
 
-def _named(name: str, sha: str) -> str:
-    return re.sub(r"\{sha\}\((cast\(\w+ as string\))\)", lambda m: sha.format(m.group(1)),
-                  DERIVED[name])
+def _named(name: str, sha: str, array: str, none: str) -> str:
+    text = DERIVED[name].replace("{list}", array).replace("{none}", none)
+    return re.sub(r"\{sha\}\((cast\(\w+ as string\))\)", lambda m: sha.format(m.group(1)), text)
 
 
 def with_clause(*names: str) -> str:
