@@ -7,6 +7,8 @@ All files of the documents arrive as micro-batches of an available-now stream.
    the others fail ``E`` whatever still comes, so their masks are final.
 2. State is kept per text (its SHA-256): the smallest doc_id so far and the rows that have it.
    A smaller one retracts the earlier rows' masks (-1) and counts them again with ``E`` (+1).
+   Some ``TEXTS`` texts share one entry of the state store, whatever the size of the table,
+   because Python is called once per entry.
 3. Every micro-batch writes these changes to a folder of its own, which a repeated batch
    overwrites; their sums by part, mask and label are the counters.  The report of all 120
    orders is arithmetic on the counters: 32 masks and four kinds of labels a part.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import marshal
 import math
 from collections.abc import Iterator
 from itertools import permutations
@@ -35,10 +38,11 @@ from keysieve.llm.shared import chunks, raw, workspace
 FILTERS = "ABCDE"
 E = 1 << FILTERS.index("E")
 ROUNDS = 8  # micro-batches, however large the table is
-SPREAD = 4096  # groups that carry changes which need no state
+NO_ID = 1 << len(FILTERS)  # marks the mask of a row without doc_id
+TEXTS = 256  # texts per entry of the state store
 _UPPER, _SIGNS = bytes(range(65, 91)), b"#$%&*|"
 _CONTINUED = bytes(range(0x80, 0xC0))  # bytes of UTF-8 that begin no character
-_JUDGED = "key string, doc_id long, part string, mask int, n long, final boolean"
+_JUDGED = "slot long, key binary, doc_id long, part string, mask int, final boolean"
 _CHANGES = "doc_id long, part string, mask int, n long"
 _STEPS = "array<struct<filter_order: string, step: int, own: int, earlier: int>>"
 
@@ -53,13 +57,13 @@ def failures(text: bytes) -> int:
             | (len(text.translate(None, _SIGNS)) < len(text)) << 3)
 
 
-def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the state, and final changes, of batches of (doc_id, text, part)."""
+def judged(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
+    """Rows for the state, and final changes, of batches of (doc_id, text, part)."""
     for batch in chunks(batches):
         ids, parts, least, rows = batch.column(0).to_pylist(), batch.column(2).to_pylist(), {}, []
         for doc, text, part in zip(ids, raw(batch.column(1)), parts):
             text = text or b""
-            key = hashlib.sha256(text).hexdigest()
+            key = hashlib.sha256(text).digest()
             if key not in least:
                 least[key] = [failures(text), doc]
             elif doc is not None and (least[key][1] is None or doc < least[key][1]):
@@ -67,45 +71,47 @@ def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((key, doc, part))
         out = []
         for nth, (key, doc, part) in enumerate(rows):
-            mask, first = least[key]
-            if doc is None:
-                out.append((f"final {nth % SPREAD}", None, part, mask, 1, True))
-            elif doc > first:
-                out.append((f"final {doc % SPREAD}", doc, part, mask | E, 1, True))
+            (mask, first), slot = least[key], int.from_bytes(key[:8])
+            if doc is None:  # pandas would make the ids of a column with nulls inexact
+                out.append(((slot + nth) % slots, key, 0, part, mask | NO_ID, True))
+            elif doc > first:  # needs no state, so it may go anywhere
+                out.append(((slot + nth) % slots, key, doc, part, mask | E, True))
             else:
-                out.append((key, doc, part, mask, 1, False))
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.bool_()]
+                out.append((slot % slots, key, doc, part, mask, False))
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.bool_()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else
-            [pa.array([], k) for k in kinds], ["key", "doc_id", "part", "mask", "n", "final"])
+            [pa.array([], k) for k in kinds], ["slot", "key", "doc_id", "part", "mask", "final"])
 
 
-def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of the counters by the rows of one text; earlier ones are retracted."""
-    first, mask, held = (None, 0, {}) if not state.exists else (
-        state.get[0], state.get[1], dict(zip(state.get[2], state.get[3])))
-    changed = False
-    for rows in parts:
-        columns = [rows[c].tolist() for c in ("doc_id", "part", "mask", "n")]
-        if rows["final"].iloc[0]:
-            yield rows[["doc_id", "part", "mask", "n"]]
+def retract(texts: dict, rows) -> list[tuple]:
+    """Changes of the counters by rows (key, doc_id, part, mask); ``texts`` holds the smallest
+    doc_id of each text so far, its mask, and how many rows of each part have it."""
+    out = []
+    for key, doc, part, mask in rows:
+        first, _, held = texts.get(key, (None, 0, None))
+        if first is not None and doc > first:
+            out.append((doc, part, mask | E, 1))
             continue
-        out = []
-        for doc, part, bits, n in zip(*columns):
-            changed, mask = True, bits
-            if first is not None and doc > first:
-                out.append((doc, part, bits | E, n))
-                continue
-            if first is not None and doc < first:
-                for p, m in held.items():
-                    out += [(first, p, bits, -m), (first, p, bits | E, m)]
-                held = {}
-            first = doc
-            held[part] = held.get(part, 0) + n
-            out.append((doc, part, bits, n))
-        yield pd.DataFrame(out, columns=["doc_id", "part", "mask", "n"])
-    if changed:
-        state.update((first, mask, list(held), list(held.values())))
+        if doc != first:
+            for p, m in (held or {}).items():
+                out += [(first, p, mask, -m), (first, p, mask | E, m)]
+            held = {}
+            texts[key] = (doc, mask, held)
+        held[part] = held.get(part, 0) + 1
+        out.append((doc, part, mask, 1))
+    return out
+
+
+def update(slot: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    texts, out = marshal.loads(state.get[0]) if state.exists else {}, []
+    for rows in parts:
+        final = rows["final"].to_numpy()
+        columns = [rows[c] for c in ("key", "doc_id", "part", "mask")]
+        out += zip(*(c[final].tolist() for c in columns[1:]), [1] * int(final.sum()))
+        out += retract(texts, zip(*(c[~final].tolist() for c in columns)))
+    state.update((marshal.dumps(texts),))
+    yield pd.DataFrame(out, columns=["doc_id", "part", "mask", "n"])
 
 
 def changes(spark: SparkSession, path: str, rounds: int = ROUNDS) -> DataFrame:
@@ -120,9 +126,13 @@ def changes(spark: SparkSession, path: str, rounds: int = ROUNDS) -> DataFrame:
                 .parquet(f"{path[:-1]}[{path[-1]}]"))
     rows = arriving.select(F.col("doc_id").cast("long"), F.col("text").cast("string"),
                            F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"))
-    changed = rows.mapInArrow(judged, _JUDGED).groupBy("key").applyInPandasWithState(
-        update, _CHANGES, "first long, mask int, parts array<string>, counts array<long>",
-        "update", GroupStateTimeout.NoTimeout)
+    slots = max(64, math.ceil(docs.count() / TEXTS))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return judged(batches, slots)
+
+    changed = rows.mapInArrow(judge, _JUDGED).groupBy("slot").applyInPandasWithState(
+        update, _CHANGES, "texts binary", "update", GroupStateTimeout.NoTimeout)
 
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
@@ -131,7 +141,9 @@ def changes(spark: SparkSession, path: str, rounds: int = ROUNDS) -> DataFrame:
               .option("checkpointLocation", f"{folder}/checkpoint")
               .trigger(availableNow=True).start())
     stream.awaitTermination()
-    return spark.read.schema(f"{_CHANGES}, batch int").parquet(f"{folder}/changes").drop("batch")
+    return spark.read.schema(f"{_CHANGES}, batch int").parquet(f"{folder}/changes").select(
+        F.when(F.col("mask") < NO_ID, F.col("doc_id")).alias("doc_id"), "part",
+        (F.col("mask") % NO_ID).alias("mask"), "n")
 
 
 def counters(changed: DataFrame, labels: DataFrame) -> DataFrame:
