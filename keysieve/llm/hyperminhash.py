@@ -9,29 +9,36 @@ zeros and ``MANTISSA`` bits behind the first one, 16 bits in all.
    probability of (1 - 0.85^4)^32, about 5e-11.  A band whose registers are all empty is
    skipped; in a small set few bands are in use, and those that differ are fewer still.
 3. In each band's bucket, every class is compared with the most central member: first by the
-   Jaccard similarity estimated from the registers, corrected for collisions, then (if the
-   estimate lies above the threshold less five standard errors) on the full sets.
+   Jaccard similarity estimated from the registers, corrected for collisions, then on the full
+   sets.  A pair at the threshold fails the first test with a probability of at most ``MISS``
+   (the exact binomial tail for the registers in use).
 4. Links found become components.  A bucket all of whose members are in one component is
    done.  In the others the members outside the central member's component are compared
    with all members, in tiles of bounded size: estimates first, then full sets, a pair only
-   in the first band it shares.  A tile returns a spanning forest of its links.
+   in the first band it shares.  A tile returns a spanning forest of its links.  A side of a
+   tile holds up to ``TILE`` classes or ``TILE_SHINGLES`` shingles, so members are copied for
+   every some thousand others, not for every one.
 
-So a large group of near-copies costs a row per member and band, not a row per pair.
+So a large group of near-copies costs a row per member and band, not a row per pair.  In all, a
+pair at a similarity of 0.85 is missed with a probability of 5e-11 + 1e-12.
 
-Empty and null texts have no shingles, link with nothing and are kept; repeated rows of one
-doc_id count as one document; a null doc_id has no component and is never linked, its
-component_id is null and it is kept.
+Empty and null texts have no shingles, link with nothing and are kept.  Rows that share a
+doc_id are one document: it links to what any of its texts links to, each text compared by its
+own set, whatever the order of the rows; each row reports the size of its own set.  A null
+doc_id has no component and is never linked, its component_id is null and it is kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -40,7 +47,8 @@ from keysieve.llm.shared import WordHashes, chunks, mix, raw, shingles, stored,
 
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
 BANDS = REGISTERS // ROWS
-TILE = 256  # classes on either side of a tile
+TILE, TILE_SHINGLES = 4096, 1 << 21  # on either side of a tile
+MISS = 1e-12
 _U = np.uint64
 
 
@@ -82,14 +90,30 @@ def collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (share(n) * share(m)).sum(1) / (1 << MANTISSA)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray):
-    """Collision-corrected Jaccard estimates of rows of registers, and their standard errors
-    at a similarity of 0.85."""
+@lru_cache(maxsize=8)
+def least_equal(percent: int) -> np.ndarray:
+    """By registers in use, how many are equal in sets of this similarity, but for ``MISS``."""
+    p, out = percent / 100, []
+    for n in range(REGISTERS + 1):
+        below, k = 0.0, 0
+        while k <= n and below + comb(n, k) * p ** k * (1 - p) ** (n - k) <= MISS:
+            below += comb(n, k) * p ** k * (1 - p) ** (n - k)
+            k += 1
+        out.append(k)
+    return np.array(out)
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int = 85):
+    """Collision-corrected Jaccard estimates of rows of registers, and the least ones that sets
+    with a similarity of ``percent`` in a hundred may have."""
     used = ((a != 0) | (b != 0)).sum(-1)
     same = ((a == b) & (a != 0)).sum(-1)
     c = collisions(np.atleast_1d(n), np.atleast_1d(m))
-    j = (same / np.maximum(used, 1) - c) / (1 - c)
-    return j, np.sqrt(0.85 * 0.15 / np.maximum(used, 1))
+
+    def corrected(equal):
+        return (equal / np.maximum(used, 1) - c) / (1 - c)
+
+    return corrected(same), corrected(least_equal(percent)[used])
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -114,26 +138,33 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
         run, schema)
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and its sorted shingles."""
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """node and its sorted shingles, of rows (node, digest, text) whose set has that digest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in chunks(batches):
-            sets = [shingles(known.array(words(t)), width) for t in raw(batch.column(1))]
+            nodes, out = [], []
+            for node, digest, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)),
+                                          raw(batch.column(2))):
+                found = shingles(known.array(words(text)), width)
+                if xxhash.xxh3_128_hexdigest(found.tobytes()) == digest:
+                    nodes.append(node)
+                    out.append(found.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s.view(np.int64) for s in sets],
-                                           pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                [pa.array(nodes, pa.int64()), pa.array(out, pa.list_(pa.int64()))],
+                ["node", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+    return texts.mapInArrow(run, "node long, shingles array<long>")
 
 
 @F.pandas_udf(BooleanType())
 def _possible(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series,
               least: pd.Series) -> pd.Series:
     x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, REGISTERS) for s in (a, b))
-    j, error = estimate(x, y, n.to_numpy(), m.to_numpy())
+    percent = int(least.iloc[0]) if len(least) else 0
+    j, lowest = estimate(x, y, n.to_numpy(), m.to_numpy(), percent)
     size = np.minimum(n, m) / np.maximum(n, m)  # no similarity exceeds it
-    return pd.Series((j + 5 * error >= least) & (size >= least - 1e-9))
+    return pd.Series((j >= lowest) & (100 * size >= percent - 1e-7))
 
 
 def _linked(shared, n, m, percent: int):
@@ -148,10 +179,32 @@ def near_copies(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame
     classes = stored(filled.groupBy("digest").agg(
         F.min_by(F.struct("doc_id", "n_shingles", "registers", "bands"), "doc_id").alias("r")
     ).select("digest", "r.*"), "classes")
+    # A class goes by its smallest doc_id; if several do by the same one (a doc_id with several
+    # texts), by a negative digest.
+    shared = stored(classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(
+        "doc_id", F.lit(True).alias("shared")), "shared")
+    classes = classes.join(shared, "doc_id", "left").withColumn(
+        "node", F.when(F.col("shared"), F.xxhash64("digest").bitwiseOR(F.lit(-1 << 63)))
+        .otherwise(F.col("doc_id"))).drop("shared")
+    if not shared.isEmpty():
+        classes = stored(classes, "classes")
+    names = classes.select("digest", "node", F.col("doc_id").alias("rep"))
     links = _links(docs, classes, width, percent)
-    found = components(links)
-    named = classes.select("digest", F.col("doc_id").alias("node")).join(
-        found, "node", "left").select("digest", F.coalesce("component", "node").alias("c_"))
+    if not shared.isEmpty():
+        odd = names.where("node <> rep").select("node", "rep")
+        for end in ("a", "b"):
+            links = links.join(odd.withColumnRenamed("node", end), end, "left").withColumn(
+                end, F.coalesce("rep", end)).drop("rep")
+    # the texts of one doc_id belong together
+    several = filled.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")
+                                           ).where("x <> y").select("doc_id")
+    several = stored(several, "several")
+    more = filled.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(
+        names.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"),
+                                                        F.col("rep").alias("b"))
+    found = components(links.select("a", "b").union(more))
+    named = names.select("digest", F.col("rep").alias("node")).join(found, "node", "left").select(
+        "digest", F.coalesce("component", "node").alias("c_"))
     out = sigs.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0),
                                        F.col("c_")).otherwise(F.col("doc_id"))
@@ -160,34 +213,35 @@ def near_copies(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame
 
 
 def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes that join every pair of linked ones."""
-    banded = classes.select("doc_id", F.posexplode("bands").alias("nth", "key")).drop("nth")
+    """Links (a, b) between the nodes of classes that join every pair of linked ones."""
+    banded = classes.select("node", F.posexplode("bands").alias("nth", "key")).drop("nth")
     # Of a bucket: its size and its central member, which is the one in most shared buckets.
     sizes = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(banded.join(sizes, "key"), "members")
-    central = members.groupBy("doc_id").agg(F.sum("size").alias("weight"))
-    members = stored(members.join(central, "doc_id"), "members")
+    central = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    members = stored(members.join(central, "node"), "members")
     centres = members.groupBy("key").agg(
-        F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("centre"))
-    stars = stored(members.join(centres, "key").select("key", "doc_id", "centre", "size"),
-                   "stars")
-    light = classes.select("doc_id", "n_shingles", "registers")
-    pairs = stars.where("doc_id <> centre").groupBy(
-        F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).agg(
+        F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"))
+    stars = stored(members.join(centres, "key").select("key", "node", "centre", "size"), "stars")
+    light = classes.select("node", "n_shingles", "registers")
+    pairs = stars.where("node <> centre").groupBy(
+        F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(
         F.count("*").alias("n_"))
 
     def side(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select(*[F.col(c).alias(f"{c}_{name}" if c != "doc_id" else name)
+        return rows.select(*[F.col(c).alias(f"{c}_{name}" if c != "node" else name)
                              for c in rows.columns])
 
     close = pairs.join(side(light, "a"), "a").join(side(light, "b"), "b").where(_possible(
-        "registers_a", "registers_b", "n_shingles_a", "n_shingles_b", F.lit(percent / 100)))
+        "registers_a", "registers_b", "n_shingles_a", "n_shingles_b", F.lit(percent)))
     close = stored(close.select("a", "b"), "close")
     # Full sets only of classes that some estimate or an undecided bucket asks for.
-    alike = stars.select("doc_id").distinct()
+    wanted = classes.select("node", "doc_id", "digest").join(
+        stars.select("node").distinct(), "node", "left_semi")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(
-        alike, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stored(_sets(texts, width), "sets")
+        wanted, "doc_id").groupBy("doc_id", "node", "digest", F.xxhash64("text").alias("h_")).agg(
+        F.first("text").alias("text")).select("node", "digest", "text")
+    sets = stored(_sets(texts, width).dropDuplicates(["node"]), "sets")
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
     first = stored(close.join(side(sets, "a"), "a").join(side(sets, "b"), "b").where(
         _linked(shared, F.size("shingles_a"), F.size("shingles_b"), percent)).select("a", "b"),
@@ -199,30 +253,39 @@ def _rest(stars: DataFrame, first: DataFrame, sets: DataFrame, light: DataFrame,
           percent: int) -> DataFrame:
     """Links in buckets whose members are not all in their centre's component."""
     comp = stored(components(first), "components")
-    of = comp.select(F.col("node").alias("doc_id"), "component")
-    owned = stars.join(of, "doc_id", "left").select(
-        "key", "doc_id", "centre", "size", F.coalesce("component", "doc_id").alias("own"))
+    of = comp.select("node", "component")
+    owned = stars.join(of, "node", "left").select(
+        "key", "node", "centre", "size", F.coalesce("component", "node").alias("own"))
     hub = comp.select(F.col("node").alias("centre"), F.col("component").alias("c_"))
     marked = owned.join(hub, "centre", "left").withColumn(
         "out", F.col("own") != F.coalesce("c_", "centre")).drop("c_")
     marked = stored(marked, "marked")
     # A bucket of two whose pair was compared is done.
-    open_ = marked.where("out and size > 2").groupBy("key").agg(F.count("*").alias("n_out"))
-    inside = stored(marked.join(open_, "key"), "open")
-    blocks = F.ceil(F.col("size") / TILE).cast("int")
-    outs = F.ceil(F.col("n_out") / TILE).cast("int")
-    deal = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    left = inside.where("out").select("key", "doc_id", "own", (deal % outs).alias("i"),
-                                      F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"),
+    open_ = marked.where("out and size > 2").select("key").distinct()
+    inside = stored(marked.join(open_, "key").join(light.select("node", "n_shingles"), "node"),
+                    "open")
+
+    def cuts(which) -> Column:
+        """Into how many parts the chosen members of a bucket go."""
+        return F.greatest(F.ceil(F.count_if(which) / TILE), F.ceil(
+            F.sum(F.when(which, F.col("n_shingles")).otherwise(0)) / TILE_SHINGLES)).cast("int")
+
+    tiles = inside.groupBy("key").agg(cuts(F.lit(True)).alias("blocks"), cuts(F.col("out")).alias(
+        "outs"))
+    inside = inside.join(tiles, "key")
+    deal = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
+    left = inside.where("out").select("key", "node", "own", (deal % F.col("outs")).alias("i"),
+                                      F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"),
                                       F.lit(True).alias("left"))
-    right = inside.select("key", "doc_id", "own", F.explode(F.sequence(
-        F.lit(0), outs - 1)).alias("i"), (deal % blocks).alias("j"), F.lit(False).alias("left"))
-    rows = left.unionByName(right).join(light, "doc_id").join(sets, "doc_id")
+    right = inside.select("key", "node", "own", F.explode(F.sequence(
+        F.lit(0), F.col("outs") - 1)).alias("i"), (deal % F.col("blocks")).alias("j"),
+        F.lit(False).alias("left"))
+    rows = left.unionByName(right).join(light, "node").join(sets, "node")
 
     def compare(t: pa.Table) -> pa.Table:
         return _tile(t, percent)
 
-    return rows.select("key", "i", "j", "doc_id", "own", "left", "n_shingles", "registers",
+    return rows.select("key", "i", "j", "node", "own", "left", "n_shingles", "registers",
                        "shingles").groupBy("key", "i", "j").applyInArrow(
         compare, "a long, b long")
 
@@ -230,7 +293,7 @@ def _rest(stars: DataFrame, first: DataFrame, sets: DataFrame, light: DataFrame,
 def _tile(t: pa.Table, percent: int) -> pa.Table:
     """A spanning forest of the links between the left and right rows of a tile."""
     left = t["left"].to_numpy(zero_copy_only=False)
-    ids, own, n = (t[c].to_numpy() for c in ("doc_id", "own", "n_shingles"))
+    ids, own, n = (t[c].to_numpy() for c in ("node", "own", "n_shingles"))
     regs = np.frombuffer(b"".join(t["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
     keys, used = band_keys(regs)
     key, columns = t["key"][0].as_py(), t["shingles"].combine_chunks()
@@ -253,10 +316,10 @@ def _tile(t: pa.Table, percent: int) -> pa.Table:
         other = other[new]
         if not len(other):
             continue
-        j, error = estimate(regs[other], regs[r], n[other], np.full(len(other), n[r]))
+        j, lowest = estimate(regs[other], regs[r], n[other], np.full(len(other), n[r]), percent)
         ratio = np.minimum(n[other], n[r]) / np.maximum(n[other], n[r])
         mine = flat[at[r]:at[r + 1]]
-        for o in other[(j + 5 * error >= percent / 100) & (ratio >= percent / 100 - 1e-9)].tolist():
+        for o in other[(j >= lowest) & (ratio >= percent / 100 - 1e-9)].tolist():
             x, y = find(int(own[r])), find(int(own[o]))
             if x == y:
                 continue

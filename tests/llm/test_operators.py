@@ -432,3 +432,23 @@ def test_registers_estimate():
         j, _ = hyperminhash.estimate(x, y, np.array([900]), np.array([900]))
         errors.append(j[0] - 0.8)
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.045
+
+
+def test_hyperminhash_of_two_texts_under_one_id(spark):
+    """doc_id 1 links to what either of its texts links to, in any order of the rows."""
+    rng = random.Random(6)
+    a, b, c = prose(rng, 200), prose(rng, 200), prose(rng, 200)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (0, b), (0, c), (7, c + " more"),
+            (9, prose(rng, 50))]
+    for order in (rows, rows[::-1], rng.sample(rows, len(rows))):
+        df = spark.createDataFrame([(d, t, "en", "s", 0, 7, "x") for d, t in order], DOCS)
+        got = {(r.doc_id, r.component_id) for r in hyperminhash.near_copies(df).collect()}
+        assert got == {(0, 0), (1, 0), (2, 0), (3, 0), (7, 0), (9, 9)}
+
+
+def test_hyperminhash_bound_is_the_binomial_tail():
+    for percent in (80, 85):
+        p, least = percent / 100, hyperminhash.least_equal(percent)
+        for n in (0, 1, 16, 128):
+            tail = [math.comb(n, k) * p ** k * (1 - p) ** (n - k) for k in range(n + 1)]
+            assert sum(tail[:least[n]]) <= 1e-12 < sum(tail[:least[n] + 1])
