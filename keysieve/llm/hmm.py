@@ -124,8 +124,11 @@ class Model:
         before = s.first[s.time[later] - 1] + s.rank[later]
         moves = self.moves * (alpha[before].T @ ahead[now])
         gamma = alpha * beta
-        emits = np.stack([np.bincount(s.obs, gamma[:, k], CLASSES)
-                          for k in range(gamma.shape[1])])
+        by_class = np.argsort(s.obs.astype(np.uint16), kind="stable")
+        cut = np.flatnonzero(np.diff(s.obs[by_class], prepend=-1))
+        emits = np.zeros((gamma.shape[1], CLASSES))
+        emits[:, s.obs[by_class[cut]]] = np.add.reduceat(
+            gamma[by_class], cut, axis=0, dtype=np.float64).T
         return gamma[:s.active[0]].sum(0), moves, emits, score.sum()
 
 
@@ -202,11 +205,10 @@ def score(docs: DataFrame, held_out_of: int = 10, states: int = STATES, passes:
     ends = train.count()
     n, v = n_words + ends, types + (ends > 0)
     z = n + 0.1 * (v + 1)
-    # at most HEAD rows
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
+    head = sorted(((r.word.encode(), r.c) for r in _frequent(counts).collect()),
+                  key=lambda x: (-x[1], x[0]))
     known = spark.sparkContext.broadcast(
-        {r.word.encode(): (i if i < OWN else suffix_class(r.word.encode()), r.c)
-         for i, r in enumerate(head)})
+        {word: (i if i < OWN else suffix_class(word), c) for i, (word, c) in enumerate(head)})
     mass = _class_mass(counts, known, ends) / z
     share = mass / mass.sum()
     coded = stored(_coded(texts, known, z, ends), "sequences")
@@ -238,6 +240,23 @@ def score(docs: DataFrame, held_out_of: int = 10, states: int = STATES, passes:
     "gain").withColumn("score", F.col("base_score") + F.col("gain")).drop("gain")
 
 
+def _frequent(counts: DataFrame) -> DataFrame:
+    """The words above a count, ``HEAD`` of them at most.
+
+    The count is found from a histogram of their logarithms, some 3,000 rows however many words
+    there are, so that nothing has to be sorted or sent that is not kept.
+    """
+    level = F.floor(64 * F.log2(F.col("c").cast("double")))
+    cut, left = None, HEAD
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(
+            F.desc("level")).collect():
+        left -= r.n
+        if left < 0:
+            break
+        cut = r.level
+    return counts.where(level >= cut) if cut is not None else counts.limit(0)
+
+
 def _class_mass(counts: DataFrame, known, ends: int) -> np.ndarray:
     """Sum of (c + 0.1) over the words of each class and its unknown word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,27 +289,28 @@ def _coded(texts: DataFrame, known, z: float, ends: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, part, nth = known.value, TaskContext.get().partitionId(), 0
-        own = {w: k for w, (k, _) in head.items()}
-        count = {w: c for w, (_, c) in head.items()}
-        logs = {w: float(np.log10((c + 0.1) / z)) for w, c in count.items()}
+        # one number a word: its place among the frequent words, or its class behind them
+        class_of = np.array([k for k, _ in head.values()] + list(range(CLASSES)), np.uint16)
+        logs = np.log10((np.array([c for _, c in head.values()]) + 0.1) / z)
         end = float(np.log10((ends + 0.1) / z))
 
-        class Classes(dict):
+        class Numbers(dict):
             def __missing__(self, word: bytes) -> int:
-                k = suffix_class(word)
-                if len(self) < 300_000:
+                k = len(head) + suffix_class(word)
+                if len(self) < len(head) + 300_000:
                     self[word] = k
                 return k
 
-        classes = Classes(own)
+        numbers = Numbers((w, i) for i, w in enumerate(head))
         for batch in chunks(batches):
-            out, tails, sizes = [], [], []
+            out, tails = [], []
             for doc_id, text, held in zip(batch.column(0).to_pylist(), raw(batch.column(1)),
                                           batch.column(2).to_pylist()):
                 found = words(text)
-                rest = Counter(w for w in found if w not in head)
-                value = sum(map(logs.get, (w for w in found if w in head))) + end
-                seq = np.fromiter(map(classes.__getitem__, found), np.uint16, len(found))
+                at = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
+                rare = at >= len(head)
+                rest = Counter(map(found.__getitem__, np.flatnonzero(rare).tolist()))
+                value, seq = float(logs[at[~rare]].sum()) + end, class_of[at]
                 out.append(((part << 33) + nth, doc_id, held, len(found) + 1,
                             len(found) - rest.total() + (ends > 0), value,
                             np.append(seq, np.uint16(END)).astype("<u2").tobytes()))

@@ -452,3 +452,46 @@ def test_hyperminhash_bound_is_the_binomial_tail():
         for n in (0, 1, 16, 128):
             tail = [math.comb(n, k) * p ** k * (1 - p) ** (n - k) for k in range(n + 1)]
             assert sum(tail[:least[n]]) <= 1e-12 < sum(tail[:least[n] + 1])
+
+
+def test_hmm_expectations_equal_all_state_paths():
+    """Likelihood and expected counts of short sequences, by enumeration of every path."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    states = 3
+    model = hmm._first_model(rng.random(hmm.CLASSES), states)
+    emits = model.emits.T.astype(float)
+    found = [rng.integers(0, 5, n).astype(np.uint16) for n in (1, 2, 4, 6, 6)]
+    start, moves = np.zeros(states), np.zeros((states, states))
+    seen, total = np.zeros((states, hmm.CLASSES)), 0.0
+    for seq in found:
+        paths = []
+        for path in itertools.product(range(states), repeat=len(seq)):
+            p = float(model.start[path[0]]) * emits[path[0], seq[0]]
+            for a, b, c in zip(path, path[1:], seq[1:]):
+                p *= float(model.moves[a, b]) * emits[b, c]
+            paths.append((path, p))
+        whole = sum(p for _, p in paths)
+        total += math.log(whole)
+        for path, p in paths:
+            start[path[0]] += p / whole
+            for a, b in zip(path, path[1:]):
+                moves[a, b] += p / whole
+            for a, c in zip(path, seq):
+                seen[a, c] += p / whole
+    got = model.expected(hmm.Sequences(found))
+    for mine, want in zip(got, (start, moves, seen, total)):
+        assert np.allclose(mine, want, rtol=1e-4, atol=1e-5)
+
+
+def test_hmm_frequent_words(spark, monkeypatch):
+    """Words above a count: never more than ``HEAD``, whole levels of the count only."""
+    counts = spark.createDataFrame([(f"w{i}", 1 + 1000 // (i + 1)) for i in range(500)],
+                                   "word string, c long")
+    for head in (500, 100, 20, 1):
+        monkeypatch.setattr(hmm, "HEAD", head)
+        got = [r.c for r in hmm._frequent(counts).collect()]
+        assert len(got) <= head and (len(got) == 500 or min(got) > 1)
+        assert sorted(got, reverse=True) == sorted(
+            (r.c for r in counts.collect()), reverse=True)[:len(got)]
