@@ -93,10 +93,13 @@ class Schedule:
     def __init__(self, tokens: np.ndarray, shares: np.ndarray, window: int, lump: int):
         self.tokens, self.lump = tokens, lump
         self.quantum = np.maximum(1, np.rint(shares * window * UNIT)).astype(np.int64)
+        # rounds until a queue is dry; later ones would only make the products overflow
+        self.dry = -(-(tokens + lump) * UNIT // self.quantum)
 
     def served(self, rounds: np.ndarray, q=slice(None)) -> np.ndarray:
         """Tokens of the queues served by the end of each round."""
-        lumps = rounds[:, None] * self.quantum[None, q] // (self.lump * UNIT)
+        rounds = np.minimum(rounds[:, None], self.dry[None, q])
+        lumps = rounds * self.quantum[None, q] // (self.lump * UNIT)
         return np.minimum(lumps * self.lump, self.tokens[None, q])
 
     def positions(self, queue: int, lumps: np.ndarray) -> np.ndarray:
