@@ -70,8 +70,10 @@ def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                       '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM documents),
     b AS (SELECT item_id AS id, list_filter(string_split_regex(lower(text),
                  '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM benchmark),
-    ds AS (SELECT DISTINCT id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
-                  lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM d WHERE len(w) > 0),
+    k AS (SELECT DISTINCT least(len(w), 5) AS k FROM b WHERE len(w) > 0),
+    ds AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - k + 2),
+                  lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM d, k
+           WHERE len(w) >= k),
     bs AS (SELECT DISTINCT id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
                   lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM b WHERE len(w) > 0),
     n AS (SELECT id, count(*) AS n_item FROM bs GROUP BY id)
