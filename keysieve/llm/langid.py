@@ -35,6 +35,8 @@ SIGNS, GRAM = 64, 3
 GRAMS = SIGNS ** GRAM
 DIMENSIONS, LANGUAGES, UNKNOWN = 2048, 256, "und"
 
+ENOUGH = 100  # training rows of a language and length that tell how like it its texts are
+
 _SIGNS: list[np.ndarray] = []
 
 
@@ -157,15 +159,57 @@ def predict(docs: DataFrame, profiles: Profiles | None = None) -> DataFrame:
         "doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The documents, all columns, that resemble a learned language by ``least`` or more."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+def _length_class(text: str | None) -> int:
+    """Texts of like lengths have like cosines: the binary digits of their n-gram count."""
+    return len(grams(text)).bit_length()
+
+
+def least_cosines(docs: DataFrame, shared, spread: float = 1.0) -> dict[tuple[str, int], float]:
+    """By language and class of length, the cosine below which a text is none of it.
+
+    From the training rows whose own language is the nearest: their median and their lowest
+    hundredth, and ``spread`` times that distance below the latter.  Classes with fewer than
+    ``ENOUGH`` such rows have none, so nothing is rejected there.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            out = []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name, cosine = shared.value.best(text)
+                if name == lang:
+                    out.append((name, _length_class(text), cosine))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in out], pa.string()),
+                 pa.array([r[1] for r in out], pa.int32()),
+                 pa.array([r[2] for r in out], pa.float64())], ["lang", "size", "cosine"])
+
+    rows = docs.where(~held_out() & F.col("lang").isNotNull()).select(
+        F.col("lang").cast("string"), F.col("text").cast("string"))
+    found = rows.mapInArrow(run, "lang string, size int, cosine double").groupBy(
+        "lang", "size").agg(F.count("*").alias("n"), F.percentile_approx(
+            "cosine", [0.01, 0.5], 1000).alias("q")).where(F.col("n") >= ENOUGH)
+    # a row per language and class of length: 256 times 40 at most
+    return {(r.lang, r["size"]): r.q[0] - spread * (r.q[1] - r.q[0]) for r in found.collect()}
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, that are in a learned language.
+
+    A text goes if it has no letter, or if it is less like the nearest language than texts of
+    that language and its length are (``least_cosines``).
+    """
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(fit(docs))
+    limits = context.broadcast(least_cosines(docs, shared))
     at = docs.columns.index("text")
 
+    def known(text: str | None) -> bool:
+        name, cosine = shared.value.best(text)
+        return name != UNKNOWN and cosine >= limits.value.get((name, _length_class(text)), -1.0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            best = [shared.value.best(t) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([b[0] != UNKNOWN and b[1] >= least for b in best],
+            yield batch.filter(pa.array([known(t) for t in batch.column(at).to_pylist()],
                                         pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

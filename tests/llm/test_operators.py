@@ -495,3 +495,38 @@ def test_hmm_frequent_words(spark, monkeypatch):
         assert len(got) <= head and (len(got) == 500 or min(got) > 1)
         assert sorted(got, reverse=True) == sorted(
             (r.c for r in counts.collect()), reverse=True)[:len(got)]
+
+
+def test_decontamination_finds_items_of_few_words(spark):
+    docs = spark.createDataFrame(
+        [(1, "one Two three four five six seven"), (2, "two three"), (3, "three two"),
+         (4, "seven"), (5, "a four five six seven b"), (6, "two, three")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "two three"), (2, "four five six seven"), (3, "SEVEN"),
+                                   (4, "one two three four five"), (5, "nothing of this")],
+                                  "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contained(docs, items).collect()}
+    assert got == {(1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (4, 3), (5, 2), (5, 3)}
+
+
+def test_schedule_does_not_overflow():
+    """Ten trillion tokens, mixtures that end long before a queue does, and tiny shares."""
+    for shares in ([1.0, 0.0], [1 - 1e-9, 1e-9], [0.5, 0.5]):
+        tokens = np.array([10 ** 13, 10 ** 12 + 5], np.int64)
+        plan = packing.Schedule(tokens, np.array(shares), 2048, 256)
+        for q in (0, 1):
+            lumps = np.unique(np.linspace(0, (tokens[q] - 1) // 256, 1000).astype(np.int64))
+            at = plan.positions(q, lumps)
+            assert (np.diff(at) > 0).all() and at[0] >= 0 and at[-1] < tokens.sum()
+
+
+def test_languages_reject_what_is_like_none(spark):
+    """Random letters go, every clean text stays, and so do texts too short to tell."""
+    rng = random.Random(8)
+    sounds = {"aa": ["the", "thing", "with", "and", "other"], "bb": ["être", "queux", "leau", "dans"]}
+    rows = [(i, " ".join(rng.choice(sounds[k]) for _ in range(rng.randrange(20, 90))), k)
+            for i in range(1500) for k in [rng.choice(list(sounds))]]
+    noise = [(5000 + i, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6))
+                                 for _ in range(40)), None) for i in range(20)]
+    short = [(6000, "qqq", None)]
+    df = spark.createDataFrame(rows + noise + short, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in langid.keep_known(df).collect()} == {r[0] for r in rows + short}
