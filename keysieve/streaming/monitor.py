@@ -3,6 +3,9 @@
 Every table a stream writes has one folder per micro-batch, which a repeated batch
 overwrites.  A batch reads only what batches before it wrote.  So a batch that runs
 again after a failure gives the same result, and nothing is written twice.
+
+What a cycle has to know of earlier ones, the URLs it has seen and those still queued, it reads
+from ledgers, which stay compact; the folders of cycles are for reports.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from keysieve.operators.skew import latest
 from keysieve.plans.scan import scan_files
 from keysieve.sources.rules import RuleSet
+from keysieve.streaming.ledger import Ledger
 
 INTERVAL = "30 minutes"
 PER_CYCLE = 50
@@ -53,8 +57,16 @@ def scan_stream(files: DataFrame, table: str, checkpoint: str, rules: RuleSet |
 # --- the seen set -------------------------------------------------------------------------
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def state_on_disk(spark: SparkSession) -> None:
+    """Streams started from here on keep their state in RocksDB, not on the heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
 def first_seen(urls: DataFrame) -> DataFrame:
-    """Each URL once, ever.  The state grows with the number of URLs."""
+    """Each URL once, ever.  The state grows with the number of URLs: see ``state_on_disk``."""
     return urls.dropDuplicates(["url"])
 
 
@@ -63,6 +75,28 @@ def first_seen_within(urls: DataFrame, memory: str = "90 days", ts: str = "ts")
     return urls.withWatermark(ts, memory).dropDuplicatesWithinWatermark(["url"])
 
 
+MOST, KEPT = 100_000, 50_000
+
+
+def first_seen_bounded(urls: DataFrame, state: str, most: int = MOST, kept: int = KEPT,
+                       once: bool = True, interval: str = INTERVAL) -> StreamingQuery:
+    """Each URL of the arriving (url, ts) once, until it is forgotten.
+
+    When more than ``most`` URLs are remembered, only the ``kept`` that came last stay: a URL
+    that was forgotten is new again.  ``new`` has the new URLs of each batch.
+    """
+    seen = Ledger(urls.sparkSession, f"{state}/seen", "url string, ts timestamp", "url")
+
+    def each(batch: DataFrame, number: int) -> None:
+        first = latest(batch.select("url", "ts"), ["url"], F.col("ts"), last=False)
+        known = seen.before(number, first)
+        _write(first.join(known, "url", "left_anti"), f"{state}/new", number)
+        new = seen.spark.read.parquet(f"{state}/new/batch={number}")
+        seen.commit(number, new, most=most, keep=kept, order=("ts", "url"))
+
+    return _start(urls, each, f"{state}/checkpoint", once, interval)
+
+
 # --- the monitor: discover, queue, scan -----------------------------------------------------
 
 _DISCOVERED = "url string, found_at timestamp, priority int"
@@ -86,27 +120,29 @@ def monitor(urls: DataFrame, state: str, files: DataFrame | None = None,
     _create(spark, done_table, _SCANNED)
     _create(spark, f"{state}/cycles", _CYCLES)
 
-    def before(table: str, number: int) -> DataFrame:
-        return spark.read.parquet(table).where(F.col("batch") < number).drop("batch")
+    seen = Ledger(spark, f"{state}/seen", "url string", "url")
+    waiting = Ledger(spark, f"{state}/queue", _DISCOVERED, "url")
 
     def each(batch: DataFrame, number: int) -> None:
-        known = before(found_table, number)
         rank = F.col("priority") if "priority" in batch.columns else F.lit(5)
         first = latest(batch.select("url", "found_at", rank.cast("int").alias("priority")),
                        ["url"], F.col("found_at"), last=False)
-        _write(first.join(known, "url", "left_anti"), found_table, number)
-        queue = before(found_table, number + 1).join(
-            before(done_table, number), "url", "left_anti")
+        _write(first.join(seen.before(number, first), "url", "left_anti"), found_table, number)
+        new = spark.read.schema(_DISCOVERED).parquet(f"{found_table}/batch={number}")
+        queue = waiting.before(number).drop("batch").unionByName(new)
         _write(queue.orderBy(F.desc("priority"), "found_at", "url").limit(per_cycle).select("url"),
                done_table, number)
-        chosen = spark.read.parquet(f"{done_table}/batch={number}")
+        chosen = spark.read.schema(_SCANNED).parquet(f"{done_table}/batch={number}")
+        seen.commit(number, new)
+        waiting.commit(number, new, chosen)
         reports = chosen.limit(0)
         if files is not None:
-            todo = files.join(F.broadcast(chosen), files["repo"] == chosen["url"], "left_semi")
+            # Spark sees how few they are, if they are few
+            todo = files.join(chosen, files["repo"] == chosen["url"], "left_semi")
             _write(scan_files(todo, rules), f"{state}/findings", number)
             reports = spark.read.parquet(f"{state}/findings/batch={number}").select(
                 "repo").distinct()
-        left = queue.join(chosen, "url", "left_anti")
+        left = waiting.before(number + 1)
         both = left.select(F.lit(0).alias("done")).unionByName(
             chosen.select(F.lit(1).alias("done"))).unionByName(
             reports.select(F.lit(2).alias("done")))

@@ -717,3 +717,63 @@ def stream_monitor_cycles(t: Tables):
         F.count("*").alias("findings"))
     return M.read_state(t.spark, home, "scanned").select(
         "url", F.col("batch").alias("cycle")).join(found, "url", "left").fillna(0, ["findings"])
+
+
+@query("""WITH e AS (SELECT 'https://github.com/u/r' || user_id || '.git' AS url, ts,
+      event_id % 3 AS part FROM events),
+    f0 AS (SELECT url, min(ts) AS ts FROM e WHERE part = 0 GROUP BY 1),
+    k0 AS (SELECT *, 0 AS b FROM f0 QUALIFY (SELECT count(*) FROM f0) <= 40
+           OR row_number() OVER (ORDER BY ts DESC, url DESC) <= 20),
+    n1 AS (SELECT url, min(ts) AS ts FROM e WHERE part = 1 AND url NOT IN (SELECT url FROM k0)
+           GROUP BY 1),
+    s1 AS (SELECT * FROM k0 UNION ALL SELECT *, 1 FROM n1),
+    k1 AS (SELECT * FROM s1 QUALIFY (SELECT count(*) FROM s1) <= 40
+           OR row_number() OVER (ORDER BY b DESC, ts DESC, url DESC) <= 20),
+    n2 AS (SELECT DISTINCT url FROM e WHERE part < 2 AND url NOT IN (SELECT url FROM k1))
+    SELECT url, 0 AS batch FROM f0 UNION ALL SELECT url, 1 FROM n1 UNION ALL SELECT url, 2 FROM n2""")
+def stream_seen_bounded(t: Tables):
+    """A seen set of forty URLs that forgets all but the last twenty, and sees the others again."""
+    home = workspace(t.spark, "seen-bounded")
+    urls = t.sql("""SELECT 'https://github.com/u/r' || user_id || '.git' AS url,
+        cast(ts as timestamp) AS ts, event_id % 3 AS part FROM events""", "events")
+    for n, part in enumerate(("part = 0", "part = 1", "part < 2")):
+        urls.where(part).drop("part").write.parquet(f"{home}/feed/{n}")
+        feed = t.spark.readStream.schema(urls.drop("part").schema).parquet(f"{home}/feed/*")
+        M.first_seen_bounded(feed, home, most=40, kept=20).awaitTermination()
+    return t.spark.read.parquet(f"{home}/new").select("url", "batch")
+
+
+@query(f"""{w('files')}, {D.findings_ctes('files')},
+    e AS (SELECT 'https://github.com/u/r' || user_id || '.git' AS url, min(ts) AS first,
+          min(event_id % 5) AS since FROM events GROUP BY 1),
+    f AS (SELECT 'https://github.com/u/r' || user_id || '.git' AS url, event_id % 5 AS part,
+          min(ts) AS first FROM events GROUP BY ALL),
+    q AS (SELECT f.url, e.since, f.first FROM f JOIN e ON f.url = e.url AND f.part = e.since),
+    hit AS (SELECT DISTINCT 'https://github.com/u/r' || substr(repo, 5) || '.git' AS url
+            FROM found),
+    c0 AS (SELECT url, 0 AS cycle FROM q WHERE since <= 0 ORDER BY first, url LIMIT 7),
+    c1 AS (SELECT url, 1 AS cycle FROM q WHERE since <= 1 AND url NOT IN (SELECT url FROM c0)
+           ORDER BY first, url LIMIT 7),
+    c2 AS (SELECT url, 2 AS cycle FROM q WHERE since <= 2 AND url NOT IN (
+             SELECT url FROM c0 UNION ALL SELECT url FROM c1) ORDER BY first, url LIMIT 7),
+    done AS (FROM c0 UNION ALL FROM c1 UNION ALL FROM c2)
+    SELECT CAST(c.cycle AS INT) AS cycle,
+      (SELECT count(*) FROM q WHERE since <= c.cycle)
+        - (SELECT count(*) FROM done WHERE cycle <= c.cycle) AS queued,
+      (SELECT count(*) FROM done d WHERE d.cycle = c.cycle) AS scanned,
+      (SELECT count(*) FROM done d SEMI JOIN hit ON d.url = hit.url WHERE d.cycle = c.cycle)
+        AS reports
+    FROM (SELECT unnest([0, 1, 2]) AS cycle) c""")
+def stream_monitor_counters(t: Tables):
+    """What each of three cycles left queued, scanned and reported."""
+    home = workspace(t.spark, "monitor-counters")
+    urls = t.sql("""SELECT 'https://github.com/u/r' || user_id || '.git' AS url,
+        cast(ts as timestamp) AS found_at, event_id % 5 AS part FROM events""", "events")
+    files = t["files"].withColumn("repo", F.concat(
+        F.lit("https://github.com/u/r"), F.expr("substr(repo, 5)"), F.lit(".git")))
+    for part in range(3):
+        urls.where(F.col("part") == part).drop("part").write.parquet(f"{home}/feed/{part}")
+        feed = t.spark.readStream.schema(urls.drop("part").schema).parquet(f"{home}/feed/*")
+        M.monitor(feed, home, files=files, per_cycle=7).awaitTermination()
+    return M.read_state(t.spark, home, "cycles").select(
+        F.col("batch").alias("cycle"), "queued", "scanned", "reports")
