@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from keysieve.functions.identity import repo_name
 from keysieve.operators.skew import latest, skew_join
+from keysieve.operators.topk import first_known
 
 # The disclosure programs known from the start.
 # name, platform, url, key_types, min_payout, max_payout
@@ -189,20 +190,23 @@ def with_repos(findings: DataFrame, repos: DataFrame) -> DataFrame:
     return skew_join(findings, r, ["repo_url"])
 
 
+def _newest() -> list[Column]:
+    return [F.desc("found_at"), F.asc("finding_id")]
+
+
 def recent_findings(findings: DataFrame, repos: DataFrame, n: int = 5) -> DataFrame:
-    """The newest findings of known repositories; a repository with most of them is salted."""
-    known = skew_join(findings, repos.select(F.col("url").alias("repo_url")), ["repo_url"])
-    return known.orderBy(F.desc("found_at"), "finding_id").limit(n).select(
+    """The newest findings of known repositories."""
+    known = repos.select(F.col("url").alias("repo_url")).distinct()
+    return first_known(findings, known, ["repo_url"], _newest(), n).select(
         "finding_id", "rule_id", "secret_preview", "repo_url", "found_at")
 
 
 def list_findings(findings: DataFrame, repos: DataFrame, where: Column | None = None,
                   n: int = 100) -> DataFrame:
     chosen = findings if where is None else findings.where(where)
-    # joined first: findings of unknown repositories take no place in the listing
-    known = skew_join(chosen, repos.select(F.col("url").alias("repo_url"), "platform"),
-                      ["repo_url"])
-    return known.orderBy(F.desc("found_at"), "finding_id").limit(n).select(
+    # findings of unknown repositories take no place in the listing
+    known = repos.select(F.col("url").alias("repo_url"), "platform")
+    return first_known(chosen, known, ["repo_url"], _newest(), n).select(
         "finding_id", "rule_id", "secret_preview", "file_path", "line_number", "platform",
         F.substring("repo_url", 1, 50).alias("repo_url"), "found_at")
 

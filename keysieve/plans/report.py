@@ -7,12 +7,14 @@ of the findings is reduced in each task before anything is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keysieve.functions.identity import category, is_high, is_medium
 from keysieve.operators.skew import numbered
 from keysieve.sources.reports import SCANNER
+from keysieve.workspace import stored
 
 VERSION = "0.1.0"
 SARIF_SCHEMA = ("https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/"
@@ -167,6 +169,34 @@ def summaries(findings: DataFrame, by: list[str]) -> DataFrame:
         F.lit(0), F.col("total_findings") - F.col("high") - F.col("medium")))
 
 
+def _verification() -> Column:
+    return F.struct(F.lit("pending").alias("status"), F.lit(None).cast("string").alias("verified_at"),
+                    F.lit(None).cast("boolean").alias("is_active")).alias("verification")
+
+
+def _report_item() -> Column:
+    return F.struct(
+        "id", "rule_id", "rule_name",
+        F.struct(F.col("path").alias("file"), "line", "column").alias("location"),
+        F.col("secret").alias("secret_preview"), "context", _verification())
+
+
+def _report_head() -> list[Column]:
+    """What a report has besides its findings, from a scan and its summary."""
+    none, zero = F.create_map().cast("map<string,bigint>"), F.lit(0)
+    summary = F.struct(
+        F.coalesce("total_findings", zero).alias("total_findings"),
+        F.coalesce("unique_rules", zero).alias("unique_rules_triggered"),
+        F.coalesce("by_rule", none).alias("findings_by_rule"),
+        F.coalesce("by_category", none).alias("findings_by_category"),
+        F.struct(F.coalesce("high", zero).alias("high"), F.coalesce("medium", zero).alias("medium"),
+                 F.coalesce("low", zero).alias("low")).alias("severity_breakdown"))
+    target = F.struct("path", "type", "git_branch", "git_commit", "git_remote", "scan_duration_ms")
+    return [F.lit("2.0").alias("report_version"), F.lit(SCANNER).alias("scanner"),
+            F.lit(VERSION).alias("scanner_version"), F.col("timestamp"), F.col("scan_id"),
+            target.alias("target"), summary.alias("summary")]
+
+
 def report_documents(findings: DataFrame, scans: DataFrame, at_most: int = 10_000) -> DataFrame:
     """One version 2.0 report per scan, with its target and summary.
 
@@ -176,39 +206,83 @@ def report_documents(findings: DataFrame, scans: DataFrame, at_most: int = 10_00
     """
     by = ["scan_id"]
     ids = numbered_findings(findings, by)
-    item = F.struct(
-        "id", "rule_id", "rule_name",
-        F.struct(F.col("path").alias("file"), "line", "column").alias("location"),
-        F.col("secret").alias("secret_preview"), "context",
-        F.struct(F.lit("pending").alias("status"), F.lit(None).cast("string").alias("verified_at"),
-                 F.lit(None).cast("boolean").alias("is_active")).alias("verification"))
-    items = _document(ids, by, item, at_most)
+    items = _document(ids, by, _report_item(), at_most)
 
     # a row per document, so that a scan of many documents is not one key of the join
     n = F.greatest(F.ceil(F.coalesce("total_findings", F.lit(0)) / at_most), F.lit(1))
     heads = scans.join(summaries(findings, by), by, "left").withColumn("parts", n).withColumn(
         "part", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("parts"))))
     full = heads.join(items.drop("parts"), [*by, "part"], "left")
-    none = F.create_map().cast("map<string,bigint>")
-    zero = F.lit(0)
-    summary = F.struct(
-        F.coalesce("total_findings", zero).alias("total_findings"),
-        F.coalesce("unique_rules", zero).alias("unique_rules_triggered"),
-        F.coalesce("by_rule", none).alias("findings_by_rule"),
-        F.coalesce("by_category", none).alias("findings_by_category"),
-        F.struct(F.coalesce("high", zero).alias("high"), F.coalesce("medium", zero).alias("medium"),
-                 F.coalesce("low", zero).alias("low")).alias("severity_breakdown"))
-    target = F.struct("path", "type", "git_branch", "git_commit", "git_remote", "scan_duration_ms")
-    doc = F.struct(
-        F.lit("2.0").alias("report_version"), F.lit(SCANNER).alias("scanner"),
-        F.lit(VERSION).alias("scanner_version"), "timestamp", "scan_id",
-        target.alias("target"), summary.alias("summary"), F.col("items").alias("findings"))
+    doc = F.struct(*_report_head(), F.col("items").alias("findings"))
     filled = full.withColumn("items", F.coalesce("items", F.array().cast(
         full.schema["items"].dataType)))
     return filled.select(
-        "scan_id", "part", "parts", F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
+        "scan_id", "part", "parts", F.to_json(doc, _NULLS).alias("document"))
 
 
 def write_documents(documents: DataFrame, path: str, by: list[str]) -> None:
     """Documents as text files, one folder per scan."""
     documents.select(*by, "document").write.mode("append").partitionBy(*by).text(path)
+
+
+# --- documents of any size ----------------------------------------------------------------
+
+TAIL = 1 << 62  # behind every item
+_NULLS = {"ignoreNullFields": "false"}
+
+
+def report_rows(findings: DataFrame, scans: DataFrame) -> DataFrame:
+    """The version 2.0 reports of all scans as rows (scan_id, nth, text).
+
+    A report is the texts of its scan in the order of ``nth``: one row opens it, each finding
+    is a row, and one row closes it, whether there are none or millions of them.
+    """
+    by = ["scan_id"]
+    items = numbered_findings(findings, by).select("scan_id", F.col("id").alias("nth"), F.concat(
+        F.when(F.col("id") > 1, ",").otherwise(""), F.to_json(_report_item(), _NULLS)).alias("text"))
+    opened = F.to_json(F.struct(*_report_head()), _NULLS)
+    heads = scans.join(summaries(findings, by), by, "left").select(
+        "scan_id", F.lit(0).cast("long").alias("nth"),
+        F.concat(F.left(opened, F.length(opened) - 1), F.lit(',"findings":[')).alias("text"))
+    tails = scans.select("scan_id", F.lit(TAIL).alias("nth"), F.lit("]}").alias("text"))
+    return heads.unionByName(items).unionByName(tails)
+
+
+def write_rows(rows: DataFrame, path: str) -> None:
+    """Documents as sorted lines of text, and an index of them.
+
+    Files hold ranges of (scan_id, nth), so a document is a stretch of lines of one file, or of
+    files that follow each other, and a large one is written by many tasks.  ``index`` tells of
+    each document in which files (``part``) it is, from which line on, and how many lines.
+    """
+    ranged = stored(rows.repartitionByRange("scan_id", "nth").withColumn(
+        "part", F.spark_partition_id()), "ranges")
+    sorted_ = ranged.repartition("part").sortWithinPartitions("part", "scan_id", "nth")
+    sorted_.select("part", "text").write.partitionBy("part").text(f"{path}/lines")
+    here = ranged.groupBy("part", "scan_id").agg(F.count("*").alias("lines"))
+    before = F.sum("lines").over(W.partitionBy("part").orderBy("scan_id").rowsBetween(
+        W.unboundedPreceding, -1))
+    here.select("scan_id", "part", (F.coalesce(before, F.lit(0)) + 1).alias("line"),
+                "lines").write.parquet(f"{path}/index")
+
+
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """scan_id, part, line, text: the lines of the documents, by the index."""
+    lines = spark.read.text(f"{path}/lines").select(
+        F.col("part").cast("int"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
+    lines = stored(lines, "lines")
+    ranges = lines.groupBy("part", "file", "start").agg(
+        F.min("id").alias("first"), F.count("*").alias("n"))
+    of_part = W.partitionBy("part").orderBy("file", "start").rowsBetween(
+        W.unboundedPreceding, -1)
+    ranges = ranges.withColumn("base", F.coalesce(F.sum("n").over(of_part), F.lit(0))).drop("n")
+    numbered_ = lines.join(ranges, ["part", "file", "start"]).select(
+        "part", (F.col("base") + F.col("id") - F.col("first") + 1).alias("line"), "text")
+    index = spark.read.parquet(f"{path}/index")
+    starts = index.select("part", "line", "scan_id")
+    # each line belongs to the last document that begins in its part before it
+    return numbered_.join(starts, ["part", "line"], "left").withColumn(
+        "scan_id", F.last("scan_id", ignorenulls=True).over(
+            W.partitionBy("part").orderBy("line"))).select("scan_id", "part", "line", "text")

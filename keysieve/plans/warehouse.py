@@ -8,7 +8,7 @@ context, verification_status).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysieve.operators.skew import latest, skew_join
@@ -143,6 +143,13 @@ def security_stats(scans: DataFrame, findings: DataFrame) -> DataFrame:
     the join of scans and findings, which counts a scan once per finding.  A scan has one
     row in ``scans`` and one here, so nothing but the repositories is counted distinct.
     """
+    day = _days(scans, findings)
+    base, repos, rules = day["days"], day["day_repos"], day["day_rules"]
+    return _stats(base, repos, rules)
+
+
+def _days(scans: DataFrame, findings: DataFrame) -> dict[str, DataFrame]:
+    """Sums per day, and which repositories and rules a day has."""
     per_rule = findings.groupBy("scan_id", "rule_id").agg(F.count("*").alias("n"))
     per_scan = per_rule.groupBy("scan_id").agg(F.sum("n").alias("n"))
     day = F.date_trunc("day", "timestamp").alias("scan_date")
@@ -151,9 +158,54 @@ def security_stats(scans: DataFrame, findings: DataFrame) -> DataFrame:
         F.count("*").alias("total_scans"),
         F.sum("total_findings").alias("total_findings"),
         F.sum(F.col("total_findings") * F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))
-              ).alias("total_findings_joined"),
-        F.count_distinct("repository").alias("unique_repos"))
+              ).alias("total_findings_joined"))
     rules = per_rule.select("scan_id", "rule_id").join(
-        dated.select("scan_id", "scan_date"), "scan_id").groupBy("scan_date").agg(
-        F.count_distinct("rule_id").alias("unique_rules"))
-    return base.join(rules, "scan_date", "left").fillna(0, ["unique_rules"])
+        dated.select("scan_id", "scan_date"), "scan_id").select("scan_date", "rule_id")
+    return {"days": base, "day_rules": rules.distinct(),
+            "day_repos": dated.select("scan_date", "repository").distinct()}
+
+
+def _stats(days: DataFrame, repos: DataFrame, rules: DataFrame) -> DataFrame:
+    seen = repos.groupBy("scan_date").agg(F.count("repository").alias("unique_repos"))
+    fired = rules.groupBy("scan_date").agg(F.count("rule_id").alias("unique_rules"))
+    return days.join(seen, "scan_date", "left").join(fired, "scan_date", "left").fillna(
+        0, ["unique_repos", "unique_rules"])
+
+
+# --- views that an import brings up to date ------------------------------------------------
+#
+# An import leaves what the views need of it, reduced: a row per scan, per repository and rule,
+# and per day.  The views fold these, so nothing but new findings is ever read.  A scan comes
+# whole in one import; an import that is repeated overwrites what it has left.
+
+STATES = ["scan_states", "repo_states", "days", "day_repos", "day_rules"]
+
+
+def add_import(scans: DataFrame, findings: DataFrame, path: str, number: int) -> None:
+    """Write the states of import ``number``."""
+    states = {"scan_states": scan_summary(scans, findings),
+              "repo_states": findings_by_repo(scans, findings), **_days(scans, findings)}
+    for name in STATES:
+        states[name].write.mode("overwrite").parquet(f"{path}/{name}/import={number}")
+
+
+def read_states(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in STATES}
+
+
+def fold_scan_summary(states: dict[str, DataFrame]) -> DataFrame:
+    """``scan_summary`` of all imports; a scan imported again counts as it was last."""
+    return latest(states["scan_states"], ["scan_id"], F.col("import")).drop("import")
+
+
+def fold_findings_by_repo(states: dict[str, DataFrame]) -> DataFrame:
+    return states["repo_states"].groupBy("repository", "rule_id", "rule_name").agg(
+        F.sum("occurrence_count").alias("occurrence_count"), F.max("last_seen").alias("last_seen"),
+        F.min("first_seen").alias("first_seen"))
+
+
+def fold_security_stats(states: dict[str, DataFrame]) -> DataFrame:
+    days = states["days"].groupBy("scan_date").agg(*[
+        F.sum(c).alias(c) for c in ("total_scans", "total_findings", "total_findings_joined")])
+    return _stats(days, states["day_repos"].drop("import").distinct(),
+                  states["day_rules"].drop("import").distinct())

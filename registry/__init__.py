@@ -17,6 +17,7 @@ give_types({
     **{name: _PLACE for name in ("scan_graph_tree", "scan_graph_topic_tree")},
     "scan_large_context": {"line": "BIGINT", "pos": "INT", "at": "INT"},
     "scan_crowded_context": {"line": "INT", "pos": "INT", "nr": "INT"},
+    "sarif_clean_scans": {"results": "INT"},
     "scanner_text": {"column_number": "INT"},
     "rule_classes": {"specificity": "INT"},
     "json_documents": {**_PLACE, "context_lines": "INT"},
@@ -25,6 +26,7 @@ give_types({
     "report_documents": {"listed_rules": "INT", "listed": "INT"},
     "imported_scans": {"total_findings": "INT"},
     "security_stats": {"total_findings": "BIGINT", "total_findings_joined": "BIGINT"},
+    "security_stats_of_imports": {"total_findings": "BIGINT", "total_findings_joined": "BIGINT"},
     "corpus_statistics": {"total_findings": "BIGINT"},
     "scan_durations": {"duration_ms": "BIGINT"},
     "feed_cursors": {"repos_fetched": "BIGINT"},

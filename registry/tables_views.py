@@ -15,7 +15,7 @@ from keysieve.sources.reports import parse_reports, report_findings
 from keysieve.streaming import monitor as M
 from keysieve.workspace import stored, workspace
 from registry import detection_sql as D
-from registry.base import Tables, query
+from registry.base import ORACLES, Tables, query
 from registry.detection_sql import q
 from registry.tables import with_clause as w
 
@@ -138,13 +138,49 @@ def report_documents(t: Tables):
         F.coalesce(F.array_max("d.findings.id"), F.lit(0)).alias("last_id"))
 
 
-def _reports(t: Tables):
-    scans = t["files"].select("repo").distinct().select(
+def _scans(t: Tables):
+    return t["files"].select("repo").distinct().select(
         F.col("repo").alias("scan_id"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"),
         F.concat(F.lit("/data/"), "repo").alias("path"), F.lit("directory").alias("type"),
         *[F.lit(None).cast("string").alias(c) for c in ("git_branch", "git_commit", "git_remote")],
         F.lit(0).cast("bigint").alias("scan_duration_ms"))
-    return R.report_documents(_documents(t), scans)
+
+
+def _reports(t: Tables):
+    return R.report_documents(_documents(t), _scans(t))
+
+
+@query(f"""{w('files')}, {D.findings_ctes('files')}, n AS (SELECT repo, count(*) AS n FROM found
+      GROUP BY repo)
+    SELECT r.repo AS scan_id, coalesce(n, 0) + 2 AS lines, coalesce(n, 0) AS listed,
+      coalesce(n, 0) AS total_findings, coalesce(n, 0) AS last_id
+    FROM (SELECT DISTINCT repo FROM files) r LEFT JOIN n ON r.repo = n.repo""")
+def report_rows(t: Tables):
+    """Reports written as sorted lines with an index, read back and parsed."""
+    home = workspace(t.spark, "report-rows")
+    R.write_rows(R.report_rows(_documents(t), _scans(t)), home)
+    texts = R.read_rows(t.spark, home).groupBy("scan_id").agg(
+        F.count("*").alias("lines"), F.sort_array(F.collect_list(F.struct("part", "line", "text"))
+                                                  ).alias("rows"))
+    schema = """struct<scan_id: string, summary: struct<total_findings: bigint>,
+        findings: array<struct<id: bigint>>>"""
+    d = texts.select("scan_id", "lines", F.from_json(F.array_join(F.transform(
+        "rows", lambda r: r["text"]), ""), schema).alias("d")).where("d.scan_id = scan_id")
+    return d.select("scan_id", "lines", F.size("d.findings").cast("long").alias("listed"),
+                    "d.summary.total_findings",
+                    F.coalesce(F.array_max("d.findings.id"), F.lit(0)).alias("last_id"))
+
+
+@query(f"""{w('files')}, {D.findings_ctes('files')}
+    SELECT DISTINCT repo AS scan_id, 0 AS results, '2.1.0' AS version FROM files
+    WHERE repo NOT IN (SELECT repo FROM found)""")
+def sarif_clean_scans(t: Tables):
+    """An empty SARIF log for each scan that found nothing."""
+    docs = R.sarif_documents(_documents(t), ["scan_id"], scans=_scans(t))
+    schema = "struct<version: string, runs: array<struct<results: array<struct<ruleId: string>>>>>"
+    d = docs.select("scan_id", F.from_json("document", schema).alias("d"))
+    return d.select("scan_id", F.size(F.col("d.runs")[0]["results"]).alias("results"),
+                    "d.version").where("results = 0")
 
 
 @query(f"""{w('files')}, {D.findings_ctes('files')}
@@ -777,3 +813,33 @@ def stream_monitor_counters(t: Tables):
         M.monitor(feed, home, files=files, per_cycle=7).awaitTermination()
     return M.read_state(t.spark, home, "cycles").select(
         F.col("batch").alias("cycle"), "queued", "scanned", "reports")
+
+
+# --- views kept up to date by imports -----------------------------------------------------
+
+
+def _two_imports(t: Tables):
+    """The states that two imports leave, each of half of the scans."""
+    home = workspace(t.spark, "states")
+    half = F.pmod(F.xxhash64("scan_id"), F.lit(2))
+    for number in (0, 1):
+        W.add_import(t["scans"].where(half == number), t["findings"].where(half == number),
+                     home, number)
+    return W.read_states(t.spark, home)
+
+
+@query(ORACLES["scan_summary"])
+def scan_summary_of_imports(t: Tables):
+    return W.fold_scan_summary(_two_imports(t)).drop(
+        "timestamp", "target_path", "git_remote", "git_branch")
+
+
+@query(ORACLES["findings_by_repo"])
+def findings_by_repo_of_imports(t: Tables):
+    return W.fold_findings_by_repo(_two_imports(t))
+
+
+@query(ORACLES["security_stats"])
+def security_stats_of_imports(t: Tables):
+    return W.fold_security_stats(_two_imports(t)).withColumn(
+        "scan_date", F.date_format("scan_date", "yyyy-MM-dd"))

@@ -141,3 +141,66 @@ def test_finding_detail(spark):
     detail, programs = Q.finding_detail(f, t["repos"], Q.programs(spark), F.col("finding_id") == one)
     assert detail.count() == 1 and "platform" in detail.columns
     assert [r.program for r in programs.collect()] == ["GitHub"]
+
+
+def test_first_known_needs_no_join_of_all(spark):
+    """Enough, too few and no survivors; ties; the last resort is the join of all."""
+    from keysieve.operators.topk import first_known
+
+    rows = spark.range(5000).select(F.col("id"), (F.col("id") % 50).alias("k"),
+                                    (F.col("id") % 7).alias("o"))
+    order = [F.desc("o"), F.asc("id")]
+    for known in (range(50), [3, 49], [], [77]):
+        table = spark.createDataFrame([(k, f"n{k}") for k in known], "k long, name string")
+        got = first_known(rows, table, ["k"], order, 10).select("id", "name").collect()
+        want = sorted(((-(i % 7), i) for i in range(5000) if i % 50 in known))[:10]
+        assert [(r.id, r.name) for r in got] == [(i, f"n{i % 50}") for _, i in want]
+    rare = spark.createDataFrame([(k, "x") for k in (11,)], "k long, name string")
+    assert [r.id for r in first_known(rows.where("id < 12 or k <> 11"), rare, ["k"], order, 3
+                                      ).collect()] == [11]
+
+
+def test_reports_of_any_size_have_one_shape(spark, tmp_path):
+    """A scan of 60,000 findings, one of one and one of none, over several files."""
+    findings = spark.range(60_001).select(
+        F.when(F.col("id") == 60_000, "small").otherwise("big").alias("scan_id"),
+        F.concat(F.lit("f"), F.col("id") % 900).alias("path"), F.col("id").cast("int").alias("line"),
+        F.lit(1).alias("column"), F.lit(0).alias("pos"),
+        F.concat(F.lit("rule-"), F.col("id") % 3).alias("rule_id"), F.lit("Rule").alias("rule_name"),
+        F.lit("a...\n\"z").alias("secret"),
+        F.array(F.struct(F.lit(1).alias("line"), F.lit("x").alias("content"))).alias("context"))
+    scans = spark.createDataFrame(
+        [(s, "t", "/p", "directory", None, None, None, 0) for s in ("big", "small", "none")],
+        "scan_id string, timestamp string, path string, type string, git_branch string, "
+        "git_commit string, git_remote string, scan_duration_ms long")
+    R.write_rows(R.report_rows(findings, scans), str(tmp_path))
+    lines = R.read_rows(spark, str(tmp_path)).orderBy("scan_id", "part", "line").collect()
+    texts = {}
+    for r in lines:
+        texts[r.scan_id] = texts.get(r.scan_id, []) + [r.text]
+    parsed = {s: json.loads("".join(t)) for s, t in texts.items()}
+    assert {s: len(d["findings"]) for s, d in parsed.items()} == {"big": 60_000, "small": 1, "none": 0}
+    assert [f["id"] for f in parsed["big"]["findings"]] == list(range(1, 60_001))
+    assert parsed["big"]["summary"]["total_findings"] == 60_000 and parsed["none"]["scan_id"] == "none"
+    whole = json.loads(R.report_documents(findings, scans, at_most=10 ** 6).where(
+        "scan_id = 'small'").first().document)
+    assert parsed["small"] == whole
+    assert spark.read.parquet(f"{tmp_path}/index").select("part").distinct().count() > 1
+
+
+def test_an_import_that_is_repeated_counts_once(spark, tmp_path):
+    scans = spark.createDataFrame(
+        [(f"s{i}", f"2024-01-0{1 + i % 3}", "/p", None if i % 2 else "url", "main", 2) for i in range(9)],
+        "scan_id string, timestamp string, target_path string, git_remote string, "
+        "git_branch string, total_findings int").withColumn("timestamp", F.to_timestamp("timestamp"))
+    findings = spark.createDataFrame(
+        [(f"s{i % 9}", f"rule{i % 4}", "Rule", "active") for i in range(40)],
+        "scan_id string, rule_id string, rule_name string, verification_status string")
+    for number, chosen in ((0, "scan_id < 's4'"), (1, "scan_id >= 's4'"), (1, "scan_id >= 's4'")):
+        W.add_import(scans.where(chosen), findings.where(chosen), str(tmp_path), number)
+    states = W.read_states(spark, str(tmp_path))
+    for fold, view in ((W.fold_scan_summary, W.scan_summary), (W.fold_security_stats, W.security_stats),
+                       (W.fold_findings_by_repo, W.findings_by_repo)):
+        want = view(scans, findings)
+        assert sorted(map(str, fold(states).select(want.columns).collect())) == sorted(
+            map(str, want.collect()))
