@@ -3,16 +3,22 @@
 A page is cut into blocks at block-level tags.  The first pass looks at each block alone:
 
 * blocks inside menus, headers of the page, footers, sidebars, notices, adverts, forms and
-  reader comments (told by tag or role, or by a class or id that is or ends in such a word,
-  unless it tells a category or a layout or stands on an article) are bad;
-* blocks mostly made of links are bad;
+  reader comments (told by tag or role, or by a class or id that is or ends in such a word, or
+  begins with one before words for a box, unless it tells a category or a layout or stands on
+  an article; an article of class ``comment`` is one by a reader) are bad;
+* blocks mostly made of links are bad, short ones inside an article ambiguous;
 * long blocks with enough stop words are good; long ones with hardly any are bad, unless
   they stand inside an article;
 * all others are ambiguous.
 
+On a page without an article whose blocks have hardly any stop words in all, which is one in a
+language that is not listed, long blocks are good by their length and links alone.  A sign of a
+script that writes no blanks counts as three characters of length.
+
 In the second pass ambiguous blocks inherit the label of the nearest decided neighbour of
 the same part of the page (an article, or what stands outside all articles); on a tie, or if
-nothing there is decided, a block inside an article is good and any other bad.
+nothing there is decided, a block inside an article, or on a page without one, is good and any
+other bad.
 
 Scripts, styles, comments and markup never reach a block.  Character references are decoded,
 white space becomes one blank, blocks are joined by an empty line.  Null and empty pages have
@@ -23,6 +29,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,10 +55,11 @@ STOP_WORDS = frozenset("""
 
 SECTIONS = frozenset(("article", "main"))
 BOILERPLATE = frozenset((
-    "nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "label", "fieldset"))
+    "nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "fieldset"))
 RAW = frozenset((
-    "script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math",
+    "script", "style", "title", "textarea", "noscript", "template", "iframe", "svg",
     "object", "canvas", "audio", "video", "noframes", "xmp"))
+TO_THE_END = frozenset(("script", "style", "title", "textarea", "xmp"))  # of the page, if left open
 CONTAINERS = frozenset((
     "div", "section", "ul", "ol", "dl", "table", "figure", "header", "blockquote", "details",
     "body", "html", "head", "p", "li", "span", "td", "tr", "tbody", "thead"
@@ -70,11 +78,17 @@ HINTS = frozenset((
     "reply", "replies", "respond", "disqus", "share", "sharing", "social", "related",
     "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "widget", "toolbar",
     "copyright", "disclaimer", "skip", "search"))
+READERS = frozenset(("comment", "comment-body", "reply"))  # classes of articles in comments
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "dialog",
                    "alert", "alertdialog", "form", "menu", "menubar", "toolbar"))
 # Words that make a compound a category of the text or a layout: "tag-cookies", "no-sidebar".
 CATEGORIES = frozenset(("category", "cat", "tag", "topic", "type", "format"))
-LAYOUTS = frozenset(("no", "not", "without", "has", "with", "layout", "content"))
+LAYOUTS = frozenset(("no", "not", "without", "has", "with", "layout"))
+# Words for a box: "comment-list" is one of comments, "header-large" is no header.
+BOXES = frozenset((
+    "left", "right", "top", "bottom", "list", "area", "container", "bar", "inner", "outer",
+    "wrapper", "wrap", "box", "block", "section", "holder", "panel", "links", "items", "group",
+    "row", "col", "column", "slot", "unit", "primary", "secondary"))
 OPEN_TO_HINTS = frozenset(("div", "section", "ul", "ol", "dl", "p", "span", "table", "li",
                            "article", "figure", "details", "td", "header", "blockquote"))
 
@@ -84,7 +98,9 @@ _TAG = re.compile(
     r"|(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<more2>[^>]*+)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(
     r"(?<![\w-])(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_HREF = re.compile(r"(?<![\w-])href\s*=", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_DENSE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff66-\uff9f]")
 
 
 @dataclass
@@ -96,10 +112,12 @@ class Block:
 
 
 def _names(token: str) -> bool:
-    """Whether a class or id names an unwanted element: as a whole or by its last word."""
+    """Whether a class or id names an unwanted element: as a whole, by its last word, or by its
+    first one if the others are words for a box."""
     parts = [x for x in re.split(r"[-_]+", token) if x]
-    return bool(parts) and parts[-1] in HINTS and parts[0] not in CATEGORIES and not (
-        LAYOUTS & set(parts[:-1]))
+    if not parts or parts[0] in CATEGORIES or LAYOUTS & set(parts[:-1]):
+        return False
+    return parts[-1] in HINTS or parts[0] in HINTS and BOXES.issuperset(parts[1:])
 
 
 def _unwanted(name: str, more: str, in_article: bool) -> bool:
@@ -115,8 +133,12 @@ def _unwanted(name: str, more: str, in_article: bool) -> bool:
             return True
         if kind == "role" and value in ROLES:
             return True
-        if kind in ("class", "id") and name != "article" and any(map(_names, value.split())):
-            return True
+        if kind in ("class", "id"):
+            tokens = value.split()
+            if name != "article" and any(map(_names, tokens)):
+                return True
+            if name == "article" and not READERS.isdisjoint(tokens):
+                return True
     return False
 
 
@@ -126,6 +148,18 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     links, in_link, bad, articles, section, sections = 0, 0, 0, 0, 0, 0
     stack: list[tuple[str, bool, bool]] = []  # name, unwanted, article
+    opened: Counter = Counter()  # names on the stack
+    link_at = 0  # elements that were open where the link began
+
+    def close() -> str:
+        nonlocal bad, articles, in_link
+        name, unwanted, article = stack.pop()
+        opened[name] -= 1
+        bad -= unwanted
+        articles -= article
+        if len(stack) < link_at:  # the end of what holds a link ends it
+            in_link = 0
+        return name
 
     def add(raw: str) -> None:
         nonlocal links
@@ -144,6 +178,7 @@ def blocks(page: str) -> list[Block]:
         links = 0
 
     at, size = 0, len(page)
+    no_end: dict[str, int] = {}  # raw elements that no tag closes from there on
     while at < size:
         m = _TAG.search(page, at)
         if m is None:
@@ -159,33 +194,32 @@ def blocks(page: str) -> list[Block]:
                 flush()
             if name == "a":
                 in_link = 0
-            if name in CONTAINERS and any(x[0] == name for x in stack):
+            if name in CONTAINERS and opened[name]:
                 flush()
-                while stack:
-                    opened, unwanted, article = stack.pop()
-                    bad -= unwanted
-                    articles -= article
-                    if opened == name:
-                        break
+                while close() != name:
+                    pass
             continue
         more = m["more"] or m["more2"] or ""
         if name in RAW:
             if not more.rstrip().endswith("/") or name in ("script", "style"):
-                close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else size
+                end = None if no_end.get(name, size) <= at else re.compile(
+                    rf"</{name}\b[^>]*>", re.I).search(page, at)
+                if end is not None:
+                    at = end.end()
+                else:  # looked for once only
+                    no_end[name] = min(at, no_end.get(name, size))
+                    at = size if name in TO_THE_END else at
             continue
         if name == "br":
             parts.append(" ")
         if name in BLOCKS:
             flush()
         if name == "a":
-            in_link = 1
+            in_link, link_at = int(bool(_HREF.search(more))), len(stack)
         if name in CONTAINERS and name not in VOID:
             if name in ("p", "li", "td", "tr"):  # opening one closes the one before
                 while stack and stack[-1][0] == name:
-                    _, unwanted, article = stack.pop()
-                    bad -= unwanted
-                    articles -= article
+                    close()
             unwanted = _unwanted(name, more, articles > 0)
             article = name in SECTIONS and not unwanted
             if article and not articles:
@@ -194,23 +228,46 @@ def blocks(page: str) -> list[Block]:
             if unwanted or article or name in ("header", "div", "section"):
                 flush()
             stack.append((name, unwanted, article))
+            opened[name] += 1
             bad += unwanted
             articles += article
     flush()
     return out
 
 
-def first_pass(b: Block) -> bool | None:
+def _length(text: str) -> int:
+    return len(text) + 2 * len(_DENSE.findall(text))
+
+
+def _links(b: Block) -> float:
+    return b.link_chars / max(1, len(b.text.replace(" ", "")))
+
+
+def _stop_words(text: str) -> tuple[int, int]:
+    found = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in found), len(found)
+
+
+def unlisted(found: list[Block]) -> bool:
+    """Whether a page without an article is in a language whose stop words are not listed."""
+    if any(b.section for b in found):
+        return False
+    counts = [_stop_words(b.text) for b in found if not b.bad and _links(b) <= LINKS_MOST]
+    return sum(c for c, _ in counts) < STOP_LOW * max(1, sum(n for _, n in counts))
+
+
+def first_pass(b: Block, by_length: bool = False) -> bool | None:
     """True: main text; False: not; None: ambiguous."""
     if b.bad:
         return False
-    density = b.link_chars / max(1, len(b.text.replace(" ", "")))
-    if density > LINKS_MOST and (not b.section or len(b.text) < LONG and density > 0.9):
+    if _links(b) > LINKS_MOST and not b.section:
         return False
-    if len(b.text) < LONG:
+    if _length(b.text) < LONG:
         return None
-    found = _WORD.findall(b.text.lower())
-    share = sum(w in STOP_WORDS for w in found) / max(1, len(found))
+    if by_length:
+        return True
+    n, words = _stop_words(b.text)
+    share = n / max(1, words)
     if share >= STOP_HIGH:
         return True
     return False if share < STOP_LOW and not b.section else None
@@ -220,6 +277,7 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
     """Ambiguous blocks take the label of their nearest decided neighbour in their part."""
     out = [bool(x) for x in labels]
     by_part: dict[int, list[int]] = {}
+    no_article = not any(b.section for b in found)
     for i, b in enumerate(found):
         if not b.bad:
             by_part.setdefault(b.section, []).append(i)
@@ -237,7 +295,9 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
         for k, i in enumerate(places):
             if labels[i] is None:
                 (d, x), (e, y) = before[k], after[k]
-                if x is None and y is None or d == e and x is not y:
+                if x is None and y is None:
+                    out[i] = part > 0 or no_article
+                elif d == e and x is not y:
                     out[i] = part > 0
                 else:
                     out[i] = bool(y if x is None or (y is not None and e < d) else x)
@@ -248,7 +308,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    keep = second_pass(found, [first_pass(b) for b in found])
+    by_length = unlisted(found)
+    keep = second_pass(found, [first_pass(b, by_length) for b in found])
     return "\n\n".join(b.text for b, k in zip(found, keep) if k)
 
 
