@@ -173,7 +173,11 @@ def test_reports_of_any_size_have_one_shape(spark, tmp_path):
         [(s, "t", "/p", "directory", None, None, None, 0) for s in ("big", "small", "none")],
         "scan_id string, timestamp string, path string, type string, git_branch string, "
         "git_commit string, git_remote string, scan_duration_ms long")
-    R.write_rows(R.report_rows(findings, scans), str(tmp_path))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        R.write_rows(R.report_rows(findings, scans), str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     lines = R.read_rows(spark, str(tmp_path)).orderBy("scan_id", "part", "line").collect()
     texts = {}
     for r in lines:
