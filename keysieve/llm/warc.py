@@ -5,10 +5,11 @@ a ``revisit`` without payload for each later page with the same one.
 
 ``read`` cuts the files into byte ranges.  Each task looks for the magic ``WARC/1.0`` in its
 range and emits every candidate with the offset of its successor, also those inside
-payloads; a header may be of any length.  Then pointers jump: each candidate knows the first candidate of a later range that
-its chain leads to, pointers are doubled round by round, and what the file's start reaches
-is kept.  Magic inside a payload is on no such chain.  A file with another number of records
-than its table of files says is an error.
+payloads; a header may be of any length.  Then pointers jump: each candidate knows the first
+candidate of a later range that its chain leads to, pointers are doubled round by round, and
+what the file's start reaches is kept.  Magic inside a payload is on no such chain.  Payloads
+are read and hashed afterwards, of the records that are left only.  A file with another number
+of records than its table of files says is an error.
 
 A null html is an empty payload, a null url leaves out the header, a null page_id is written
 as a record without a page and read back as null; it refers to others but is only referred
@@ -33,6 +34,7 @@ from keysieve.llm.shared import new_file, open_file, raw, stored, workspace
 
 MAGIC = b"WARC/1.0\r\n"
 RANGE = 8 << 20  # bytes of a file that one task searches
+PIECE = 4 << 20  # bytes of a payload that are hashed at a time
 _AHEAD = 1 << 16  # bytes read behind a range; more, if a header is longer
 _RECORDS = ("path string, offset long, next long, page_id long, payload_bytes long, "
             "payload_digest string, record_type string, refers_to long")
@@ -148,45 +150,37 @@ def _candidates(path: str, start: int, end: int) -> list[tuple]:
                 data += file.read_at(min(len(data), size - start - len(data)), start + len(data))
             got = parse(data, at)
             if got and start + got[0] <= size:
-                nxt, fields, body = got
-                block = data[body:nxt - 4] if nxt <= len(data) else (
-                    file.read_at(nxt - 4 - body, start + body))
+                nxt = got[0]
+                # only the closing bytes are read: what stands between may be no record at all
                 tail = data[nxt - 4:nxt] if nxt <= len(data) else (
                     file.read_at(4, start + nxt - 4))
                 if tail == b"\r\n\r\n":
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    kind = fields.get("warc-type")
-                    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-                    length = len(payload)
-                    if kind == "revisit":
-                        length = _number(_fields(http), "content-length")
-                    else:
-                        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                    found.append((path, start + at, start + nxt, _number(fields, "warc-page-id"),
-                                  length, digest, kind, _number(fields, "warc-refers-to-page")))
+                    found.append((path, start + at, start + nxt))
             at = data.find(MAGIC, at + 1)
     return found
 
 
+def _tasks(files: DataFrame, size: int) -> int:
+    total = files.agg(F.sum(F.ceil(F.col("n_bytes") / size))).first()[0] or 1
+    return max(1, min(int(total), 100_000))
+
+
 def candidates(files: DataFrame, size: int = RANGE) -> DataFrame:
-    """All candidate records of the files, each with its successor's offset."""
+    """path, offset, next: all candidate records, each with its successor's offset."""
     ranges = files.where("n_bytes > 0").select("path", "n_bytes", F.explode(F.sequence(
         F.lit(0).cast("long"), F.col("n_bytes") - 1, F.lit(size).cast("long"))).alias("at"))
-    total = files.agg(F.sum(F.ceil(F.col("n_bytes") / size))).first()[0] or 1
-    names = [x.split()[0] for x in _RECORDS.split(", ")]
+    schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("next", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(x.split()[0], pa.string() if x.endswith("string") else pa.int64())
-                            for x in _RECORDS.split(", ")])
         for batch in batches:
             for path, n, at in zip(*(batch[c].to_pylist() for c in ("path", "n_bytes", "at"))):
                 rows = _candidates(path, at, min(n, at + size))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[i] for r in rows], t.type) for i, t in enumerate(schema)],
-                    names)
+                    schema.names)
 
-    return ranges.repartition(max(1, min(int(total), 100_000)), "path", "at").mapInArrow(
-        run, _RECORDS)
+    return ranges.repartition(_tasks(files, size), "path", "at").mapInArrow(
+        run, "path string, offset long, next long")
 
 
 def _exits(found: DataFrame, size: int) -> DataFrame:
@@ -246,17 +240,70 @@ def reachable(found: DataFrame, size: int = RANGE) -> DataFrame:
         walk, "path string, offset long")
 
 
+def _record(file, offset: int, nxt: int) -> tuple:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of a record.
+
+    The payload is hashed in pieces, so a task holds ``PIECE`` bytes of it at a time.
+    """
+    data, at = b"", offset
+    while (end := data.find(b"\r\n\r\n")) < 0:
+        data += file.read_at(min(max(len(data), 4096), nxt - at), at)
+        at = offset + len(data)
+    fields, body, stop = _fields(data[:end]), offset + end + 4, nxt - 4
+    http = data[end + 4:max(end + 4, stop - offset)]
+    at = body + len(http)
+    while (cut := http.find(b"\r\n\r\n")) < 0 and at < stop:
+        http += file.read_at(min(max(len(http), 4096), stop - at), at)
+        at = body + len(http)
+    start = body + cut + 4 if cut >= 0 else stop  # a block without that line is all header
+    kind = fields.get("warc-type")
+    if kind == "revisit":
+        length = _number(_fields(http[:cut] if cut >= 0 else http), "content-length")
+        digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    else:
+        length, sha = stop - start, hashlib.sha1()
+        for lo in range(start, stop, PIECE):
+            sha.update(file.read_at(min(PIECE, stop - lo), lo))
+        digest = base64.b32encode(sha.digest()).decode()
+    return (_number(fields, "warc-page-id"), length, digest, kind,
+            _number(fields, "warc-refers-to-page"))
+
+
+def details(chain: DataFrame, tasks: int, size: int = RANGE) -> DataFrame:
+    """What the records (path, offset, next) hold; the records of a range in one task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(x.split()[0], pa.string() if x.endswith("string") else pa.int64())
+                            for x in _RECORDS.split(", ")])
+        for batch in batches:
+            rows, name, file = [], None, None
+            for path, offset, nxt in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if path != name:
+                    if file is not None:
+                        file.close()
+                    name, file = path, open_file(path)
+                rows.append((path, offset, nxt, *_record(file, offset, nxt)))
+            if file is not None:
+                file.close()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)],
+                schema.names)
+
+    dealt = chain.withColumn("r", F.floor(F.col("offset") / size)).repartition(
+        tasks, "path", "r").sortWithinPartitions("path", "offset").drop("r")
+    return dealt.select("path", "offset", "next").mapInArrow(run, _RECORDS)
+
+
 def read(files: DataFrame, size: int = RANGE) -> DataFrame:
     """The records of the files in a table of files, one row per record.
 
     page_id, payload_bytes, payload_digest, record_type, refers_to, path, offset.
     """
     found = stored(candidates(files, size), "candidates")
-    chain = stored(reachable(found, size), "chain")
+    chain = stored(found.join(reachable(found, size), ["path", "offset"], "left_semi"), "chain")
     lost = files.join(chain.groupBy("path").agg(F.count("*").alias("n_")), "path", "left").where(
         F.coalesce("n_", F.lit(0)) != F.col("n_records")).first()
     if lost:
         raise ValueError(f"{lost.path}: {lost.n_ or 0} of {lost.n_records} records can be read")
-    return found.join(chain, ["path", "offset"], "left_semi").select(
+    return details(chain, _tasks(files, size), size).drop("next").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "path",
         "offset")

@@ -530,3 +530,18 @@ def test_languages_reject_what_is_like_none(spark):
     short = [(6000, "qqq", None)]
     df = spark.createDataFrame(rows + noise + short, "doc_id long, text string, lang string")
     assert {r.doc_id for r in langid.keep_known(df).collect()} == {r[0] for r in rows + short}
+
+
+def test_warc_reads_no_payload_of_a_false_record(spark, monkeypatch):
+    """Magic in a payload that claims all that follows, closed as a record should be."""
+    claim = ("x\r\n\r\nWARC/1.0\r\nContent-Length: %d\r\n\r\n" + "y" * 5000 + "\r\n\r\nend")
+    rows = [(i, "u", claim % n, "t") for i, n in enumerate((5000, 4000, 10 ** 17, 0))]
+    rows += [(10, "u", "z" * 20_000, "t"), (11, None, "", "t"), (12, "u", None, "t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, path string")
+    files = warc.write(pages.coalesce(1))
+    for size in (300, 1 << 20):
+        found = warc.candidates(files, size)
+        assert found.columns == ["path", "offset", "next"] and found.count() > len(rows)
+        got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.read(files, size).collect()}
+        assert got == {i: (len(h or ""), base64.b32encode(hashlib.sha1((h or "").encode()).digest())
+                           .decode()) for i, _, h, _ in rows}
