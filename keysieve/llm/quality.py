@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from keysieve.llm.shared import chunks, raw, stored
 
@@ -171,19 +172,19 @@ def isotonic(count: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.array(edges), np.repeat([p[0] / p[1] for p in pools], 2)
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the statistics of all documents it was fitted on a part of."""
-    known = stored(described(docs), "statistics")
+def trained(known: DataFrame, labels: DataFrame) -> Model:
+    """The model fitted on the labelled rows of a table (doc_id, statistics)."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"),
                           F.col("quality").cast("int").alias("label")).where(
         "label in (0, 1)")
     rows = known.where(~held_out()).join(marks, "doc_id").select("statistics", "label")
-    return fit(stored(rows, "labelled")), known
+    return fit(stored(rows, "labelled"))
 
 
 def score(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    model, known = trained(docs, labels)
+    known = stored(described(docs), "statistics")
+    model = trained(known, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,16 +198,31 @@ def score(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The documents, all columns, whose score reaches ``cut``."""
-    model, _ = trained(docs, labels)
-    return docs.mapInArrow(_filter(model, docs.columns.index("text"), cut), docs.schema)
+    """The documents, all columns, whose score reaches ``cut``.
 
+    Texts are described once: the statistics stand beside the documents until they are judged.
+    """
+    own = "statistics"
+    while own in docs.columns:
+        own += "_"
+    names = docs.columns
+    at = names.index("text")
 
-def _filter(model: Model, at: int, cut: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            x = np.stack([statistics(t) for t in raw(batch.column(at))]) if batch.num_rows else (
-                np.zeros((0, STATISTICS)))
-            yield batch.filter(pa.array(model.score(x) >= cut))
+            found = pa.array([statistics(t).tobytes() for t in raw(batch.column(at))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*names, own])
+
+    known = stored(docs.mapInArrow(describe, StructType(
+        [*docs.schema.fields, StructField(own, BinaryType())])), "described")
+    model = trained(known.select(F.col("doc_id").cast("long").alias("doc_id"),
+                                 F.col(own).alias("statistics")), labels)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *columns, found = batch.columns
+            x = np.frombuffer(b"".join(found.to_pylist())).reshape(-1, STATISTICS)
+            yield pa.RecordBatch.from_arrays(columns, names).filter(
+                pa.array(model.score(x) >= cut))
 
-    return run
+    return known.mapInArrow(judge, docs.schema)

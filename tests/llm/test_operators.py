@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keysieve.llm import (
     decontaminate, embedding_dedup, hmm, html_text, hyperminhash, langid, packing, pfor, quality,
@@ -545,3 +546,79 @@ def test_warc_reads_no_payload_of_a_false_record(spark, monkeypatch):
         got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.read(files, size).collect()}
         assert got == {i: (len(h or ""), base64.b32encode(hashlib.sha1((h or "").encode()).digest())
                            .decode()) for i, _, h, _ in rows}
+
+
+def test_quality_equals_explicit_equations(spark):
+    """Normal equations of all labelled rows at once, pooled by repeated passes."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randrange(5, 60)) if i % 3 else "### $$$ " * rng.randrange(1, 9)
+             + prose(rng, rng.randrange(9))) for i in range(120)] + [(500, ""), (501, None)]
+    labels = [(i, int(i % 3 > 0) if rng.random() > .1 else 1) for i in range(0, 120, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in quality.score(docs, spark.createDataFrame(
+        labels, "doc_id long, quality int")).collect()}
+    texts = dict(rows)
+    train = [(d, y) for d, y in labels if zlib.crc32(str(d).encode()) % 4 != 2]
+    x = np.stack([quality.statistics((texts[d] or "").encode()) for d, _ in train])
+    y = np.array([y for _, y in train], float)
+    draw = np.random.default_rng(11)
+    turns = draw.normal(0, 1, (quality.STATISTICS, quality.FOURIER)) / (
+        quality.WIDTH * np.sqrt(quality.STATISTICS) / 2)
+    shifts = draw.uniform(0, 2 * np.pi, quality.FOURIER)
+    scale = x.std(0)
+    scale[scale < 1e-5] = 1
+
+    def features(x):
+        z = np.clip((x - x_mean) / scale, -8, 8)
+        return np.hstack([np.ones((len(x), 1)), z,
+                          np.cos(z @ turns + shifts) * np.sqrt(2 / quality.FOURIER)])
+
+    x_mean = x.mean(0)
+    f = features(x)
+    ridge = np.eye(f.shape[1]) * quality.RIDGE
+    ridge[0, 0] = 0
+    weights = np.linalg.solve(f.T @ f + ridge, f.T @ y)
+    at = np.clip(((f @ weights + .5) * quality.BINS / 2).astype(int), 0, quality.BINS - 1)
+    order = sorted(set(at.tolist()))
+    pools = [[b, b, y[at == b].sum(), (at == b).sum()] for b in order]
+    while any(a[2] * b[3] >= b[2] * a[3] for a, b in zip(pools, pools[1:])):
+        i = next(i for i, (a, b) in enumerate(zip(pools, pools[1:])) if a[2] * b[3] >= b[2] * a[3])
+        a, b = pools[i], pools.pop(i + 1)
+        pools[i] = [a[0], b[1], a[2] + b[2], a[3] + b[3]]
+    edges = [e * 2 / quality.BINS - .5 for p in pools for e in (p[0], p[1] + 1)]
+    values = [p[2] / p[3] for p in pools for _ in (0, 1)]
+    for d, t in rows:
+        raw = features(quality.statistics((t or "").encode())[None]) @ weights
+        want = float(np.interp(raw, edges, values)[0])
+        assert abs(got[d].score - want) < 0.02, (d, got[d].score, want)
+    kept = quality.keep_good(docs.withColumn("statistics", F.lit("own")), spark.createDataFrame(
+        labels, "doc_id long, quality int"))
+    assert kept.columns == ["doc_id", "text", "statistics"]
+    assert {r.doc_id for r in kept.collect()} == {d for d, r in got.items() if r.predicted}
+
+
+def test_languages_equal_explicit_bundles(spark):
+    """Bundles of the n-gram vectors of whole texts, and their cosines with the prototypes."""
+    rng = random.Random(13)
+    sounds = {"aa": ["the", "thing", "with"], "bb": ["être", "queux", "leau"], "cc": ["und", "keit"]}
+    rows = [(i, " ".join(rng.choice(sounds[k]) + rng.choice(["", "s"]) for _ in range(30)), k)
+            for i in range(60) for k in [rng.choice(list(sounds))]]
+    rows += [(90, "the the the", None), (91, "x", None), (92, rows[0][1] * 40, None)]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(
+        rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+
+    def bundle(text):
+        return langid.gram_vectors(langid.grams(text)).astype(float).sum(0)
+
+    prototypes = {}
+    for d, t, k in rows:
+        if k and zlib.crc32(str(d).encode()) % 3 != 1:
+            prototypes[k] = prototypes.get(k, 0) + bundle(t)
+    errors = []
+    for d, t, _ in rows:
+        b = bundle(t)
+        cosines = {k: b @ p / np.linalg.norm(b) / np.linalg.norm(p) for k, p in prototypes.items()}
+        best = max(cosines, key=cosines.get)
+        assert got[d].lang_pred == best
+        errors.append(abs(got[d].score - max(0, cosines[best])))
+    assert max(errors) < 0.1 and np.mean(errors) < 0.03
