@@ -17,7 +17,7 @@ from keysieve.sources.reports import parse_scanner_json, parse_scanner_text
 from keysieve.sources.rules import Rule, RuleSet, load_rules
 from keysieve.workspace import workspace
 from registry import detection_sql as D
-from registry.base import Tables, query
+from registry.base import ORACLES, Tables, query
 from registry.tables import with_clause as w
 
 OUT = ["repo", "path", "line", "column", "pos", "rule_id", "rule_name", "matched", "secret"]
@@ -187,7 +187,16 @@ def leak_gate_by_repo(t: Tables):
     FROM (SELECT source, coalesce(text, '') AS text FROM documents) GROUP BY 1""")
 def file_tree(t: Tables):
     """The documents as a tree of files, read back; what lies in skipped folders stays unread."""
-    root = workspace(t.spark, "tree")
+    return _tree(t, workspace(t.spark, "tree"))
+
+
+@query(ORACLES["file_tree"])
+def hidden_root_tree(t: Tables):
+    """The same below a hidden folder: only folders below the root are tested."""
+    return _tree(t, workspace(t.spark, "tree") + "/.hidden/node_modules/root")
+
+
+def _tree(t: Tables, root: str):
     docs = t["documents"].select(F.coalesce("source", F.lit("none")).alias("repo"),
                                  F.coalesce("text", F.lit("")).alias("text"))
     for folder in ("src", "node_modules", "src/.cache"):
