@@ -14,8 +14,9 @@ vectors is many even tiles.  Vectors travel in the precision they came in.  A ti
 number of links per vector and a spanning forest of them, never the pairs.
 
 Null, zero and non-finite vectors and rows without label link with nothing.  Rows repeated
-under one vec_id with the same label and vector count as one vector.  Vectors of different
-lengths never link.  A null vec_id is kept with no links.
+under one vec_id with the same label and vector count as one vector; of a vec_id with several
+vectors or labels each row reports the links of its own one, and all of them are in one
+component.  Vectors of different lengths never link.  A null vec_id is kept with no links.
 """
 
 from __future__ import annotations
@@ -87,6 +88,16 @@ def near_copies(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE) -
         F.min("vec_id").alias("rep"), F.count("*").alias("copies"),
         F.any_value("r").alias("r")).select("label", "digest", "rep", "copies", "r.*"),
         "classes")
+    # A class goes by its smallest vec_id; if several do by the same one, by a negative digest.
+    shared = stored(classes.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select(
+        "rep", F.lit(True).alias("shared")), "shared")
+    odd = not shared.isEmpty()
+    classes = classes.withColumn("first_id", F.col("rep"))
+    if odd:
+        classes = stored(classes.join(shared, "rep", "left").withColumn("rep", F.when(
+            F.col("shared"), F.xxhash64("label", "digest").bitwiseOR(F.lit(-1 << 63))).otherwise(
+            F.col("rep"))).drop("shared"), "classes")
+    names = classes.select("label", "digest", "rep", "first_id", "copies")
     n = F.count("*")
     side = F.greatest(F.lit(tile), F.least(F.lit(max(tile, TILE_MOST)), n / BLOCKS))
     blocks = classes.groupBy("label").agg(F.ceil(n / side).cast("int").alias("n_"))
@@ -104,11 +115,22 @@ def near_copies(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE) -
         compare, "a long, b long, n long"), "links")
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(
         F.sum("n").alias("n_"))
-    named = components(found.where("b is not null").select("a", "b"))
-    known = classes.select("label", "digest", "rep", "copies").join(counts, "rep", "left").join(
-        named.withColumnRenamed("node", "rep"), "rep", "left").select(
+    links = found.where("b is not null").select("a", "b")
+    if odd:
+        ids = names.where("rep <> first_id").select("rep", "first_id")
+        for end in ("a", "b"):
+            links = links.join(ids.withColumnRenamed("rep", end), end, "left").withColumn(
+                end, F.coalesce("first_id", end)).drop("first_id")
+    # the vectors of one vec_id belong together
+    several = stored(once.groupBy("vec_id").agg(F.count("*").alias("n")).where(
+        "n > 1 and vec_id is not null").select("vec_id"), "several")
+    more = once.select("vec_id", "label", "digest").join(several, "vec_id", "left_semi").join(
+        names, ["label", "digest"]).select(F.col("vec_id").alias("a"), F.col("first_id").alias("b"))
+    named = components(links.select("a", "b").union(more))
+    known = names.join(counts, "rep", "left").join(
+        named.withColumnRenamed("node", "first_id"), "first_id", "left").select(
         "label", "digest", (F.coalesce("n_", F.lit(0)) + F.col("copies") - 1).alias("links_"),
-        F.coalesce("component", "rep").alias("component_"))
+        F.coalesce("component", "first_id").alias("component_"))
     out = rows.select("vec_id", "label", "digest").join(known, ["label", "digest"], "left")
     return out.select(
         "vec_id", F.coalesce("links_", F.lit(0)).cast("long").alias("n_links"),

@@ -622,3 +622,21 @@ def test_languages_equal_explicit_bundles(spark):
         assert got[d].lang_pred == best
         errors.append(abs(got[d].score - max(0, cosines[best])))
     assert max(errors) < 0.1 and np.mean(errors) < 0.03
+
+
+def test_embeddings_of_several_vectors_under_one_id(spark):
+    """Each row reports its own links; the vectors of an id are in one component."""
+    rng = np.random.default_rng(21)
+    base = {k: rng.normal(size=16) for k in "abc"}
+
+    def near(k, i):
+        return (base[k] + 0.01 * rng.normal(size=16) * i).tolist()
+
+    rows = [(1, near("a", 0), 0), (1, near("b", 0), 0), (2, near("a", 1), 0), (3, near("b", 1), 0),
+            (4, near("c", 0), 0), (5, near("c", 1), 1), (6, near("a", 1), 1)]
+    schema = "vec_id long, embedding array<double>, label int, rep long, first_id long"
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame([(*r, 7, 8) for r in order], schema)
+        got = sorted(map(tuple, embedding_dedup.near_copies(df).collect()))
+        assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False),
+                       (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True)]
