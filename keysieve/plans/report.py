@@ -7,6 +7,8 @@ of the findings is reduced in each task before anything is shuffled.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -108,11 +110,27 @@ def _with_clean(items: DataFrame, scans: DataFrame | None, by: list[str]) -> Dat
         F.array().cast(items.schema["items"].dataType).alias("items")))
 
 
+def _json_item() -> Column:
+    return F.struct("rule_id", "rule_name", F.col("path").alias("file"), "line", "column",
+                    "secret", "context")
+
+
+def _sarif_item() -> Column:
+    place = F.struct(
+        F.struct(F.col("path").alias("uri")).alias("artifactLocation"),
+        F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn")
+                 ).alias("region"))
+    return F.struct(
+        F.col("rule_id").alias("ruleId"), F.lit("error").alias("level"),
+        F.struct(F.concat(F.lit("Potential "), "rule_name", F.lit(" detected")).alias("text")
+                 ).alias("message"),
+        F.array(F.struct(place.alias("physicalLocation"))).alias("locations"))
+
+
 def json_documents(findings: DataFrame, by: list[str], at_most: int = 10_000,
                    scans: DataFrame | None = None) -> DataFrame:
     """One JSON document of findings per scan; of all ``scans``, if given."""
-    item = F.struct("rule_id", "rule_name", F.col("path").alias("file"), "line", "column",
-                    "secret", "context")
+    item = _json_item()
     doc = F.struct(F.lit("1.0").alias("version"), F.lit(SCANNER).alias("scanner"),
                    F.col("items").alias("findings"))
     return _with_clean(_document(findings, by, item, at_most), scans, by).select(
@@ -122,21 +140,12 @@ def json_documents(findings: DataFrame, by: list[str], at_most: int = 10_000,
 def sarif_documents(findings: DataFrame, by: list[str], at_most: int = 10_000,
                     scans: DataFrame | None = None) -> DataFrame:
     """One SARIF 2.1.0 log per scan; of all ``scans``, if given."""
-    place = F.struct(
-        F.struct(F.col("path").alias("uri")).alias("artifactLocation"),
-        F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn")
-                 ).alias("region"))
-    item = F.struct(
-        F.col("rule_id").alias("ruleId"), F.lit("error").alias("level"),
-        F.struct(F.concat(F.lit("Potential "), "rule_name", F.lit(" detected")).alias("text")
-                 ).alias("message"),
-        F.array(F.struct(place.alias("physicalLocation"))).alias("locations"))
     driver = F.struct(F.lit(SCANNER).alias("name"), F.lit(VERSION).alias("version"),
                       F.array().cast("array<string>").alias("rules"))
     run = F.struct(F.struct(driver.alias("driver")).alias("tool"), F.col("items").alias("results"))
     doc = F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"),
                    F.array(run).alias("runs"))
-    return _with_clean(_document(findings, by, item, at_most), scans, by).select(
+    return _with_clean(_document(findings, by, _sarif_item(), at_most), scans, by).select(
         *by, "part", "parts", F.to_json(doc).alias("document"))
 
 
@@ -231,6 +240,38 @@ TAIL = 1 << 62  # behind every item
 _NULLS = {"ignoreNullFields": "false"}
 
 
+def _rows(findings: DataFrame, by: list[str], item: Column, heads: DataFrame, tail: str,
+          options: dict) -> DataFrame:
+    """(by, nth, text): the opening texts of ``heads`` (by, text), the items, what closes them."""
+    items = numbered_findings(findings, by).select(*by, F.col("id").alias("nth"), F.concat(
+        F.when(F.col("id") > 1, ",").otherwise(""), F.to_json(item, options)).alias("text"))
+    first = heads.select(*by, F.lit(0).cast("long").alias("nth"), "text")
+    tails = heads.select(*by, F.lit(TAIL).alias("nth"), F.lit(tail).alias("text"))
+    return first.unionByName(items).unionByName(tails)
+
+
+def _of_all(findings: DataFrame, scans: DataFrame | None, by: list[str]) -> DataFrame:
+    known = findings.select(*by) if scans is None else findings.select(*by).unionByName(
+        scans.select(*by))
+    return known.distinct()
+
+
+def json_rows(findings: DataFrame, by: list[str], scans: DataFrame | None = None) -> DataFrame:
+    """``json_documents`` of any size, as rows: see ``report_rows``."""
+    head = json.dumps({"version": "1.0", "scanner": SCANNER, "findings": []})[:-2]
+    heads = _of_all(findings, scans, by).withColumn("text", F.lit(head))
+    return _rows(findings, by, _json_item(), heads, "]}", {})
+
+
+def sarif_rows(findings: DataFrame, by: list[str], scans: DataFrame | None = None) -> DataFrame:
+    """``sarif_documents`` of any size, as rows: see ``report_rows``."""
+    driver = {"name": SCANNER, "version": VERSION, "rules": []}
+    head = json.dumps({"$schema": SARIF_SCHEMA, "version": "2.1.0",
+                       "runs": [{"tool": {"driver": driver}, "results": []}]})[:-4]
+    heads = _of_all(findings, scans, by).withColumn("text", F.lit(head))
+    return _rows(findings, by, _sarif_item(), heads, "]}]}", {})
+
+
 def report_rows(findings: DataFrame, scans: DataFrame) -> DataFrame:
     """The version 2.0 reports of all scans as rows (scan_id, nth, text).
 
@@ -238,36 +279,33 @@ def report_rows(findings: DataFrame, scans: DataFrame) -> DataFrame:
     is a row, and one row closes it, whether there are none or millions of them.
     """
     by = ["scan_id"]
-    items = numbered_findings(findings, by).select("scan_id", F.col("id").alias("nth"), F.concat(
-        F.when(F.col("id") > 1, ",").otherwise(""), F.to_json(_report_item(), _NULLS)).alias("text"))
     opened = F.to_json(F.struct(*_report_head()), _NULLS)
     heads = scans.join(summaries(findings, by), by, "left").select(
-        "scan_id", F.lit(0).cast("long").alias("nth"),
-        F.concat(F.left(opened, F.length(opened) - 1), F.lit(',"findings":[')).alias("text"))
-    tails = scans.select("scan_id", F.lit(TAIL).alias("nth"), F.lit("]}").alias("text"))
-    return heads.unionByName(items).unionByName(tails)
+        "scan_id", F.concat(F.left(opened, F.length(opened) - 1), F.lit(',"findings":[')).alias(
+            "text"))
+    return _rows(findings, by, _report_item(), heads, "]}", _NULLS)
 
 
-def write_rows(rows: DataFrame, path: str) -> None:
+def write_rows(rows: DataFrame, path: str, by: tuple = ("scan_id",)) -> None:
     """Documents as sorted lines of text, and an index of them.
 
-    Files hold ranges of (scan_id, nth), so a document is a stretch of lines of one file, or of
+    Files hold ranges of (by, nth), so a document is a stretch of lines of one file, or of
     files that follow each other, and a large one is written by many tasks.  ``index`` tells of
     each document in which files (``part``) it is, from which line on, and how many lines.
     """
-    ranged = stored(rows.repartitionByRange("scan_id", "nth").withColumn(
+    ranged = stored(rows.repartitionByRange(*by, "nth").withColumn(
         "part", F.spark_partition_id()), "ranges")
-    sorted_ = ranged.repartition("part").sortWithinPartitions("part", "scan_id", "nth")
+    sorted_ = ranged.repartition("part").sortWithinPartitions("part", *by, "nth")
     sorted_.select("part", "text").write.partitionBy("part").text(f"{path}/lines")
-    here = ranged.groupBy("part", "scan_id").agg(F.count("*").alias("lines"))
-    before = F.sum("lines").over(W.partitionBy("part").orderBy("scan_id").rowsBetween(
+    here = ranged.groupBy("part", *by).agg(F.count("*").alias("lines"))
+    before = F.sum("lines").over(W.partitionBy("part").orderBy(*by).rowsBetween(
         W.unboundedPreceding, -1))
-    here.select("scan_id", "part", (F.coalesce(before, F.lit(0)) + 1).alias("line"),
+    here.select(*by, "part", (F.coalesce(before, F.lit(0)) + 1).alias("line"),
                 "lines").write.parquet(f"{path}/index")
 
 
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """scan_id, part, line, text: the lines of the documents, by the index."""
+def read_rows(spark: SparkSession, path: str, by: tuple = ("scan_id",)) -> DataFrame:
+    """(by), part, line, text: the lines of the documents, by the index."""
     lines = spark.read.text(f"{path}/lines").select(
         F.col("part").cast("int"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
@@ -280,9 +318,9 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     ranges = ranges.withColumn("base", F.coalesce(F.sum("n").over(of_part), F.lit(0))).drop("n")
     numbered_ = lines.join(ranges, ["part", "file", "start"]).select(
         "part", (F.col("base") + F.col("id") - F.col("first") + 1).alias("line"), "text")
-    index = spark.read.parquet(f"{path}/index")
-    starts = index.select("part", "line", "scan_id")
+    starts = spark.read.parquet(f"{path}/index").select(
+        "part", "line", F.struct(*by).alias("document_"))
     # each line belongs to the last document that begins in its part before it
     return numbered_.join(starts, ["part", "line"], "left").withColumn(
-        "scan_id", F.last("scan_id", ignorenulls=True).over(
-            W.partitionBy("part").orderBy("line"))).select("scan_id", "part", "line", "text")
+        "document_", F.last("document_", ignorenulls=True).over(
+            W.partitionBy("part").orderBy("line"))).select("document_.*", "part", "line", "text")

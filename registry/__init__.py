@@ -20,8 +20,8 @@ give_types({
     "sarif_clean_scans": {"results": "INT"},
     "scanner_text": {"column_number": "INT"},
     "rule_classes": {"specificity": "INT"},
-    "json_documents": {**_PLACE, "context_lines": "INT"},
-    "sarif_documents": {"startLine": "INT", "startColumn": "INT"},
+    **{name: {**_PLACE, "context_lines": "INT"} for name in ("json_documents", "json_rows")},
+    **{name: {"startLine": "INT", "startColumn": "INT"} for name in ("sarif_documents", "sarif_rows")},
     "report_document_findings": {"line": "INT", "column": "INT"},
     "report_documents": {"listed_rules": "INT", "listed": "INT"},
     "imported_scans": {"total_findings": "INT"},

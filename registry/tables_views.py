@@ -89,7 +89,10 @@ def _flat(docs, schema: str, path: str):
              AND l.path = f.path AND l.line = f.line + 1)) + CASE WHEN line > 1 THEN 1 ELSE 0 END
              AS context_lines FROM found f""")
 def json_documents(t: Tables):
-    docs = R.json_documents(_documents(t), ["scan_id"], at_most=20)
+    return _json_findings(R.json_documents(_documents(t), ["scan_id"], at_most=20))
+
+
+def _json_findings(docs):
     return _flat(docs, """struct<findings: array<struct<rule_id: string, file: string, line: int,
         column: int, secret: string, context: array<struct<line: int>>>>>""", "findings").select(
         "scan_id", "rule_id", "file", "line", "column", "secret",
@@ -101,7 +104,10 @@ def json_documents(t: Tables):
       'Potential ' || rule_name || ' detected' AS message, path AS uri, line AS "startLine",
       col0 + 1 AS "startColumn" FROM found""")
 def sarif_documents(t: Tables):
-    docs = R.sarif_documents(_documents(t), ["scan_id"])
+    return _sarif_results(R.sarif_documents(_documents(t), ["scan_id"]))
+
+
+def _sarif_results(docs):
     place = """array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>,
         region: struct<startLine: int, startColumn: int>>>>"""
     schema = f"""struct<version: string, runs: array<struct<results: array<struct<ruleId: string,
@@ -171,6 +177,29 @@ def report_rows(t: Tables):
                     F.coalesce(F.array_max("d.findings.id"), F.lit(0)).alias("last_id"))
 
 
+def _read_back(t: Tables, rows, name: str):
+    """scan_id, document: rows of documents, written, read and put together."""
+    home = workspace(t.spark, name)
+    R.write_rows(rows, home)
+    return R.read_rows(t.spark, home).groupBy("scan_id").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("part", "line", "text"))), lambda r: r["text"]), ""
+        ).alias("document"))
+
+
+@query(ORACLES["json_documents"])
+def json_rows(t: Tables):
+    """JSON documents of any size, as sorted lines."""
+    docs = _read_back(t, R.json_rows(_documents(t), ["scan_id"], _scans(t)), "json-rows")
+    return _json_findings(docs)
+
+
+@query(ORACLES["sarif_documents"])
+def sarif_rows(t: Tables):
+    """SARIF logs of any size, as sorted lines."""
+    docs = _read_back(t, R.sarif_rows(_documents(t), ["scan_id"], _scans(t)), "sarif-rows")
+    return _sarif_results(docs)
+
+
 @query(f"""{w('files')}, {D.findings_ctes('files')}
     SELECT DISTINCT repo AS scan_id, 0 AS results, '2.1.0' AS version FROM files
     WHERE repo NOT IN (SELECT repo FROM found)""")
