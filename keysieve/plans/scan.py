@@ -70,6 +70,7 @@ def scan_files(
     filter_paths: bool = True,
     keep_raw: bool = False,
     id_key: str = ID_KEY,
+    crowded: bool = False,
 ) -> DataFrame:
     """Findings of a table of files.
 
@@ -78,7 +79,9 @@ def scan_files(
     blotted out of the context lines: "own" (of the finding itself) or "all" (of every
     finding in the file).  The raw secret is dropped unless ``keep_raw`` asks for it.
     ``secret_id`` is a digest keyed with ``id_key``: set one of your own, or short secrets
-    can be looked up.
+    can be looked up.  ``crowded`` says that files may have very many findings: hiding all
+    secrets then stores the findings and brings those of such files together piece by piece,
+    where the plain plan, for files of ordinary size, has one group per file.
     """
     rules = (rules or load_rules()).subset(only, exclude)
     if filter_paths:
@@ -88,11 +91,12 @@ def scan_files(
     carry = ["around"] if context_lines > 0 else []
     found = resolve(detect(lines, rules), key, carry)
 
-    return _shown(found, key, context_lines, redacted, hide, keep_raw, id_key)
+    return _shown(found, key, context_lines, redacted, hide, keep_raw, id_key, crowded)
 
 
 def _shown(found: DataFrame, key: list[str], context_lines: int, redacted: bool = True,
-           hide: str = "all", keep_raw: bool = False, id_key: str = ID_KEY) -> DataFrame:
+           hide: str = "all", keep_raw: bool = False, id_key: str = ID_KEY,
+           crowded: bool = True) -> DataFrame:
     """Findings as they are reported: secrets redacted and hidden in the context."""
     shown = redact(F.col("secret_raw")) if redacted else F.col("secret_raw")
     found = (
@@ -105,7 +109,8 @@ def _shown(found: DataFrame, key: list[str], context_lines: int, redacted: bool
         found = found.withColumn("context", _blot(
             F.col("around"), F.col("secret_raw"), F.col("secret")))
         if redacted and hide == "all":
-            found = _blot_all(found, [c for c in key if c != "line"])
+            hidden = _blot_any if crowded else _blot_all
+            found = hidden(found, [c for c in key if c != "line"])
     out = key + ["column", "pos", "rule_id", "rule_name", "matched", "secret", "secret_id"]
     if context_lines > 0:
         out.append("context")
@@ -128,23 +133,28 @@ GRAM = 8  # characters of a secret by which it is looked up in a line
 def _blot_all(found: DataFrame, file_key: list[str]) -> DataFrame:
     """Blot out of each context all secrets found anywhere in the file, the longest first.
 
-    The findings of a file meet in one group while they are ``MANY`` at most.  In files with
-    more, secrets and context lines meet by substrings instead, so no group grows with a file.
+    One pass: the findings of a file meet once, shuffled by file.
     """
-    found = stored(found, "found")
-    crowded = stored(found.groupBy(*file_key).agg(F.count("*").alias("n_")).where(
-        F.col("n_") > MANY).select(*file_key), "crowded")
     secret = F.struct(F.length("secret_raw").alias("n"), "secret_raw", "secret")
     everywhere = F.sort_array(F.collect_set(secret).over(W.partitionBy(*file_key)), asc=False)
-    few, none = found, crowded.isEmpty()
-    if not none:
-        few = found.join(crowded, file_key, "left_anti")
-    few = few.withColumn("all_", everywhere).withColumn("context", F.transform(
+    return found.withColumn("all_", everywhere).withColumn("context", F.transform(
         "around", lambda c: F.struct(
             c["line"].alias("line"), _without(c["content"], F.col("all_")).alias("content"),
             c["is_match"].alias("is_match")))).drop("all_")
-    if none:
-        return few
+
+
+def _blot_any(found: DataFrame, file_key: list[str]) -> DataFrame:
+    """The same, however many findings a file has.
+
+    The findings of a file meet in one group while they are ``MANY`` at most.  In files with
+    more, secrets and context lines meet by substrings instead, so no group grows with a file.
+    """
+    found = stored(found, "found")
+    crowded = stored(found.groupBy(*file_key).agg(F.count("*").alias("n_")).where(
+        F.col("n_") > MANY).select(*file_key), "crowded")
+    if crowded.isEmpty():
+        return _blot_all(found, file_key)
+    few = _blot_all(found.join(crowded, file_key, "left_anti"), file_key)
     return few.unionByName(_blot_crowded(
         found.join(crowded, file_key, "left_semi"), file_key))
 
@@ -252,6 +262,6 @@ def scan_tree(spark: SparkSession, root: str, rules: RuleSet | None = None, whol
     """Findings of all files below ``root``: those of up to ``whole`` bytes in one row each,
     larger ones in byte ranges.  Both give the same findings for the same file."""
     small = scan_files(text_files(read_tree(spark, root, path_glob, up_to=whole)), rules,
-                       filter_paths=False, **options)
+                       filter_paths=False, crowded=True, **options)
     return small.withColumn("line", F.col("line").cast("long")).unionByName(
         scan_large(spark, root, rules, over=whole, path_glob=path_glob, **options))

@@ -91,7 +91,7 @@ def scan_crowded_context(t: Tables):
         F.lit("all").alias("repo"), F.concat(F.lit("part"), F.right("repo", F.lit(1))).alias("path")
     ).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "content"))),
                                    lambda x: x["content"]), "").alias("content"))
-    return scan_files(files, context_lines=1).select(
+    return scan_files(files, context_lines=1, crowded=True).select(
         "path", "line", "pos", F.explode("context").alias("c")).select(
         "path", "line", "pos", F.col("c.line").alias("nr"), "c.content")
 
