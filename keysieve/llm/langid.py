@@ -164,7 +164,7 @@ def _length_class(text: str | None) -> int:
     return len(grams(text)).bit_length()
 
 
-def least_cosines(docs: DataFrame, shared, spread: float = 1.0) -> dict[tuple[str, int], float]:
+def least_cosines(docs: DataFrame, shared, spread: float = 3.0) -> dict[tuple[str, int], float]:
     """By language and class of length, the cosine below which a text is none of it.
 
     From the training rows whose own language is the nearest: their median and their lowest
