@@ -1,20 +1,26 @@
 """Ancestors in commit graphs with merges, by pointer doubling along first parents.
 
-1. First parents make chains: a commit goes on the chain of its first parent, unless a smaller
-   commit has taken that place.  Doubled pointers give each commit its chain, its position there
-   and its depth in as many rounds as the longest chain has binary digits.
+1. First parents make chains: of the commits with one first parent, the one with the most commits
+   behind it (the smallest, if several) goes on its chain.  So a way down first parents meets a
+   new chain at most as often as the number of commits has binary digits.  Doubled pointers give
+   each commit the number of commits behind it, its chain, its position there and its depth in as
+   many rounds as the longest way has binary digits.
 2. What a tip reaches on a chain is its lower part, so a claim (chain, up to which position)
    stands for any number of commits.  Claims spread over the few edges between chains: from a
-   chain's lowest commit to its parent, and from merges to their further parents.
+   chain's lowest commit to its parent, and from merges to their further parents.  Only claims
+   that the last round brought are told on.
 3. A claim carries a label, the way that led to it: for each merge passed, its depth and the
    number of the parent taken.  Labels compare like words, and a commit takes its smallest one.
    With the commit's depth behind it, it is the commit's place: parents come before children,
    and what a merge brought in comes right before the merge.
+
+Positions of a chain meet its claims by sorting, not in pairs.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keysieve.workspace import stored
@@ -23,38 +29,78 @@ LAST = (1 << 31) - 1  # behind every number of a parent
 ROUNDS = 40  # of doubling: no chain has 2^40 commits
 
 
+def _doubled(state: DataFrame, step) -> DataFrame:
+    """``state`` after ``step`` has followed its pointers ``up`` until all are at their ends."""
+    for _ in range(ROUNDS):
+        state = stored(state, "pointers")
+        if state.where("up is not null").isEmpty():
+            return state.drop("up")
+        state = step(state)
+    raise ValueError("the parents of some commits form a circle")
+
+
+def _behind(state: DataFrame) -> DataFrame:
+    """One round: depth below, and ``size``, the commits above that the pointers passed."""
+    at = state.select("repo", F.col("commit").alias("up"), F.col("up").alias("up_"),
+                      F.col("depth").alias("depth_"))
+    told = state.where("up is not null").groupBy("repo", F.col("up").alias("commit")).agg(
+        F.sum("size").alias("size_"))
+    return state.join(at, ["repo", "up"], "left").join(told, ["repo", "commit"], "left").select(
+        "repo", "commit", F.col("up_").alias("up"),
+        (F.col("depth") + F.coalesce("depth_", F.lit(0))).alias("depth"),
+        (F.col("size") + F.coalesce("size_", F.lit(0))).alias("size"))
+
+
+def _along(state: DataFrame) -> DataFrame:
+    """One round: position on the chain and its lowest commit."""
+    at = state.select("repo", F.col("commit").alias("up"), F.col("up").alias("up_"),
+                      F.col("pos").alias("pos_"), F.col("chain").alias("chain_"))
+    return state.join(at, ["repo", "up"], "left").select(
+        "repo", "commit", F.col("up_").alias("up"),
+        (F.col("pos") + F.coalesce("pos_", F.lit(0))).alias("pos"),
+        F.coalesce("chain_", "chain").alias("chain"))
+
+
 def chains(commits: DataFrame) -> DataFrame:
     """repo, commit, chain (its lowest commit), pos (0 for that), depth (first parents below)."""
     known = commits.select("repo", "commit", F.get("parents", F.lit(0)).alias("up"))
     there = commits.select("repo", F.col("commit").alias("up")).distinct()
-    up = stored(known.join(there, ["repo", "up"]).select("repo", "commit", "up"), "parents")
-    # of the children of a commit, one goes on its chain
-    along = up.groupBy("repo", "up").agg(F.min("commit").alias("commit")).withColumn(
-        "same", F.lit(True))
-    step = commits.select("repo", "commit").distinct().join(up, ["repo", "commit"], "left").join(
-        along, ["repo", "up", "commit"], "left")
-    # root/depth follow first parents; chain/pos stop where the chain does
-    state = step.select(
+    up = known.join(there, ["repo", "up"]).select("repo", "commit", "up")
+    step = stored(commits.select("repo", "commit").distinct().join(
+        up, ["repo", "commit"], "left"), "parents")
+    deep = stored(_doubled(step.select(
         "repo", "commit", "up", F.col("up").isNotNull().cast("long").alias("depth"),
-        F.when(F.col("same"), F.col("up")).alias("low"),
-        F.when(F.col("same"), 1).otherwise(0).cast("long").alias("pos"),
-        F.when(F.col("same"), F.col("up")).otherwise(F.col("commit")).alias("chain"))
-    for _ in range(ROUNDS):
-        state = stored(state, "pointers")
-        if state.where("up is not null").isEmpty():
-            return state.select("repo", "commit", "chain", "pos", "depth")
-        other = state.select("repo", F.col("commit").alias("at_"), F.col("up").alias("up_"),
-                             F.col("depth").alias("depth_"), F.col("low").alias("low_"),
-                             F.col("pos").alias("pos_"), F.col("chain").alias("chain_"))
-        above = other.select("repo", F.col("at_").alias("up"), "up_", "depth_")
-        below = other.select("repo", F.col("at_").alias("low"), "low_", "pos_", "chain_")
-        state = state.join(above, ["repo", "up"], "left").join(
-            below, ["repo", "low"], "left").select(
-            "repo", "commit", F.col("up_").alias("up"),
-            (F.col("depth") + F.coalesce("depth_", F.lit(0))).alias("depth"),
-            F.col("low_").alias("low"), (F.col("pos") + F.coalesce("pos_", F.lit(0))).alias("pos"),
-            F.coalesce("chain_", "chain").alias("chain"))
-    raise ValueError("the parents of some commits form a circle")
+        F.lit(1).cast("long").alias("size")), _behind), "depths")
+    # of the children of a commit, the largest goes on its chain
+    same = step.join(deep, ["repo", "commit"]).where("up is not null").groupBy("repo", "up").agg(
+        F.min_by("commit", F.struct(-F.col("size"), "commit")).alias("commit"))
+    state = step.select("repo", "commit").join(same, ["repo", "commit"], "left").select(
+        "repo", "commit", "up", F.col("up").isNotNull().cast("long").alias("pos"),
+        F.coalesce("up", "commit").alias("chain"))
+    return _doubled(state, _along).join(deep.drop("size"), ["repo", "commit"])
+
+
+def _first_of(rows: DataFrame, place: str, claims: DataFrame) -> DataFrame:
+    """``rows`` with the smallest label of the claims of their chain that reach ``place``."""
+    columns = [F.col(c) for c in rows.columns if c not in ("repo", "chain")]
+    told = claims.select("repo", "chain", F.col("upto").alias("at_"), "label",
+                         F.lit(None).alias("row_"))
+    asked = rows.select("repo", "chain", F.col(place).alias("at_"),
+                        F.lit(None).cast("array<bigint>").alias("label"),
+                        F.struct(*columns).alias("row_"))
+    # down the chain, a claim before the rows at its end
+    down = W.partitionBy("repo", "chain").orderBy(
+        F.desc("at_"), F.col("row_").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    return told.unionByName(asked).withColumn("label", F.min("label").over(down)).where(
+        "row_ is not null and label is not null").select("repo", "chain", "label", "row_.*")
+
+
+def _unbeaten(claims: DataFrame) -> DataFrame:
+    """Without claims that reach no further than one with a smaller label."""
+    further = W.partitionBy("repo", "chain").orderBy(F.desc("upto")).rowsBetween(
+        W.unboundedPreceding, -1)
+    return claims.withColumn("least_", F.min("label").over(further)).where(
+        "least_ is null or label < least_").drop("least_")
 
 
 def lineage(commits: DataFrame, tips: DataFrame) -> DataFrame:
@@ -78,32 +124,24 @@ def lineage(commits: DataFrame, tips: DataFrame) -> DataFrame:
             F.array().cast("array<bigint>")).alias("step")), "edges")
 
     def best(claims: DataFrame) -> DataFrame:
-        return claims.groupBy("repo", "chain", "upto").agg(F.min("label").alias("label"))
+        return claims.groupBy("repo", "chain", "upto").agg(
+            F.min_by(F.struct("label", "new"), F.struct("label", "new")).alias("c")).select(
+            "repo", "chain", "upto", "c.*")
 
+    # new: brought by the last round
     claims = stored(best(tips.select("repo", "commit").join(at, ["repo", "commit"]).select(
         "repo", "chain", F.col("pos").alias("upto"),
-        F.array().cast("array<bigint>").alias("label"))), "claims")
-    before = None
+        F.array().cast("array<bigint>").alias("label"), F.lit(True).alias("new"))), "claims")
     while True:
-        mark = claims.agg(F.count("*"), F.sum(F.xxhash64(*claims.columns).cast(
-            "decimal(38,0)"))).first()
-        if mark == before:
+        fresh = claims.where("new")
+        if fresh.isEmpty():
             break
-        before = mark
-        told = edges.join(claims, ["repo", "chain"]).where("upto >= from").groupBy(
-            "repo", "chain", "from", "chain_b", "pos_b", "step").agg(F.min("label").alias("label"))
+        told = _first_of(edges, "from", fresh.drop("new"))
         new = told.select("repo", F.col("chain_b").alias("chain"), F.col("pos_b").alias("upto"),
-                          F.concat("label", "step").alias("label"))
-        claims = best(claims.union(new))
-        # a claim that reaches no further by a larger label tells nothing
-        more = claims.select("repo", "chain", F.col("upto").alias("upto_"),
-                             F.col("label").alias("label_"))
-        claims = stored(claims.join(more, ["repo", "chain"], "left").groupBy(
-            "repo", "chain", "upto", "label").agg(F.bool_or(
-                (F.col("upto_") >= F.col("upto")) & (F.col("label_") <= F.col("label"))
-                & ((F.col("upto_") > F.col("upto")) | (F.col("label_") < F.col("label")))
-            ).alias("beaten")).where("not beaten").drop("beaten"), "claims")
-    own = at.join(claims, ["repo", "chain"]).where("upto >= pos").groupBy(
-        "repo", "commit", "depth").agg(F.min("label").alias("label"))
+                          F.concat("label", "step").alias("label"), F.lit(True).alias("new"))
+        # an equal claim that was there is not new
+        claims = stored(_unbeaten(best(claims.withColumn("new", F.lit(False)).union(
+            new))), "claims")
+    own = _first_of(at, "pos", claims.drop("new"))
     return own.select("repo", "commit", F.concat("label", F.array(
         F.col("depth"), F.lit(LAST).cast("long"))).alias("place"))

@@ -58,6 +58,30 @@ def test_lineage_is_the_history_in_order(spark):
             assert got[repo, parent] < place
 
 
+def test_rounds_do_not_grow_with_the_branches(spark, monkeypatch):
+    """Forty branches, named before main's commits, that leave it and are merged one after another."""
+    from keysieve.operators import lineage
+
+    rows, last = [("r", "m000", [])], "m000"
+    for i in range(1, 41):
+        rows += [("r", f"a{i:03}", [last]), ("r", f"n{i:03}", [last]),
+                 ("r", f"o{i:03}", [f"n{i:03}"]), ("r", f"p{i:03}", [f"o{i:03}", f"a{i:03}"])]
+        last = f"p{i:03}"
+    names, plain = [], lineage.stored
+
+    def counted(df, name):
+        names.append(name)
+        return plain(df, name)
+
+    monkeypatch.setattr(lineage, "stored", counted)
+    got = V.reachable(spark.createDataFrame(rows, COMMITS), spark.createDataFrame(
+        [("r", last)], "repo string, commit string")).orderBy("place").collect()
+    # each branch comes right before its merge
+    assert [r["commit"] for r in got] == ["m000"] + [
+        f"{x}{i:03}" for i in range(1, 41) for x in "noap"]
+    assert names.count("claims") <= 5
+
+
 def test_a_circle_of_parents_is_an_error(spark, monkeypatch):
     from keysieve.operators import lineage
 
