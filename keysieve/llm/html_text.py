@@ -5,7 +5,8 @@ A page is cut into blocks at block-level tags.  The first pass looks at each blo
 * blocks inside menus, headers of the page, footers, sidebars, notices, adverts, forms and
   reader comments (told by tag or role, or by a class or id that is or ends in such a word, or
   begins with one before words for a box, unless it tells a category or a layout or stands on
-  an article; an article of class ``comment`` is one by a reader) are bad;
+  an article; an article of class ``comment`` is one by a reader) are bad; a page that has no
+  text then is read once more without names that begin with "content" (``content-sidebar``);
 * blocks mostly made of links are bad, short ones inside an article ambiguous;
 * long blocks with enough stop words are good; long ones with hardly any are bad, unless
   they stand inside an article;
@@ -98,6 +99,7 @@ _TAG = re.compile(
     r"|(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<more2>[^>]*+)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(
     r"(?<![\w-])(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_CONTENT = re.compile(r"\bcontent[-_]", re.I)
 _HREF = re.compile(r"(?<![\w-])href\s*=", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _DENSE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff66-\uff9f]")
@@ -111,16 +113,18 @@ class Block:
     section: int  # which article, 0 outside
 
 
-def _names(token: str) -> bool:
+def _names(token: str, around: bool) -> bool:
     """Whether a class or id names an unwanted element: as a whole, by its last word, or by its
-    first one if the others are words for a box."""
+    first one if the others are words for a box.  ``around``: not if it begins with "content"."""
     parts = [x for x in re.split(r"[-_]+", token) if x]
     if not parts or parts[0] in CATEGORIES or LAYOUTS & set(parts[:-1]):
         return False
+    if around and parts[0] == "content":
+        return False
     return parts[-1] in HINTS or parts[0] in HINTS and BOXES.issuperset(parts[1:])
 
 
-def _unwanted(name: str, more: str, in_article: bool) -> bool:
+def _unwanted(name: str, more: str, in_article: bool, around: bool) -> bool:
     """Whether an element holds no main text, by its tag and attributes."""
     if name in BOILERPLATE or (name == "header" and not in_article):
         return True
@@ -135,14 +139,14 @@ def _unwanted(name: str, more: str, in_article: bool) -> bool:
             return True
         if kind in ("class", "id"):
             tokens = value.split()
-            if name != "article" and any(map(_names, tokens)):
+            if name != "article" and any(_names(x, around) for x in tokens):
                 return True
             if name == "article" and not READERS.isdisjoint(tokens):
                 return True
     return False
 
 
-def blocks(page: str) -> list[Block]:
+def blocks(page: str, around: bool = False) -> list[Block]:
     """The blocks of a page with what the first pass needs to know of them."""
     out: list[Block] = []
     parts: list[str] = []
@@ -220,7 +224,7 @@ def blocks(page: str) -> list[Block]:
             if name in ("p", "li", "td", "tr"):  # opening one closes the one before
                 while stack and stack[-1][0] == name:
                     close()
-            unwanted = _unwanted(name, more, articles > 0)
+            unwanted = _unwanted(name, more, articles > 0, around)
             article = name in SECTIONS and not unwanted
             if article and not articles:
                 sections += 1
@@ -307,7 +311,12 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = blocks(page)
+    text = _main_text(blocks(page))
+    # "content-sidebar" is a sidebar of the content, or a layout with both: then all stands in it
+    return text or (_main_text(blocks(page, around=True)) if _CONTENT.search(page) else "")
+
+
+def _main_text(found: list[Block]) -> str:
     by_length = unlisted(found)
     keep = second_pass(found, [first_pass(b, by_length) for b in found])
     return "\n\n".join(b.text for b, k in zip(found, keep) if k)

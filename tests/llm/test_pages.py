@@ -28,6 +28,8 @@ CHINESE = "这是一个很长的中文段落，" * 12
     *[(f"<div><p>{LONG}</p></div><div class='{c}'><p>{LONG}bad</p></div>", L)
       for c in ("sidebar-left", "comment-list", "comments-area", "ad-container", "cookie-bar",
                 "footer-inner", "content-sidebar")],
+    (f"<div class='content-sidebar'><div><p>{LONG}</p></div><div class='sidebar'><p>{LONG}bad</p></div>"
+     "</div>", L),
     (f"<article><p>{LONG}</p></article><article class='comment'><p>{LONG}bad</p></article>", L),
     *[(f"<div class='{c}'><p>{LONG}</p></div>", L)
       for c in ("post category-social", "hentry tag-cookies", "main with-sidebar",
