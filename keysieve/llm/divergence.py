@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keysieve.llm.shared import chunks, raw, stored
+from keysieve.llm.shared import chunks, no_cycles, raw, stored
 
 BLOCK = 1_000_000  # postings of a block; some 150 MB
 SHARD_BYTES = 16 << 20  # of text, per shard
@@ -103,7 +103,8 @@ def runs(docs: DataFrame, shards: int, block_size: int = BLOCK) -> DataFrame:
         block: dict = {}
 
         def spilled():
-            rows = list(_spill(block, shards))
+            with no_cycles():
+                rows = list(_spill(block, shards))
             return pa.RecordBatch.from_arrays(
                 [pa.array([s for s, _ in rows], pa.int32()),
                  pa.array([r for _, r in rows], pa.binary())], ["shard", "run"])
@@ -170,7 +171,8 @@ def frequencies(docs: DataFrame, least: int = 10, block_size: int = BLOCK,
     shards = min(max(64, size // shard_bytes), 100_000)
 
     def merged(t: pa.Table) -> pa.Table:
-        return merge(t, least)
+        with no_cycles():
+            return merge(t, least)
 
     return runs(docs, shards, block_size).groupBy("shard").applyInArrow(
         merged, "lang string, term string, total long, sources array<string>, counts array<long>")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -100,5 +102,17 @@ def chunks(batches: Iterable[pa.RecordBatch], most: int = 1000) -> Iterator[pa.R
             yield batch.slice(i, most)
 
 
+@contextmanager
+def no_cycles():
+    """For code that makes very many lists and no cycles: Python does not search them for any."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -241,3 +241,18 @@ def test_multikey_quicksort():
     order = suffix_dedup.multikey_quicksort(words)
     got = np.stack([w[order] for w in words], 1).tolist()
     assert got == sorted(np.stack(words, 1).tolist()) and sorted(order) == list(range(20_000))
+
+
+def test_no_cycles_are_searched_while_runs_are_merged(monkeypatch):
+    import gc
+
+    from keysieve.llm.shared import no_cycles
+
+    assert gc.isenabled()
+    try:
+        with no_cycles():
+            assert not gc.isenabled()
+            raise KeyError
+    except KeyError:
+        pass
+    assert gc.isenabled()
