@@ -43,7 +43,7 @@ GRAM = 12
 RANGE = 100_000  # suffixes of a range
 LEAST_RANGES, MOST_RANGES = 64, 1_000_000
 STRETCH, RATE, STRETCHES = 4096, 1000, 400
-SEGMENT, FLUSH, STEP = 4 << 20, 12 << 20, 1 << 18
+SEGMENT, FLUSH, STEP = 4 << 20, 8 << 20, 1 << 18
 CUTOFF = 4096  # pieces that quicksort leaves to a plain sort
 _U = np.uint64
 _SIGN = _U(1 << 63)

@@ -256,3 +256,14 @@ def test_no_cycles_are_searched_while_runs_are_merged(monkeypatch):
     except KeyError:
         pass
     assert gc.isenabled()
+
+
+def test_suffixes_of_few_bytes_are_held_at_a_time(monkeypatch):
+    from keysieve.llm import suffix_dedup as S
+
+    flushed = []
+    monkeypatch.setattr(S._Suffixes, "flush", lambda self: iter([flushed.append(self.size), self.clear()]))
+    held = S._Suffixes(50, None)
+    for i in range(40):
+        list(held.add(i, 0, bytes(1 << 20)))
+    assert len(flushed) == 5 and max(flushed) <= 9 << 20
