@@ -208,3 +208,21 @@ def test_an_import_that_is_repeated_counts_once(spark, tmp_path):
         want = view(scans, findings)
         assert sorted(map(str, fold(states).select(want.columns).collect())) == sorted(
             map(str, want.collect()))
+
+
+def test_an_import_reads_its_findings_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(rule):
+        read.add(1)
+        return rule
+
+    scans = spark.sql("SELECT 's' || id AS scan_id, timestamp'2024-01-01' AS timestamp, '/p' AS target_path, "
+                      "null AS git_remote, 'main' AS git_branch, 2 AS total_findings FROM range(9)")
+    findings = spark.range(40).select(
+        F.expr("'s' || id % 9").alias("scan_id"), seen(F.expr("'rule' || id % 4")).alias("rule_id"),
+        F.lit("Rule").alias("rule_name"), F.lit("active").alias("verification_status"))
+    W.add_import(scans, findings, str(tmp_path), 0)
+    assert read.value == 40
+    assert spark.read.parquet(f"{tmp_path}/day_rules").count() == 4
