@@ -44,3 +44,22 @@ def test_stages(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     sizes = pieces.groupby("doc_id")["length"].sum().to_dict()
     assert sizes == {d: len(ids_of("word_bpe_49k.json", t, 1)) for d, t in left.items()}
+
+
+def test_texts_go_to_python_in_small_batches(spark, tmp_path):
+    import pyarrow as pa
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(0, 5000, 1, 1).selectExpr(
+        "id AS doc_id", "'some words of a text ' || id AS text", "'en' AS lang", "'s' AS source", "20 AS n_chars")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    try:
+        corpus_pipeline.known_language(spark, docs, str(tmp_path))
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) <= 1000
+    finally:
+        spark.conf.set(name, before)
