@@ -79,11 +79,10 @@ class Sequences:
         sizes = np.array([len(found[i]) for i in self.order])
         self.active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), "right")
         self.first = np.concatenate([[0], np.cumsum(self.active)])
-        self.rank = np.repeat(np.arange(len(sizes)), sizes)
-        self.time = np.arange(len(self.rank)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.place = self.first[self.time] + self.rank
-        self.obs = np.empty(len(self.rank), np.int64)
-        self.obs[self.place] = np.concatenate([found[i] for i in self.order])
+        rank = np.repeat(np.arange(len(sizes)), sizes)
+        time = np.arange(len(rank)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.obs = np.empty(len(rank), np.int64)
+        self.obs[self.first[time] + rank] = np.concatenate([found[i] for i in self.order])
 
 
 class Model:
@@ -95,40 +94,45 @@ class Model:
         """Natural logarithm of each sequence's probability, in the layout's order; with
         ``keep`` also the scaled forward rows, the emissions and the scales."""
         b = self.emits[s.obs]
-        scales = np.empty(len(s.obs), np.float64)
+        scales = np.empty(len(s.obs), np.float32)
         rows = np.empty_like(b) if keep else None
+        ones = np.ones(len(self.start), np.float32)
         a = None
-        for t, n in enumerate(s.active):
-            at = s.first[t]
-            a = (self.start if a is None else a[:n] @ self.moves) * b[at:at + n]
-            c = a.sum(1)
-            a /= c[:, None]
-            scales[at:at + n] = c
-            if keep:
-                rows[at:at + n] = a
-        score = np.bincount(s.rank, np.log(scales)[s.place], len(s.order))
+        for at, n in zip(s.first.tolist(), s.active.tolist()):
+            # a step is a few calls on rows that stand next to each other, without copies
+            here = b[at:at + n]
+            into = rows[at:at + n] if keep else here
+            if a is None:
+                np.multiply(self.start, here, out=into)
+            else:
+                np.multiply(a[:n] @ self.moves, here, out=into)
+            c = np.matmul(into, ones, out=scales[at:at + n])
+            into /= c[:, None]
+            a = into
+        # places are in the order of time, so their sequences are counted up in each step
+        rank = np.arange(len(s.obs)) - np.repeat(s.first[:-1], s.active)
+        score = np.bincount(rank, np.log(scales.astype(np.float64)), len(s.order))
         return (score, rows, b, scales) if keep else score
 
     def expected(self, s: Sequences):
         """Expected starts, moves and emissions of the sequences, and their log-likelihood."""
         score, alpha, b, scales = self.forward(s, keep=True)
         beta = np.ones_like(b)
-        ahead = b / scales[:, None].astype(np.float32)
+        ahead = b / scales[:, None]
         back = np.ascontiguousarray(self.moves.T)
-        for t in range(len(s.active) - 2, -1, -1):
-            n, at, nxt = s.active[t + 1], s.first[t], s.first[t + 1]
-            ahead[nxt:nxt + n] *= beta[nxt:nxt + n]
-            beta[at:at + n] = ahead[nxt:nxt + n] @ back
-        later = np.flatnonzero(s.time > 0)
-        now = s.place[later]
-        before = s.first[s.time[later] - 1] + s.rank[later]
-        moves = self.moves * (alpha[before].T @ ahead[now])
-        gamma = alpha * beta
-        by_class = np.argsort(s.obs.astype(np.uint16), kind="stable")
-        cut = np.flatnonzero(np.diff(s.obs[by_class], prepend=-1))
-        emits = np.zeros((gamma.shape[1], CLASSES))
-        emits[:, s.obs[by_class[cut]]] = np.add.reduceat(
-            gamma[by_class], cut, axis=0, dtype=np.float64).T
+        first, active = s.first.tolist(), s.active.tolist()
+        for t in range(len(active) - 2, -1, -1):
+            n, at, nxt = active[t + 1], first[t], first[t + 1]
+            x = ahead[nxt:nxt + n]
+            x *= beta[nxt:nxt + n]
+            np.matmul(x, back, out=beta[at:at + n])
+        # a token's predecessor stands as many places before it as that step has tokens
+        later = first[1]
+        before = np.arange(later, len(s.obs)) - np.repeat(s.active[:-1], s.active[1:])
+        moves = self.moves * (alpha[before].T @ ahead[later:])
+        gamma = np.multiply(alpha, beta, out=beta)
+        emits = np.stack([np.bincount(s.obs, gamma[:, k], CLASSES)
+                          for k in range(gamma.shape[1])])
         return gamma[:s.active[0]].sum(0), moves, emits, score.sum()
 
 

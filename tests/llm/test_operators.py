@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -486,6 +487,25 @@ def test_hmm_expectations_equal_all_state_paths():
         assert np.allclose(mine, want, rtol=1e-4, atol=1e-5)
 
 
+def test_hmm_statistics_copy_no_rows():
+    rng = np.random.default_rng(3)
+    model = hmm._first_model(rng.random(hmm.CLASSES), 8)
+    seqs = hmm.Sequences([rng.integers(0, hmm.CLASSES, n) for n in [1] * 50 + [400] * 500])
+    tracemalloc.start()
+    try:
+        start, moves, emits, _ = model.expected(seqs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # four tables of eight single-precision states, one of predecessors, and indexes
+    assert peak < 200 * len(seqs.obs)
+    assert np.isclose(start.sum(), 550, rtol=1e-4)
+    assert np.isclose(moves.sum(), len(seqs.obs) - 550, rtol=1e-4)
+    assert np.isclose(emits.sum(), len(seqs.obs), rtol=1e-4)
+    alone = hmm.Sequences([np.array([7])])  # a sequence of one step has no moves
+    assert model.expected(alone)[1].sum() == 0
+
+
 def test_hmm_frequent_words(spark, monkeypatch):
     """Words above a count: never more than ``HEAD``, whole levels of the count only."""
     counts = spark.createDataFrame([(f"w{i}", 1 + 1000 // (i + 1)) for i in range(500)],
