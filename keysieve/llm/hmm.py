@@ -80,9 +80,10 @@ class Sequences:
         self.active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), "right")
         self.first = np.concatenate([[0], np.cumsum(self.active)])
         rank = np.repeat(np.arange(len(sizes)), sizes)
-        time = np.arange(len(rank)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.time = np.arange(len(rank)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.place = self.first[self.time] + rank
         self.obs = np.empty(len(rank), np.int64)
-        self.obs[self.first[time] + rank] = np.concatenate([found[i] for i in self.order])
+        self.obs[self.place] = np.concatenate([found[i] for i in self.order])
 
 
 class Model:
@@ -96,7 +97,6 @@ class Model:
         b = self.emits[s.obs]
         scales = np.empty(len(s.obs), np.float32)
         rows = np.empty_like(b) if keep else None
-        ones = np.ones(len(self.start), np.float32)
         a = None
         for at, n in zip(s.first.tolist(), s.active.tolist()):
             # a step is a few calls on rows that stand next to each other, without copies
@@ -106,7 +106,7 @@ class Model:
                 np.multiply(self.start, here, out=into)
             else:
                 np.multiply(a[:n] @ self.moves, here, out=into)
-            c = np.matmul(into, ones, out=scales[at:at + n])
+            c = np.add.reduce(into, 1, out=scales[at:at + n])
             into /= c[:, None]
             a = into
         # places are in the order of time, so their sequences are counted up in each step
@@ -118,7 +118,7 @@ class Model:
         """Expected starts, moves and emissions of the sequences, and their log-likelihood."""
         score, alpha, b, scales = self.forward(s, keep=True)
         beta = np.ones_like(b)
-        ahead = b / scales[:, None]
+        ahead = np.divide(b, scales[:, None], out=b)
         back = np.ascontiguousarray(self.moves.T)
         first, active = s.first.tolist(), s.active.tolist()
         for t in range(len(active) - 2, -1, -1):
@@ -127,9 +127,10 @@ class Model:
             x *= beta[nxt:nxt + n]
             np.matmul(x, back, out=beta[at:at + n])
         # a token's predecessor stands as many places before it as that step has tokens
-        later = first[1]
-        before = np.arange(later, len(s.obs)) - np.repeat(s.active[:-1], s.active[1:])
-        moves = self.moves * (alpha[before].T @ ahead[later:])
+        later = np.flatnonzero(s.time)
+        now = s.place[later]
+        before = now - s.active[s.time[later] - 1]
+        moves = self.moves * (np.take(alpha, before, 0).T @ np.take(ahead, now, 0))
         gamma = np.multiply(alpha, beta, out=beta)
         emits = np.stack([np.bincount(s.obs, gamma[:, k], CLASSES)
                           for k in range(gamma.shape[1])])
@@ -298,12 +299,18 @@ def _coded(texts: DataFrame, known, z: float, ends: int) -> DataFrame:
         logs = np.log10((np.array([c for _, c in head.values()]) + 0.1) / z)
         end = float(np.log10((ends + 0.1) / z))
 
+        class Suffixes(dict):
+            def __missing__(self, suffix: bytes) -> int:
+                k = len(head) + suffix_class(suffix)
+                if len(self) < 300_000:
+                    self[suffix] = k
+                return k
+
+        suffixes = Suffixes()
+
         class Numbers(dict):
             def __missing__(self, word: bytes) -> int:
-                k = len(head) + suffix_class(word)
-                if len(self) < len(head) + 300_000:
-                    self[word] = k
-                return k
+                return suffixes[word[-4:]]
 
         numbers = Numbers((w, i) for i, w in enumerate(head))
         for batch in chunks(batches):
