@@ -17,7 +17,9 @@ zeros and ``MANTISSA`` bits behind the first one, 16 bits in all.
    with all members, in tiles of bounded size: estimates first, then full sets, a pair only
    in the first band it shares.  A tile returns a spanning forest of its links.  A side of a
    tile holds up to ``TILE`` classes or ``TILE_SHINGLES`` shingles, so members are copied for
-   every some thousand others, not for every one.
+   every some thousand others, not for every one.  Within a tile only pairs of like size are
+   looked at; where these are more than the tile's shingles, only those of them that share one
+   of their rarest shingles, which any pair at the threshold does.  Small buckets share a tile.
 
 So a large group of near-copies costs a row per member and band, not a row per pair.  In all, a
 pair at a similarity of 0.85 is missed with a probability of 5e-11 + 1e-12.
@@ -48,6 +50,7 @@ from keysieve.llm.shared import WordHashes, chunks, mix, raw, shingles, stored,
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
 BANDS = REGISTERS // ROWS
 TILE, TILE_SHINGLES = 4096, 1 << 21  # on either side of a tile
+PAIRS = 1 << 15  # compared at a time
 MISS = 1e-12
 _U = np.uint64
 
@@ -273,33 +276,108 @@ def _rest(stars: DataFrame, first: DataFrame, sets: DataFrame, light: DataFrame,
     tiles = inside.groupBy("key").agg(cuts(F.lit(True)).alias("blocks"), cuts(F.col("out")).alias(
         "outs"))
     inside = inside.join(tiles, "key")
+    # Buckets of one tile go to Python several at a time, their members once each.
+    n, total = inside.where("blocks = 1 and outs = 1").agg(
+        F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    packs = 1 + int(max(n / TILE, total / TILE_SHINGLES) * 4)
+    one = inside.where("blocks = 1 and outs = 1").select(
+        F.pmod(F.xxhash64("key"), F.lit(packs)).alias("home"), F.lit(-1).alias("i"),
+        F.lit(-1).alias("j"), "key", "node", "own", F.col("out").alias("left"),
+        F.lit(True).alias("right"))
+    inside = inside.where("blocks > 1 or outs > 1")
     deal = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
-    left = inside.where("out").select("key", "node", "own", (deal % F.col("outs")).alias("i"),
-                                      F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"),
-                                      F.lit(True).alias("left"))
-    right = inside.select("key", "node", "own", F.explode(F.sequence(
-        F.lit(0), F.col("outs") - 1)).alias("i"), (deal % F.col("blocks")).alias("j"),
-        F.lit(False).alias("left"))
-    rows = left.unionByName(right).join(light, "node").join(sets, "node")
+    left = inside.where("out").select(
+        F.col("key").alias("home"), (deal % F.col("outs")).cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "key", "node", "own",
+        F.lit(True).alias("left"), F.lit(False).alias("right"))
+    right = inside.select(
+        F.col("key").alias("home"), F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("i"),
+        (deal % F.col("blocks")).cast("int").alias("j"), "key", "node", "own",
+        F.lit(False).alias("left"), F.lit(True).alias("right"))
+    rows = one.unionByName(left).unionByName(right).join(light, "node").join(sets, "node")
 
     def compare(t: pa.Table) -> pa.Table:
         return _tile(t, percent)
 
-    return rows.select("key", "i", "j", "node", "own", "left", "n_shingles", "registers",
-                       "shingles").groupBy("key", "i", "j").applyInArrow(
+    return rows.select("home", "i", "j", "key", "node", "own", "left", "right", "n_shingles",
+                       "registers", "shingles").groupBy("home", "i", "j").applyInArrow(
         compare, "a long, b long")
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(k, x) for every x in [lo[k], hi[k]), a bounded number at a time, a k never cut."""
+    count = np.maximum(hi - lo, 0)
+    ends = np.cumsum(count)
+    k = 0
+    while k < len(lo):
+        most = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + PAIRS, "right")))
+        c = count[k:most]
+        which = np.repeat(np.arange(k, most), c)
+        yield which, np.arange(len(which)) - np.repeat(np.cumsum(c) - c, c) + lo[which]
+        k = most
+
+
+def _prefixes(rows: np.ndarray, flat: np.ndarray, at: np.ndarray, percent: int):
+    """(row, code) of each row's rarest shingles, as many as linked sets cannot all lack.
+
+    Linked sets share ``percent`` of a hundred of the larger one at least.  So in any one order of
+    all shingles they share one among the first n - ceil(n percent / 100) + 1 of either.
+    """
+    n = (at[1:] - at[:-1])[rows]
+    who = np.repeat(np.arange(len(rows)), n)
+    first = np.cumsum(n) - n
+    _, code, count = np.unique(flat[np.arange(len(who)) - first[who] + at[rows][who]],
+                               return_inverse=True, return_counts=True)
+    order = np.lexsort((code, count[code], who))
+    kept = np.arange(len(who)) - first[who] <= (n + -percent * n // 100)[who]
+    return rows[who[kept]], code[order][kept]
+
+
+def _pairs(key: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, flat: np.ndarray,
+           at: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(left, right) rows of a bucket, some at a time: all those that may be linked by their sizes,
+    or, where these are more than the shingles, only those that share a rare shingle."""
+    step = np.int64(1) << 40  # beyond any size
+    cols = np.flatnonzero(right)
+    cols = cols[np.lexsort((n[cols], key[cols]))]
+    place = key[cols] * step + n[cols]
+    rows = np.flatnonzero(left)
+    lo = np.searchsorted(place, key[rows] * step + n[rows] * percent // 100, "left")
+    hi = np.searchsorted(place, key[rows] * step + -(-100 * n[rows] // percent), "right")
+    here = np.bincount(key[rows], hi - lo, minlength=key.max() + 1)
+    dense = here > np.bincount(key, n, minlength=key.max() + 1)
+    few = ~dense[key[rows]]
+    for k, x in _ranges(lo[few], hi[few]):
+        yield rows[few][k], cols[x]
+    for k in np.flatnonzero(dense):
+        row, code = _prefixes(np.flatnonzero(key == k), flat, at, percent)
+        other = right[row]
+        order = np.argsort(code[other], kind="stable")
+        listed, codes = row[other][order], code[other][order]
+        mine, own = row[left[row]], code[left[row]]
+        lo_, hi_ = np.searchsorted(codes, own, "left"), np.searchsorted(codes, own, "right")
+        if (hi_ - lo_).sum() > here[k]:  # rare ones are as common as others
+            chosen = key[rows] == k
+            for i, x in _ranges(lo[chosen], hi[chosen]):
+                yield rows[chosen][i], cols[x]
+            continue
+        for i, x in _ranges(lo_, hi_):
+            both = np.unique(mine[i] * len(key) + listed[x])
+            yield both // len(key), both % len(key)
+
+
 def _tile(t: pa.Table, percent: int) -> pa.Table:
-    """A spanning forest of the links between the left and right rows of a tile."""
-    left = t["left"].to_numpy(zero_copy_only=False)
+    """A spanning forest of the links between the left and right rows of the buckets of a tile."""
+    left, right = (t[c].to_numpy(zero_copy_only=False) for c in ("left", "right"))
     ids, own, n = (t[c].to_numpy() for c in ("node", "own", "n_shingles"))
     regs = np.frombuffer(b"".join(t["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
     keys, used = band_keys(regs)
-    key, columns = t["key"][0].as_py(), t["shingles"].combine_chunks()
+    columns = t["shingles"].combine_chunks()
     flat, at = columns.flatten().to_numpy(), columns.offsets.to_numpy() - columns.offsets[0].as_py()
-    band = int(np.argmax((keys[0] == key) & used[0]))
-    rows, cols = np.flatnonzero(left), np.flatnonzero(~left)
+    named = t["key"].to_numpy()
+    _, key = np.unique(named, return_inverse=True)
+    band = np.argmax((keys == named[:, None]) & used, 1)
+    least = least_equal(percent)
     root = {int(c): int(c) for c in np.unique(own)}
 
     def find(x: int) -> int:
@@ -308,25 +386,31 @@ def _tile(t: pa.Table, percent: int) -> pa.Table:
         return x
 
     a, b = [], []
-    for r in rows.tolist():
-        other = cols[(own[cols] != own[r])]
+    for r, o in _pairs(key, n, left, right, flat, at, percent):
+        # of two rows that are on both sides, one pair
+        new = (own[r] != own[o]) & ~(left[o] & right[r] & (o < r))
+        r, o = r[new], o[new]
         # pairs that share an earlier band were compared there
-        new = ~((keys[other, :band] == keys[r, :band]) & used[other, :band]
-                & used[r, :band]).any(1)
-        other = other[new]
-        if not len(other):
+        new = ~((keys[r] == keys[o]) & used[r] & used[o] & (
+            np.arange(BANDS) < band[r][:, None])).any(1)
+        r, o = r[new], o[new]
+        # an estimate is below the least one if too few registers are equal
+        x, y = regs[r], regs[o]
+        new = ((x == y) & (x != 0)).sum(1) >= least[((x != 0) | (y != 0)).sum(1)]
+        r, o = r[new], o[new]
+        if not len(r):
             continue
-        j, lowest = estimate(regs[other], regs[r], n[other], np.full(len(other), n[r]), percent)
-        ratio = np.minimum(n[other], n[r]) / np.maximum(n[other], n[r])
-        mine = flat[at[r]:at[r + 1]]
-        for o in other[(j >= lowest) & (ratio >= percent / 100 - 1e-9)].tolist():
-            x, y = find(int(own[r])), find(int(own[o]))
+        j, lowest = estimate(regs[r], regs[o], n[r], n[o], percent)
+        ratio = np.minimum(n[r], n[o]) / np.maximum(n[r], n[o])
+        new = (j >= lowest) & (ratio >= percent / 100 - 1e-9)
+        for k, l in zip(r[new].tolist(), o[new].tolist()):
+            x, y = find(int(own[k])), find(int(own[l]))
             if x == y:
                 continue
-            theirs = flat[at[o]:at[o + 1]]
+            mine, theirs = flat[at[k]:at[k + 1]], flat[at[l]:at[l + 1]]
             same = len(np.intersect1d(mine, theirs, assume_unique=True))
             if _linked(same, len(mine), len(theirs), percent):
                 root[x] = y
-                a.append(int(ids[r]))
-                b.append(int(ids[o]))
+                a.append(int(ids[k]))
+                b.append(int(ids[l]))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})

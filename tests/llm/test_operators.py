@@ -9,6 +9,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -423,6 +424,62 @@ def test_near_copies_of_a_dense_group(spark, monkeypatch):
     assert got == brute_groups(rows, 3, 85)
 
 
+def test_texts_with_a_common_line_are_not_compared_in_pairs(monkeypatch):
+    """A bucket of texts that share a third of their shingles: its work follows them, not pairs."""
+    rng = np.random.default_rng(4)
+    draw = lambda n: rng.integers(0, 2 ** 64 - 1, n, dtype=np.uint64)
+    line = draw(20)
+    sets = [np.unique(np.r_[line, draw(rng.integers(25, 45))]) for _ in range(400)]
+    for i in range(0, 60, 3):  # some are near-copies
+        sets[i + 1] = np.unique(np.r_[sets[i], draw(2)])
+    regs = [hyperminhash.registers(s) for s in sets]
+    sets = [s.view(np.int64) for s in sets]
+    rows = [*range(400)] * 2
+    t = pa.table({
+        "key": pa.array([7] * 800), "node": pa.array(rows), "own": pa.array(rows),
+        "left": pa.array([True] * 400 + [False] * 400), "right": pa.array([False] * 400 + [True] * 400),
+        "n_shingles": pa.array([len(sets[i]) for i in rows]),
+        "registers": pa.array([regs[i].tobytes() for i in rows]),
+        "shingles": pa.array([sets[i] for i in rows], pa.list_(pa.int64()))})
+    first = np.arange(hyperminhash.BANDS)[None] == 0  # the band that all share
+    monkeypatch.setattr(hyperminhash, "band_keys", lambda r: (
+        np.full((len(r), hyperminhash.BANDS), 7), np.repeat(first, len(r), 0)))
+    compared, plain = [0], hyperminhash.estimate
+
+    def counted(a, b, *args):
+        compared[0] += max(len(a), len(b)) if a.ndim == b.ndim else len(a)
+        return plain(a, b, *args)
+
+    monkeypatch.setattr(hyperminhash, "estimate", counted)
+    found = hyperminhash._tile(t, 85)
+    got = {frozenset(p) for p in zip(found["a"].to_pylist(), found["b"].to_pylist())}
+    want = {frozenset((i, j)) for i in range(400) for j in range(i) if hyperminhash._linked(
+        n := len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]), 85)}
+    assert got == want and len(want) == 20
+    assert compared[0] < 1000  # of 159,600
+
+
+def test_small_buckets_of_a_tile_are_kept_apart():
+    """Members of two buckets that share a tile are not compared with each other."""
+    rng = np.random.default_rng(8)
+    sets = [np.sort(rng.integers(0, 2 ** 63 - 1, 60, dtype=np.int64)) for _ in range(2)]
+    regs = [hyperminhash.registers(s.view(np.uint64)) for s in sets]
+    keys, _ = hyperminhash.band_keys(np.stack(regs))
+    which = [0, 0, 1, 1]
+
+    def links(key):
+        t = pa.table({
+            "key": pa.array([int(k) for k in key]), "node": pa.array(range(4)), "own": pa.array(range(4)),
+            "left": pa.array([True] * 4), "right": pa.array([True] * 4),
+            "n_shingles": pa.array([60] * 4), "registers": pa.array([regs[i].tobytes() for i in which]),
+            "shingles": pa.array([sets[i] for i in which], pa.list_(pa.int64()))})
+        found = hyperminhash._tile(t, 85)
+        return {frozenset(p) for p in zip(found["a"].to_pylist(), found["b"].to_pylist())}
+
+    assert links([keys[i, 0] for i in which]) == {frozenset((0, 1)), frozenset((2, 3))}
+    assert links([keys[0, 0], keys[1, 0], keys[1, 0], keys[1, 0]]) == {frozenset((2, 3))}
+
+
 def test_registers_estimate():
     rng = np.random.default_rng(5)
     errors = []
