@@ -70,10 +70,13 @@ def graph_heads(versions: DataFrame, commits: DataFrame, tips: DataFrame) -> Dat
     it and the merge did not, the merged branch counts.
     """
     placed = versions.join(reachable(commits, tips), ["repo", "commit"])
-    seen = placed.select("repo", "path", "commit", "place", "change")
     if "old_path" in versions.columns:
-        seen = seen.union(placed.where("change = 'R' and old_path <> path").select(
-            "repo", "old_path", "commit", "place", F.lit("D")))
+        own = F.struct("path", "change")
+        gone = F.struct(F.col("old_path").alias("path"), F.lit("D").alias("change"))
+        touched = F.when(F.expr("change = 'R' and old_path <> path"), F.array(own, gone)).otherwise(
+            F.array(own))
+        placed = placed.select("repo", "commit", "place", F.inline(touched))
+    seen = placed.select("repo", "path", "commit", "place", "change")
     last = latest(seen, ["repo", "path"], F.struct("place", F.col("change") != "D"))
     return last.where("change <> 'D'").select("repo", "path", "commit")
 
