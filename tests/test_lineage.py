@@ -82,6 +82,50 @@ def test_rounds_do_not_grow_with_the_branches(spark, monkeypatch):
     assert names.count("claims") <= 5
 
 
+def test_lineage_of_forests_with_more_commits_than_few(spark, monkeypatch):
+    """Some commits of a list end it: places are those of the lists as they are."""
+    from keysieve.operators import lineage
+
+    rng = random.Random(7)
+    rows, tips = [], []
+    for r, g in enumerate([{i: [i - 1] if i else [] for i in range(150)}, graph(rng, 120),
+                           graph(rng, 1), {0: [], 1: [0], 2: [1], 3: [1], 4: [2, 3]}]):
+        rows += [(f"r{r}", f"c{c}", [f"c{p}" for p in ps]) for c, ps in g.items()]
+        tips.append((f"r{r}", f"c{len(g) - 1}"))
+    commits = spark.createDataFrame(rows, COMMITS)
+    tips = spark.createDataFrame(tips, "repo string, commit string")
+    want = sorted(map(str, V.reachable(commits, tips).collect()))
+    monkeypatch.setattr(lineage, "FEW", 0)
+    assert sorted(map(str, V.reachable(commits, tips).collect())) == want
+
+
+def test_rows_written_follow_the_commits(spark, monkeypatch):
+    """One chain of 2,000 commits: what all rounds write does not grow with their number."""
+    from keysieve.operators import lineage
+
+    n, written, plain = 2000, [], lineage.stored
+
+    def counted(df, name):
+        out = plain(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(lineage, "stored", counted)
+    monkeypatch.setattr(lineage, "FEW", 300, raising=False)
+    commits = spark.createDataFrame(
+        [("r", f"c{i}", [f"c{i - 1}"] if i else []) for i in range(n)], COMMITS)
+    lineage.chains(commits)
+    assert sum(written) < 13 * n  # more than 24 n by doubling pointers of all commits
+
+
+def test_a_circle_beside_a_history_is_an_error(spark):
+    from keysieve.operators import lineage
+
+    rows = [("r", "a", ["b"]), ("r", "b", ["a"]), ("r", "c", ["a"]), ("s", "d", []), ("s", "e", ["d"])]
+    with pytest.raises(ValueError, match="circle"):
+        lineage.chains(spark.createDataFrame(rows, COMMITS))
+
+
 def test_a_circle_of_parents_is_an_error(spark, monkeypatch):
     from keysieve.operators import lineage
 
@@ -136,6 +180,38 @@ def test_each_content_is_scanned_once(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_contents_are_computed_once_and_hashed(spark, monkeypatch):
+    """A content that is an expression is not repeated for each test of the gate, and equal
+    contents meet without sorting all versions."""
+    rows = [("r", f"c{i}", None, "main", f"f{i % 9}.txt", "M", f"password = '{A(12)}{i % 3}'", None)
+            for i in range(60)]
+    versions = spark.createDataFrame(rows, VERSIONS).withColumn(
+        "content", F.concat("content", F.lit("#mark#"), F.col("path").substr(1, 0)))
+    plans, plain = {}, H.stored
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(H, "stored", kept)
+    assert H.scan_versions(versions).count() == 60
+    marked = [line for line in plans["places"].split("\n") if "#mark#" in line]
+    assert sum(line.count("#mark#") for line in marked) == 1
+    assert "SortAggregate" not in plans["content-findings"]
+
+
+def test_versions_inside_a_history(spark):
+    rows = [(r, f"c{i}", None, "main", f"f{i % 4}.txt", "D" if i == 5 else "M",
+             f"password = '{A(12)}{i % 6}'", None) for r in "rs" for i in range(24)]
+    versions = spark.createDataFrame(rows + rows[:2], VERSIONS)
+    inside = spark.createDataFrame([("r", f"c{i}") for i in (0, 3, 5, 9)] + [("r", "c0")],
+                                   "repo string, commit string")
+    columns = ["repo", "commit", "path", "line", "rule_id", "secret_id"]
+    got = H.scan_versions(versions, inside=inside).select(columns)
+    want = H.scan_versions(versions.join(inside, ["repo", "commit"], "left_semi")).select(columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 4
+
+
 # --- files in byte ranges ------------------------------------------------------------------------
 
 
