@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from keysieve.functions.identity import category, is_high, is_medium
 from keysieve.operators.skew import numbered
 from keysieve.sources.reports import SCANNER
-from keysieve.workspace import stored
+from keysieve.workspace import dropped, shuffles_dropped, stored, workspace
 
 VERSION = "0.1.0"
 SARIF_SCHEMA = ("https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/"
@@ -240,10 +240,15 @@ TAIL = 1 << 62  # behind every item
 _NULLS = {"ignoreNullFields": "false"}
 
 
-def _rows(findings: DataFrame, by: list[str], item: Column, heads: DataFrame, tail: str,
-          options: dict) -> DataFrame:
+_SARIF = ["path", "line", "column", "pos", "rule_id", "rule_name"]  # what items show or sort by
+_JSON = [*_SARIF, "secret", "context"]
+
+
+def _rows(findings: DataFrame, by: list[str], shown: list[str], item: Column, heads: DataFrame,
+          tail: str, options: dict) -> DataFrame:
     """(by, nth, text): the opening texts of ``heads`` (by, text), the items, what closes them."""
-    items = numbered_findings(findings, by).select(*by, F.col("id").alias("nth"), F.concat(
+    numbered_ = numbered_findings(findings.select(*dict.fromkeys([*by, *shown])), by)
+    items = numbered_.select(*by, F.col("id").alias("nth"), F.concat(
         F.when(F.col("id") > 1, ",").otherwise(""), F.to_json(item, options)).alias("text"))
     first = heads.select(*by, F.lit(0).cast("long").alias("nth"), "text")
     tails = heads.select(*by, F.lit(TAIL).alias("nth"), F.lit(tail).alias("text"))
@@ -260,7 +265,7 @@ def json_rows(findings: DataFrame, by: list[str], scans: DataFrame | None = None
     """``json_documents`` of any size, as rows: see ``report_rows``."""
     head = json.dumps({"version": "1.0", "scanner": SCANNER, "findings": []})[:-2]
     heads = _of_all(findings, scans, by).withColumn("text", F.lit(head))
-    return _rows(findings, by, _json_item(), heads, "]}", {})
+    return _rows(findings, by, _JSON, _json_item(), heads, "]}", {})
 
 
 def sarif_rows(findings: DataFrame, by: list[str], scans: DataFrame | None = None) -> DataFrame:
@@ -269,7 +274,7 @@ def sarif_rows(findings: DataFrame, by: list[str], scans: DataFrame | None = Non
     head = json.dumps({"$schema": SARIF_SCHEMA, "version": "2.1.0",
                        "runs": [{"tool": {"driver": driver}, "results": []}]})[:-4]
     heads = _of_all(findings, scans, by).withColumn("text", F.lit(head))
-    return _rows(findings, by, _sarif_item(), heads, "]}]}", {})
+    return _rows(findings, by, _SARIF, _sarif_item(), heads, "]}]}", {})
 
 
 def report_rows(findings: DataFrame, scans: DataFrame) -> DataFrame:
@@ -283,7 +288,7 @@ def report_rows(findings: DataFrame, scans: DataFrame) -> DataFrame:
     heads = scans.join(summaries(findings, by), by, "left").select(
         "scan_id", F.concat(F.left(opened, F.length(opened) - 1), F.lit(',"findings":[')).alias(
             "text"))
-    return _rows(findings, by, _report_item(), heads, "]}", _NULLS)
+    return _rows(findings, by, _JSON, _report_item(), heads, "]}", _NULLS)
 
 
 def write_rows(rows: DataFrame, path: str, by: tuple = ("scan_id",)) -> None:
@@ -293,15 +298,20 @@ def write_rows(rows: DataFrame, path: str, by: tuple = ("scan_id",)) -> None:
     files that follow each other, and a large one is written by many tasks.  ``index`` tells of
     each document in which files (``part``) it is, from which line on, and how many lines.
     """
-    ranged = stored(rows.repartitionByRange(*by, "nth").withColumn(
-        "part", F.spark_partition_id()), "ranges")
-    sorted_ = ranged.repartition("part").sortWithinPartitions("part", *by, "nth")
-    sorted_.select("part", "text").write.partitionBy("part").text(f"{path}/lines")
-    here = ranged.groupBy("part", *by).agg(F.count("*").alias("lines"))
-    before = F.sum("lines").over(W.partitionBy("part").orderBy(*by).rowsBetween(
-        W.unboundedPreceding, -1))
-    here.select(*by, "part", (F.coalesce(before, F.lit(0)) + 1).alias("line"),
-                "lines").write.parquet(f"{path}/index")
+    spark = rows.sparkSession
+    home = workspace(spark, "ranges")
+    with shuffles_dropped(spark):
+        rows.repartitionByRange(*by, "nth").withColumn(
+            "part", F.spark_partition_id()).write.parquet(home)
+        ranged = spark.read.parquet(home)
+        sorted_ = ranged.repartition("part").sortWithinPartitions("part", *by, "nth")
+        sorted_.select("part", "text").write.partitionBy("part").text(f"{path}/lines")
+        here = ranged.groupBy("part", *by).agg(F.count("*").alias("lines"))
+        before = F.sum("lines").over(W.partitionBy("part").orderBy(*by).rowsBetween(
+            W.unboundedPreceding, -1))
+        here.select(*by, "part", (F.coalesce(before, F.lit(0)) + 1).alias("line"),
+                    "lines").write.parquet(f"{path}/index")
+    dropped(spark, home)
 
 
 def read_rows(spark: SparkSession, path: str, by: tuple = ("scan_id",)) -> DataFrame:
@@ -319,8 +329,12 @@ def read_rows(spark: SparkSession, path: str, by: tuple = ("scan_id",)) -> DataF
     numbered_ = lines.join(ranges, ["part", "file", "start"]).select(
         "part", (F.col("base") + F.col("id") - F.col("first") + 1).alias("line"), "text")
     starts = spark.read.parquet(f"{path}/index").select(
-        "part", "line", F.struct(*by).alias("document_"))
+        "part", "line", F.lit(None).cast("string").alias("text"), F.struct(*by).alias("document_"))
     # each line belongs to the last document that begins in its part before it
-    return numbered_.join(starts, ["part", "line"], "left").withColumn(
+    known = numbered_.withColumn("document_", F.lit(None).cast(starts.schema["document_"].dataType))
+    first = F.col("document_").isNull()  # documents before the lines they begin with
+    return known.withColumn("text_", F.lit(True)).unionByName(
+        starts.withColumn("text_", F.lit(False))).withColumn(
         "document_", F.last("document_", ignorenulls=True).over(
-            W.partitionBy("part").orderBy("line"))).select("document_.*", "part", "line", "text")
+            W.partitionBy("part").orderBy("line", first))).where("text_").select(
+        "document_.*", "part", "line", "text")

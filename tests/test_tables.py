@@ -1,4 +1,5 @@
 import json
+import time
 
 from samples import token as A
 from pyspark.sql import functions as F
@@ -192,6 +193,31 @@ def test_reports_of_any_size_have_one_shape(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/index").select("part").distinct().count() > 1
 
 
+def test_what_was_written_leaves_no_shuffle_and_no_copy(spark, tmp_path, monkeypatch):
+    """The disk that writing reports takes is free afterwards, without the driver's garbage collection."""
+    from keysieve import workspace
+
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = (blocks.apply(i).getName() for i in range(blocks.size()))
+        return {n for n in names if n.startswith("shuffle_")}
+
+    rows = spark.range(3000).select((F.col("id") % 7).cast("string").alias("scan_id"),
+                                    F.col("id").alias("nth"), F.lit("text").alias("text"))
+    for module in (workspace, R):
+        monkeypatch.setattr(module, "workspace", lambda _, name: f"{tmp_path}/{name}", raising=False)
+    before = shuffles()
+    R.write_rows(rows, str(tmp_path / "out"))
+    copy = workspace.stored(rows.repartition(20, "scan_id"), "copy")
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["copy", "out"]
+    for _ in range(50):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(.2)
+    assert not left and copy.count() == 3000
+    assert R.read_rows(spark, str(tmp_path / "out")).count() == 3000
+
+
 def test_an_import_that_is_repeated_counts_once(spark, tmp_path):
     scans = spark.createDataFrame(
         [(f"s{i}", f"2024-01-0{1 + i % 3}", "/p", None if i % 2 else "url", "main", 2) for i in range(9)],
